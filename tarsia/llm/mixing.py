@@ -60,15 +60,18 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return s.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))).select("_source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, weight: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, weight: Column | None = None, keep_text: bool = True) -> DataFrame:
     """Adds size (words), source_size, target and copies (times the mix takes the document) to docs.
 
     docs has at least doc_id, text and source; nulls: a null text has no words, a null source is a source of its
     own, a null doc_id an id like any other. The document at which a source's rest is crossed is taken if that
     comes nearer to the target. Ties in the key go by doc_id, equal rows in any order. A source without words
-    has copies 0."""
+    has copies 0. keep_text=False leaves text out, so that it is read only once."""
     columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     rows = keyed(docs.select(*columns), weight)
+    if not keep_text:
+        columns.remove("text")
+        rows = cut(rows.drop("text"))
     sums = cut(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("size")))
     budget = targets(sums.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, epochs)
     budget = budget.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int"))
@@ -91,7 +94,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out = mix(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep_text=False)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
