@@ -207,14 +207,18 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of classes whose sets are similar."""
-    size = F.length("set")
-    sized = sets.select("fp", size.alias("n"))
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (a, b) of classes (fp, first, n) whose sets are similar. Sets are made again, from the
+    text of a first document each, for those classes only whose sizes are near enough."""
+    sized = classes.select("fp", "n")
     near = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
-    near = near.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
+    near = cut(near.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
+    ends = near.select("a").union(near.select("b")).distinct().toDF("fp")
+    wanted = small(cut(classes.join(ends, "fp", "left_semi").select(F.col("first").alias("wanted")).distinct()), BROADCAST_ROWS)
+    d = docs.select(F.col("doc_id").cast("long"), "text")
+    sets = cut(sets_of(d.join(wanted, d["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi"), size))
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return both.filter(similar("set_a", "set_b")).select("a", "b")
+    return cut(both.filter(similar("set_a", "set_b")).select("a", "b").distinct())
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -236,24 +240,31 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = cut(labels.join(parents, labels["comp"] == parents["hi"], "left").select("fp", F.coalesce("lo", "comp").alias("comp")))
 
 
-def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(rows, labels): rows are doc_id, n_shingles and fp of each row of docs; labels are fp and comp, the
-    component of each class of equal sets that has a partner or may have had one."""
-    rows = cut(fingerprints(docs, size))
+def crowded(rows: DataFrame, by: str = "fp") -> DataFrame:
+    """The rows of signatures that have different values of a column."""
     by_sig = Window.partitionBy("sig")
-    shared = signature_rows(docs, size).withColumn("lo", F.min("fp").over(by_sig)).withColumn("hi", F.max("fp").over(by_sig))
-    shared = cut(shared.filter("lo <> hi").select("sig", "fp", "slack").distinct())
+    return rows.withColumn("lo", F.min(by).over(by_sig)).withColumn("hi", F.max(by).over(by_sig)).filter("lo <> hi")
+
+
+def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, classes, labels): rows are doc_id, n_shingles and fp of each row of docs; classes are the distinct
+    sets: fp, the smallest doc_id and the size; labels are fp and comp, the smallest fp of the component of each
+    class that may have a partner."""
+    rows = cut(fingerprints(docs, size))
+    classes = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n")))
+    shared = crowded(signature_rows(docs, size)).select("sig", "fp", "slack").distinct()
+    # A class shares at least slack signatures of a band with each partner. One with fewer in all has none there.
+    enough = shared.withColumn("held", F.count("*").over(Window.partitionBy("fp", "slack"))).filter("held >= slack")
+    shared = cut(crowded(enough).select("sig", "fp", "slack"))
     labels = cut(shared.select("fp").distinct().withColumn("comp", F.col("fp")))
-    first = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    wanted = small(cut(first.join(labels, "fp", "left_semi").select("doc_id").distinct()), BROADCAST_ROWS)
-    d, w = docs.select(F.col("doc_id").cast("long"), "text"), wanted.toDF("wanted")
-    sets = cut(sets_of(d.join(w, d["doc_id"].eqNullSafe(w["wanted"]), "left_semi"), size).dropDuplicates(["fp"]))
     tested = None
     for turn in range(STAR_ROUNDS + 1):
-        open_ = shared.join(labels, "fp").withColumn("lo", F.min("comp").over(by_sig)).withColumn("hi", F.max("comp").over(by_sig)).filter("lo <> hi")
+        open_ = crowded(shared.join(small(labels, BROADCAST_ROWS), "fp"), "comp")
         if turn < STAR_ROUNDS:
-            hub = F.min(F.struct("comp", "fp")).over(by_sig)["fp"]
-            pairs = open_.withColumn("hub", hub).filter("comp <> lo").select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
+            # Against the smallest member of each bucket; likely ones only, the last turn has all others.
+            hub = F.min(F.struct("comp", "fp")).over(Window.partitionBy("sig"))["fp"]
+            pairs = open_.withColumn("hub", hub).filter("comp <> lo").groupBy("hub", "fp", "slack").agg(F.count("*").alias("n")).filter("2 * n >= slack")
+            pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
         else:
             pairs = remaining_pairs(cut(open_.select("sig", "fp", "slack", "comp")))
         pairs = pairs.distinct()
@@ -261,20 +272,22 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = cut(verified(pairs, sets))
+        links = verified(pairs, classes, docs, size)
         if not links.isEmpty():
             labels = components(labels, links)
-    return rows, labels
+    return rows, classes, labels
 
 
 def remaining_pairs(open_: DataFrame) -> DataFrame:
-    """All pairs across components that share a signature. A class that surely shares more signatures with
-    each partner than it has in very large buckets is left out of those: its pairs meet elsewhere."""
-    by_sig = Window.partitionBy("sig")
-    hot = open_.withColumn("hot", (F.count("*").over(by_sig) > HOT).cast("int"))
+    """All pairs across components that share as many signatures of a band as a link asks for. A class that surely
+    shares more of them with each partner than it has in very large buckets is left out of those: its pairs meet
+    elsewhere."""
+    hot = open_.withColumn("hot", (F.count("*").over(Window.partitionBy("sig")) > HOT).cast("int"))
     held = hot.withColumn("n_hot", F.sum("hot").over(Window.partitionBy("fp", "slack")))
-    held = cut(held.filter("hot = 0 or slack <= n_hot").select("sig", "fp", "comp"))
-    return held.toDF("sig", "a", "ca").join(held.toDF("sig", "b", "cb"), "sig").filter("ca <> cb and a < b").select("a", "b")
+    held = cut(held.filter("hot = 0 or slack <= n_hot").select("sig", "fp", "comp", "slack", F.greatest(F.lit(1), F.col("slack") - F.col("n_hot")).alias("need")))
+    pairs = held.toDF("sig", "a", "ca", "sa", "na").join(held.toDF("sig", "b", "cb", "sb", "nb"), "sig").filter("ca <> cb and a < b")
+    counted = pairs.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n"), F.max(F.greatest("na", "nb")).alias("need"))
+    return counted.filter("n >= need").select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -283,8 +296,7 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     Nulls and texts without words are empty sets, linked with nothing: their component is their own doc_id. A
     null doc_id counts as larger than any other. Repeated rows stay; rows with one doc_id and different texts
     are linked as separate texts."""
-    rows, labels = set_classes(docs, size)
-    classes = rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"))
+    rows, classes, labels = set_classes(docs, size)
     classes = classes.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     roots = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
     of_class = classes.join(roots, "comp").select("fp", "component_id")
