@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import cut, read, small
 
-SHINGLE, PERCENT, FAMILIES, STAR_ROUNDS, HOT = 5, 80, 6, 3, 64
+SHINGLE, PERCENT, FAMILIES, STAR_ROUNDS, COMMON = 5, 80, 6, 3, 64
 BAND = 1.5  # ratio of the ends of a size band
 BROADCAST_ROWS = 500_000  # of ids, 8 bytes each
 
@@ -112,16 +112,16 @@ def bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
-    """For each band: the signatures of a set and in how many non-empty groups it at least agrees with a
-    partner (the slack; 0 if that can't be said)."""
-    n, out = s.size, []
+def signatures(s: np.ndarray, n: int, families: int = FAMILIES, finer: int = 1) -> list[tuple[np.ndarray, int]]:
+    """For each band of a set of n elements: the signatures of s, all or some of them, and in how many non-empty
+    groups it at least agrees with a partner (the slack; 0 if that can't be said)."""
+    out = []
     for first, last in bands(n):
         most = 2 * last * (100 - PERCENT) // (100 + PERCENT)
-        groups = most + 2 + most // 20
+        groups = (most + 2 + most // 20) * finer
         own = (n + min(n * 100 // PERCENT, last)) * (100 - PERCENT) // (100 + PERCENT)
         parts, slack = [], 0
-        for family in range(FAMILIES):
+        for family in range(families):
             seed = U((first * FAMILIES + family) * 2 + 1)
             with np.errstate(over="ignore"):
                 h = mix(s + seed * ODD)
@@ -131,10 +131,13 @@ def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int]]:
                 at = np.flatnonzero(np.diff(g, prepend=U(groups)))
                 part = np.add.reduceat(mix(h[order]), at)
                 parts.append(mix(part + mix(g[at] + seed * U(1 << 32))))
-            slack = groups - own - (groups - at.size)
+            slack = at.size - own
             if slack > 0:
                 break
         else:
+            if families == 1:
+                parts = []
+                continue
             empty = np.setdiff1d(np.arange(groups, dtype=U), g[at])
             parts.append(mix(mix(empty) + seed))
             slack = 0
@@ -169,7 +172,7 @@ def signature_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 if s.size < 4 or (fp := set_hash(s)) in seen:
                     continue
                 seen.add(fp)
-                for x, slack in signatures(s):
+                for x, slack in signatures(s, s.size):
                     sig.append(x)
                     fps.append(np.full(x.size, fp, "i8"))
                     slacks.append(np.full(x.size, slack, "i4"))
@@ -255,18 +258,20 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
     shared = crowded(signature_rows(docs, size)).select("sig", "fp", "slack").distinct()
     # A class shares at least slack signatures of a band with each partner. One with fewer in all has none there.
     enough = shared.withColumn("held", F.count("*").over(Window.partitionBy("fp", "slack"))).filter("held >= slack")
-    shared = cut(crowded(enough).select("sig", "fp", "slack"))
+    shared = cut(crowded(enough).select("sig", "fp", "slack", "held"))
     labels = cut(shared.select("fp").distinct().withColumn("comp", F.col("fp")))
     tested = None
     for turn in range(STAR_ROUNDS + 1):
         open_ = crowded(shared.join(small(labels, BROADCAST_ROWS), "fp"), "comp")
         if turn < STAR_ROUNDS:
-            # Against the smallest member of each bucket; likely ones only, the last turn has all others.
-            hub = F.min(F.struct("comp", "fp")).over(Window.partitionBy("sig"))["fp"]
-            pairs = open_.withColumn("hub", hub).filter("comp <> lo").groupBy("hub", "fp", "slack").agg(F.count("*").alias("n")).filter("2 * n >= slack")
+            # Against one member of each bucket; likely ones only, the last turn has all others. First that with
+            # most shared signatures (what others are copies of has more than they), then one by chance.
+            first = F.col("held") if turn == 0 else F.xxhash64(F.lit(turn), "fp")
+            hub = F.max(F.struct(first.alias("order"), "fp", "comp")).over(Window.partitionBy("sig"))
+            pairs = open_.withColumn("top", hub).selectExpr("*", "top.fp as hub").filter("comp <> top.comp").groupBy("hub", "fp", "slack").agg(F.count("*").alias("n")).filter("2 * n >= slack")
             pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
         else:
-            pairs = remaining_pairs(cut(open_.select("sig", "fp", "slack", "comp")))
+            pairs = remaining_pairs(cut(open_.select("sig", "fp", "slack", "comp")), classes, docs, size)
         pairs = pairs.distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         if pairs.isEmpty():
@@ -278,16 +283,52 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
     return rows, classes, labels
 
 
-def remaining_pairs(open_: DataFrame) -> DataFrame:
-    """All pairs across components that share as many signatures of a band as a link asks for. A class that surely
-    shares more of them with each partner than it has in very large buckets is left out of those: its pairs meet
-    elsewhere."""
-    hot = open_.withColumn("hot", (F.count("*").over(Window.partitionBy("sig")) > HOT).cast("int"))
-    held = hot.withColumn("n_hot", F.sum("hot").over(Window.partitionBy("fp", "slack")))
-    held = cut(held.filter("hot = 0 or slack <= n_hot").select("sig", "fp", "comp", "slack", F.greatest(F.lit(1), F.col("slack") - F.col("n_hot")).alias("need")))
-    pairs = held.toDF("sig", "a", "ca", "sa", "na").join(held.toDF("sig", "b", "cb", "sb", "nb"), "sig").filter("ca <> cb and a < b")
-    counted = pairs.groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n"), F.max(F.greatest("na", "nb")).alias("need"))
-    return counted.filter("n >= need").select("a", "b")
+def rare_signatures(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """sig, fp, slack of classes, from those of their shingles that at most COMMON of them hold. Sets that differ in
+    so many elements at most differ in no more rare ones, so signatures of the rare part lose no pair as long as
+    it fills more groups than that (slack > 0; others have no rows). No bucket exceeds COMMON."""
+    wanted = small(cut(classes.select(F.col("first").alias("wanted")).distinct()), BROADCAST_ROWS)
+    d = docs.select(F.col("doc_id").cast("long"), "text")
+    sets = sets_of(d.join(wanted, d["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi"), size).join(classes.select("fp"), "fp", "left_semi")
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, sets = b.column(0).to_numpy(), [np.frombuffer(x.as_py(), "i8") for x in b.column(1)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps, [x.size for x in sets])), pa.array(np.concatenate(sets))], names=["fp", "shingle"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for fp, n, rare in zip(b.column("fp").to_pylist(), b.column("n").to_pylist(), b.column("rare")):
+                part = np.sort(rare.values.to_numpy().view(U))
+                for sig, slack in signatures(part, n, families=1, finer=8) if part.size else ():
+                    if slack > 0:
+                        yield pa.RecordBatch.from_arrays([pa.array(sig.view("i8")), pa.array(np.full(sig.size, fp, "i8")), pa.array(np.full(sig.size, slack, "i4"))], names=["sig", "fp", "slack"])
+
+    each = cut(sets.mapInArrow(spread, "fp long, shingle long").distinct())
+    rare = each.join(each.groupBy("shingle").count().filter(F.col("count") <= COMMON), "shingle").groupBy("fp").agg(F.collect_list("shingle").alias("rare"))
+    return rare.join(classes.select("fp", "n"), "fp").select("fp", "n", "rare").mapInArrow(run, "sig long, fp long, slack int")
+
+
+def remaining_pairs(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """All pairs across components that may be linked: those that share a signature of their rare shingles, and
+    those of classes without enough rare ones that share one of all shingles. Of the latter, a class shares at
+    least slack signatures of a band with each partner; with all in one order, the rarest first, it may leave out
+    its last slack - 1, and what is left still meets."""
+    left = cut(open_.select("fp", "comp").distinct())
+    rare = cut(rare_signatures(classes.join(left, "fp", "left_semi"), docs, size))
+    by_rare = crowded(rare).join(small(left, BROADCAST_ROWS), "fp").select("sig", "fp", "comp")
+    # Bands in which a class has rare signatures find all its pairs; slack tells bands apart only roughly, so a
+    # class counts as covered if all its bands are.
+    covered = rare.groupBy("fp").agg(F.countDistinct("slack").alias("n_rare"))
+    bands_of = open_.groupBy("fp").agg(F.countDistinct("slack").alias("n_bands"))
+    poor = bands_of.join(covered, "fp", "left").filter("coalesce(n_rare, 0) < n_bands").select("fp")
+    plain = open_.join(small(cut(poor), BROADCAST_ROWS), "fp", "left_semi")
+    counted = plain.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1")
+    order = Window.partitionBy("fp", "slack").orderBy("n", "sig")
+    ranked = counted.withColumn("at", F.row_number().over(order)).withColumn("held", F.count("*").over(Window.partitionBy("fp", "slack")))
+    held = cut(by_rare.unionByName(ranked.filter("at <= held - greatest(slack, 1) + 1").select("sig", "fp", "comp")))
+    return held.toDF("sig", "a", "ca").join(held.toDF("sig", "b", "cb"), "sig").filter("ca <> cb and a < b").select("a", "b")
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
