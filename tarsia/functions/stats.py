@@ -36,7 +36,8 @@ def robust_z(x: Column, med: Column, mad: Column, floor: float, n: Column, least
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
     """Ends of the 95 % Wilson interval, rounded to 4 places; null at n = 0."""
-    p, m = hits / F.nullif(n.cast("double"), F.lit(0.0)), n.cast("double")
+    m = F.nullif(n.cast("double"), F.lit(0.0))
+    p = hits / m
     centre, half = (p + z * z / (2 * m)) / (1 + z * z / m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
     return F.bround(F.greatest(F.lit(0.0), centre - half), 4), F.bround(F.least(F.lit(1.0), centre + half), 4)
 

@@ -34,10 +34,13 @@ def risk_index(t: Tables) -> DataFrame:
     """entity_id, base (weighted mean of known domains), n_rules, risk_index and band, raised to the floor that the
     severest finding with a confidence of 0.5 or more sets."""
     weights = F.create_map(*[F.lit(x) for kv in DOMAIN_WEIGHTS.items() for x in kv])
-    base = domain_scores(t).filter("score is not null").withColumn("w", weights[F.col("domain")]).groupBy("entity_id").agg((F.sum(F.col("w") * F.col("score")) / F.sum("w")).alias("base"))
+    base = domain_scores(t).filter("score is not null").withColumn("w", weights[F.col("domain")]).groupBy("entity_id").agg(
+        F.sum(F.round(F.col("w") * 1000).cast("long") * F.round(F.col("score") * 10).cast("long")).alias("points"), F.sum(F.round(F.col("w") * 1000).cast("long")).alias("w")
+    )
+    base = base.withColumn("base", F.col("points") / 10.0 / F.col("w"))  # whole numbers up to here, so the order of rows doesn't matter
     rules = findings(t).groupBy("entity_id").agg(F.countDistinct("rule_id").alias("n_rules"), F.max(F.when(F.col("confidence") >= 0.5, F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "high", 1).otherwise(0))).alias("floor"))
     out = base.join(rules, "entity_id", "left").withColumns({"n_rules": F.coalesce("n_rules", F.lit(0)), "floor": F.coalesce("floor", F.lit(0))})
-    out = out.withColumn("risk_index", F.bround(0.9 * F.col("base") + 0.1 * F.least(F.lit(100.0), 10.0 * F.col("n_rules")), 1))
+    out = out.withColumn("risk_index", F.bround((9.0 * F.col("base") + F.least(F.lit(100.0), 10.0 * F.col("n_rules"))) / 10.0, 1))
     level = F.when(F.col("risk_index") <= 25, 0).when(F.col("risk_index") <= 50, 1).when(F.col("risk_index") <= 75, 2).otherwise(3)
     return out.select("entity_id", F.bround("base", 4).alias("base"), "n_rules", "risk_index", F.element_at(F.array(*map(F.lit, ("low", "moderate", "high", "critical"))), F.greatest(level, F.col("floor")) + 1).alias("band"))
 

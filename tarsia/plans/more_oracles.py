@@ -14,8 +14,8 @@ F = f"f AS ({FINDINGS})"
 DS = f"""{F}, ds AS (SELECT e.entity_id, g.domain, round_even(100.0::DOUBLE * (1 - coalesce(miss, 1.0)), 1) AS score, coalesce(n, 0) AS n_findings
  FROM entity e CROSS JOIN (SELECT unnest([{', '.join(f"'{d}'" for d in DOMAIN_WEIGHTS)}]) AS domain) g
  LEFT JOIN (SELECT entity_id, {DOMAIN} AS domain, product(1 - score / 100.0::DOUBLE) AS miss, count(*) AS n FROM f GROUP BY 1, 2) x ON x.entity_id = e.entity_id AND x.domain = g.domain)"""
-RI = f"""{DS}, ri AS (SELECT b.entity_id, base, coalesce(n_rules, 0) AS n_rules, coalesce(fl, 0) AS fl, round_even(0.9::DOUBLE * base + 0.1::DOUBLE * least(100.0::DOUBLE, 10.0::DOUBLE * coalesce(n_rules, 0)), 1) AS risk_index
- FROM (SELECT entity_id, sum({WEIGHT} * score) / sum({WEIGHT}) AS base FROM ds GROUP BY 1) b
+RI = f"""{DS}, ri AS (SELECT b.entity_id, base, coalesce(n_rules, 0) AS n_rules, coalesce(fl, 0) AS fl, round_even((9.0::DOUBLE * base + least(100.0::DOUBLE, 10.0::DOUBLE * coalesce(n_rules, 0))) / 10.0::DOUBLE, 1) AS risk_index
+ FROM (SELECT entity_id, CAST(sum(CAST(round({WEIGHT} * 1000) AS BIGINT) * CAST(round(score * 10) AS BIGINT)) AS DOUBLE) / 10.0::DOUBLE / CAST(sum(CAST(round({WEIGHT} * 1000) AS BIGINT)) AS DOUBLE) AS base FROM ds GROUP BY 1) b
  LEFT JOIN (SELECT entity_id, count(DISTINCT rule_id) AS n_rules, max(CASE WHEN confidence >= 0.5 THEN CASE severity WHEN 'critical' THEN 2 WHEN 'high' THEN 1 ELSE 0 END END) AS fl FROM f GROUP BY 1) r ON r.entity_id = b.entity_id)"""
 MIN = "(epoch_us({0}) - epoch_us(created_at)) / 1e6"
 MONTHS = """mo AS (SELECT entity_id, strftime(created_at, '%Y-%m') AS month, CAST(date_trunc('month', created_at) AS DATE) AS m, count(*) AS alerts, count(*) FILTER (disposition = 'true_positive') AS tp, count(*) FILTER (closed_by_type = 'automation') AS auto FROM alert GROUP BY 1, 2, 3),
