@@ -109,7 +109,7 @@ def central_directory(file: Window) -> dict[str, tuple[int, int, int]]:
     tail_at = max(0, file.size - 65_557)
     tail = file.read(tail_at, file.size - tail_at)
     at = tail.rfind(b"PK\5\6")
-    while at >= 0 and struct.unpack_from("<H", tail, at + 20)[0] != len(tail) - at - 22:  # a comment may hold the mark
+    while at >= 0 and (len(tail) < at + 22 or struct.unpack_from("<H", tail, at + 20)[0] != len(tail) - at - 22):  # a comment may hold the mark
         at = tail.rfind(b"PK\5\6", 0, at)
     if at < 0:
         raise ValueError("no end of central directory")
