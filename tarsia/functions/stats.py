@@ -39,7 +39,7 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> tuple[Colum
     m = F.nullif(n.cast("double"), F.lit(0.0))
     p = hits / m
     centre, half = (p + z * z / (2 * m)) / (1 + z * z / m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
-    return F.bround(F.greatest(F.lit(0.0), centre - half), 4), F.bround(F.least(F.lit(1.0), centre + half), 4)
+    return tuple(F.when(m.isNotNull(), F.bround(end, 4)) for end in (F.greatest(F.lit(0.0), centre - half), F.least(F.lit(1.0), centre + half)))
 
 
 def benjamini_hochberg(df: DataFrame, p: str) -> DataFrame:
