@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import cut, read, small
 
-SHINGLE, PERCENT, FAMILIES, STAR_ROUNDS, COMMON = 5, 80, 6, 3, 64
+SHINGLE, PERCENT, FAMILIES, STAR_ROUNDS, FINER, PRUNINGS = 5, 80, 6, 3, 3, 3
 BAND = 1.5  # ratio of the ends of a size band
 BROADCAST_ROWS = 500_000  # of ids, 8 bytes each
 
@@ -112,7 +112,7 @@ def bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, n: int, families: int = FAMILIES, finer: int = 1) -> list[tuple[np.ndarray, int]]:
+def signatures(s: np.ndarray, n: int, finer: int = 1) -> list[tuple[np.ndarray, int]]:
     """For each band of a set of n elements: the signatures of s, all or some of them, and in how many non-empty
     groups it at least agrees with a partner (the slack; 0 if that can't be said)."""
     out = []
@@ -121,7 +121,7 @@ def signatures(s: np.ndarray, n: int, families: int = FAMILIES, finer: int = 1)
         groups = (most + 2 + most // 20) * finer
         own = (n + min(n * 100 // PERCENT, last)) * (100 - PERCENT) // (100 + PERCENT)
         parts, slack = [], 0
-        for family in range(families):
+        for family in range(FAMILIES):
             seed = U((first * FAMILIES + family) * 2 + 1)
             with np.errstate(over="ignore"):
                 h = mix(s + seed * ODD)
@@ -135,9 +135,6 @@ def signatures(s: np.ndarray, n: int, families: int = FAMILIES, finer: int = 1)
             if slack > 0:
                 break
         else:
-            if families == 1:
-                parts = []
-                continue
             empty = np.setdiff1d(np.arange(groups, dtype=U), g[at])
             parts.append(mix(mix(empty) + seed))
             slack = 0
@@ -160,7 +157,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp long")
 
 
-def signature_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def signature_rows(docs: DataFrame, size: int = SHINGLE, finer: int = 1) -> DataFrame:
     """sig, fp, slack: the signatures of each set; a set that a task meets again is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +169,7 @@ def signature_rows(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 if s.size < 4 or (fp := set_hash(s)) in seen:
                     continue
                 seen.add(fp)
-                for x, slack in signatures(s, s.size):
+                for x, slack in signatures(s, s.size, finer):
                     sig.append(x)
                     fps.append(np.full(x.size, fp, "i8"))
                     slacks.append(np.full(x.size, slack, "i4"))
@@ -217,9 +214,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
     near = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
     near = cut(near.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
     ends = near.select("a").union(near.select("b")).distinct().toDF("fp")
-    wanted = small(cut(classes.join(ends, "fp", "left_semi").select(F.col("first").alias("wanted")).distinct()), BROADCAST_ROWS)
-    d = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = cut(sets_of(d.join(wanted, d["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi"), size))
+    sets = cut(sets_of(texts_of(classes.join(ends, "fp", "left_semi"), docs), size))
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
     return cut(both.filter(similar("set_a", "set_b")).select("a", "b").distinct())
 
@@ -271,7 +266,7 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
             pairs = open_.withColumn("top", hub).selectExpr("*", "top.fp as hub").filter("comp <> top.comp").groupBy("hub", "fp", "slack").agg(F.count("*").alias("n")).filter("2 * n >= slack")
             pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
         else:
-            pairs = remaining_pairs(cut(open_.select("sig", "fp", "slack", "comp")), classes, docs, size)
+            pairs = remaining_pairs(open_.select("sig", "fp", "comp", "held"), classes, docs, size)
         pairs = pairs.distinct()
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         if pairs.isEmpty():
@@ -283,52 +278,84 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
     return rows, classes, labels
 
 
-def rare_signatures(classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """sig, fp, slack of classes, from those of their shingles that at most COMMON of them hold. Sets that differ in
-    so many elements at most differ in no more rare ones, so signatures of the rare part lose no pair as long as
-    it fills more groups than that (slack > 0; others have no rows). No bucket exceeds COMMON."""
+def texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of a first document of each of the classes."""
     wanted = small(cut(classes.select(F.col("first").alias("wanted")).distinct()), BROADCAST_ROWS)
     d = docs.select(F.col("doc_id").cast("long"), "text")
-    sets = sets_of(d.join(wanted, d["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi"), size).join(classes.select("fp"), "fp", "left_semi")
+    return d.join(wanted, d["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fps, sets = b.column(0).to_numpy(), [np.frombuffer(x.as_py(), "i8") for x in b.column(1)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(fps, [x.size for x in sets])), pa.array(np.concatenate(sets))], names=["fp", "shingle"])
+
+def homes(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """fp, hub, comp, n, nh (size of the hub's set) and e, the elements in which a class differs from its hub, of the
+    classes that differ in at most half their own size; what the hub alone has is told apart by its complement."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for fp, n, rare in zip(b.column("fp").to_pylist(), b.column("n").to_pylist(), b.column("rare")):
-                part = np.sort(rare.values.to_numpy().view(U))
-                for sig, slack in signatures(part, n, families=1, finer=8) if part.size else ():
-                    if slack > 0:
-                        yield pa.RecordBatch.from_arrays([pa.array(sig.view("i8")), pa.array(np.full(sig.size, fp, "i8")), pa.array(np.full(sig.size, slack, "i4"))], names=["sig", "fp", "slack"])
-
-    each = cut(sets.mapInArrow(spread, "fp long, shingle long").distinct())
-    rare = each.join(each.groupBy("shingle").count().filter(F.col("count") <= COMMON), "shingle").groupBy("fp").agg(F.collect_list("shingle").alias("rare"))
-    return rare.join(classes.select("fp", "n"), "fp").select("fp", "n", "rare").mapInArrow(run, "sig long, fp long, slack int")
+            keep, sizes, of_hub, delta = [], [], [], []
+            for k, (own, hub) in enumerate(zip(b.column("set"), b.column("hub_set"))):
+                x, y = np.frombuffer(own.as_py(), U), np.frombuffer(hub.as_py(), U)
+                e = np.concatenate([np.setdiff1d(x, y, True), ~np.setdiff1d(y, x, True)])
+                if 2 * e.size <= x.size:
+                    keep.append(k)
+                    sizes.append(x.size)
+                    of_hub.append(y.size)
+                    delta.append(e.view("i8"))
+            if keep:
+                ids = [b.column(c).take(pa.array(keep)) for c in ("fp", "hub", "comp")]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(of_hub, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], names=["fp", "hub", "comp", "n", "nh", "e"])
+
+    near = left.filter("fp <> hub").join(sets, "fp").join(sets.toDF("hub", "hub_set"), "hub")
+    return near.select("fp", "hub", "comp", "set", "hub_set").mapInArrow(run, "fp long, hub long, comp long, n long, nh long, e array<long>")
+
+
+def home_pairs(home: DataFrame) -> DataFrame:
+    """Pairs (a, b) with one hub that may be linked, and classes with their hub if they are.
+
+    A and B differ exactly where their differences from the hub, m elements each, differ. They are linked if that is
+    at most (n_a + n_b) / 9, so they share (x_a + x_b) / 2 or more elements of both, where x = m - n / 9. A class is
+    linked with the hub if x <= nh / 9. So two that are not share at least (x + nh / 9) / 2, seen from either. One
+    that is linked and one that is not share as much seen from the former; from the latter, with m >= 1 and
+    n <= nh + m of the former, (x - nh / 9 + 8 / 9) / 2. Each element is a group of its own here."""
+    known = home.selectExpr("fp", "hub", "comp", "9 * size(e) <= n + nh as linked", "greatest(1, ceil((9 * size(e) - n + nh) / 18)) as strong", "greatest(1, ceil((9 * size(e) - n - nh + 8) / 18)) as weak", "e")
+    rows = known.withColumn("weak", F.expr("if(linked, strong, weak)")).selectExpr("*", "explode(e) as one").selectExpr("fp", "comp", "linked", "strong", "weak", "xxhash64(hub, one) as sig")
+    of_class = Window.partitionBy("fp")
+    for _ in range(PRUNINGS):
+        rows = cut(crowded(rows, "comp").drop("lo", "hi").withColumn("held", F.count("*").over(of_class)).filter("held >= weak").drop("held"))
+    counted = crowded(rows, "comp").drop("lo", "hi").withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    ranked = counted.withColumn("held", F.count("*").over(of_class)).withColumn("at", F.row_number().over(of_class.orderBy("n", "sig")))
+    kept = cut(ranked.filter("at <= held - weak + 1").selectExpr("sig", "fp", "comp", "linked", "at <= held - strong + 1 as first"))
+    a, b = kept.toDF("sig", "a", "ca", "la", "fa"), kept.filter("not linked").toDF("sig", "b", "cb", "lb", "fb")
+    pairs = a.join(b, "sig").filter("ca <> cb and (la or fa and fb and a < b)").selectExpr("least(a, b) as a", "greatest(a, b) as b")
+    return pairs.union(known.filter("linked").selectExpr("least(fp, hub)", "greatest(fp, hub)"))
 
 
 def remaining_pairs(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """All pairs across components that may be linked: those that share a signature of their rare shingles, and
-    those of classes without enough rare ones that share one of all shingles. Of the latter, a class shares at
-    least slack signatures of a band with each partner; with all in one order, the rarest first, it may leave out
-    its last slack - 1, and what is left still meets."""
-    left = cut(open_.select("fp", "comp").distinct())
-    rare = cut(rare_signatures(classes.join(left, "fp", "left_semi"), docs, size))
-    by_rare = crowded(rare).join(small(left, BROADCAST_ROWS), "fp").select("sig", "fp", "comp")
-    # Bands in which a class has rare signatures find all its pairs; slack tells bands apart only roughly, so a
-    # class counts as covered if all its bands are.
-    covered = rare.groupBy("fp").agg(F.countDistinct("slack").alias("n_rare"))
-    bands_of = open_.groupBy("fp").agg(F.countDistinct("slack").alias("n_bands"))
-    poor = bands_of.join(covered, "fp", "left").filter("coalesce(n_rare, 0) < n_bands").select("fp")
-    plain = open_.join(small(cut(poor), BROADCAST_ROWS), "fp", "left_semi")
-    counted = plain.withColumn("n", F.count("*").over(Window.partitionBy("sig"))).filter("n > 1")
-    order = Window.partitionBy("fp", "slack").orderBy("n", "sig")
-    ranked = counted.withColumn("at", F.row_number().over(order)).withColumn("held", F.count("*").over(Window.partitionBy("fp", "slack")))
-    held = cut(by_rare.unionByName(ranked.filter("at <= held - greatest(slack, 1) + 1").select("sig", "fp", "comp")))
-    return held.toDF("sig", "a", "ca").join(held.toDF("sig", "b", "cb"), "sig").filter("ca <> cb and a < b").select("a", "b")
+    """All pairs across components that may be linked. open_: sig, fp, comp, held.
+
+    Many variants of one text agree on most signatures without being similar. Each class has a hub, the class of its
+    buckets with most shared signatures; if it is near, pairs with one hub are told by how they differ from it.
+
+    Pairs with different hubs meet in signatures of a domain cut FINER times as fine as before: a pair may still
+    differ in as many elements, so it agrees on at least slack of the groups, now a large part of them. A class that
+    shares fewer signatures of a band with all others together has no partner there and goes, which may take others
+    along. What stays is put in one order, the rarest first; a class may leave out its last slack - 1, and what is
+    left of two partners still meets."""
+    top = F.max(F.struct("held", "fp")).over(Window.partitionBy("sig"))
+    left = cut(open_.select("fp", "comp", top.alias("top")).groupBy("fp").agg(F.min("comp").alias("comp"), F.max("top").alias("top")).selectExpr("fp", "comp", "top.fp as hub"))
+    texts = texts_of(classes.join(small(left.select("fp"), BROADCAST_ROWS), "fp", "left_semi"), docs)
+    home = cut(homes(left, cut(sets_of(texts, size).dropDuplicates(["fp"]))))
+    own = small(cut(left.select("fp", "comp").join(home.select("fp", "hub"), "fp", "left").withColumn("hub", F.coalesce("hub", "fp"))), BROADCAST_ROWS)
+    rows = signature_rows(texts, size, FINER).dropDuplicates(["fp", "sig", "slack"]).join(own, "fp")
+    across = lambda frame: crowded(crowded(frame, "hub").drop("lo", "hi"), "comp").drop("lo", "hi")
+    for _ in range(PRUNINGS):
+        held = F.count("*").over(Window.partitionBy("fp", "slack"))
+        rows = cut(across(rows).withColumn("held", held).filter("held >= slack").drop("held"))
+    counted = across(rows).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
+    of_class = Window.partitionBy("fp", "slack")
+    ranked = counted.withColumn("held", F.count("*").over(of_class)).withColumn("at", F.row_number().over(of_class.orderBy("n", "sig")))
+    kept = cut(across(ranked.filter("held >= slack and at <= held - greatest(slack, 1) + 1")).select("sig", "fp", "comp", "hub"))
+    pairs = kept.toDF("sig", "a", "ca", "ha").join(kept.toDF("sig", "b", "cb", "hb"), "sig").filter("ca <> cb and ha <> hb and a < b").select("a", "b")
+    return pairs.unionByName(home_pairs(home))
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
