@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut, but a Parquet table in that folder, read again: its size is known. A checkpoint keeps the estimate of
+    the plan it ends, and over many rounds of joins estimates become products too long to multiply in time."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark a materialised frame for broadcast if it has at most max_rows rows; beyond that Spark shuffles."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, read, small
+from .common import read, small, written
 
 SHINGLE, PERCENT, FAMILIES, STAR_ROUNDS, FINER, PRUNINGS = 5, 80, 6, 3, 3, 3
 BAND = 1.5  # ratio of the ends of a size band
@@ -212,11 +212,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -
     text of a first document each, for those classes only whose sizes are near enough."""
     sized = classes.select("fp", "n")
     near = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
-    near = cut(near.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
+    near = written(near.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
     ends = near.select("a").union(near.select("b")).distinct().toDF("fp")
-    sets = cut(sets_of(texts_of(classes.join(ends, "fp", "left_semi"), docs), size))
+    sets = written(sets_of(texts_of(classes.join(ends, "fp", "left_semi"), docs), size))
     both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return cut(both.filter(similar("set_a", "set_b")).select("a", "b").distinct())
+    return written(both.filter(similar("set_a", "set_b")).select("a", "b").distinct())
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -226,16 +226,16 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = links
     while True:
         ends = edges.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").filter("ca <> cb").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
-        parents = cut(ends.groupBy("hi").agg(F.min("lo").alias("lo")))
+        parents = written(ends.groupBy("hi").agg(F.min("lo").alias("lo")))
         if parents.isEmpty():
             return labels
         while True:  # a parent may have a parent
             up = parents.alias("x").join(parents.toDF("mid", "top").alias("y"), F.col("x.lo") == F.col("y.mid"), "left")
-            jumped = cut(up.select("hi", F.coalesce("top", "lo").alias("lo"), F.col("top").isNotNull().alias("moved")))
+            jumped = written(up.select("hi", F.coalesce("top", "lo").alias("lo"), F.col("top").isNotNull().alias("moved")))
             parents = jumped.select("hi", "lo")
             if jumped.filter("moved").isEmpty():
                 break
-        labels = cut(labels.join(parents, labels["comp"] == parents["hi"], "left").select("fp", F.coalesce("lo", "comp").alias("comp")))
+        labels = written(labels.join(parents, labels["comp"] == parents["hi"], "left").select("fp", F.coalesce("lo", "comp").alias("comp")))
 
 
 def crowded(rows: DataFrame, by: str = "fp") -> DataFrame:
@@ -248,13 +248,13 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
     """(rows, classes, labels): rows are doc_id, n_shingles and fp of each row of docs; classes are the distinct
     sets: fp, the smallest doc_id and the size; labels are fp and comp, the smallest fp of the component of each
     class that may have a partner."""
-    rows = cut(fingerprints(docs, size))
-    classes = cut(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n")))
+    rows = written(fingerprints(docs, size))
+    classes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n")))
     shared = crowded(signature_rows(docs, size)).select("sig", "fp", "slack").distinct()
     # A class shares at least slack signatures of a band with each partner. One with fewer in all has none there.
     enough = shared.withColumn("held", F.count("*").over(Window.partitionBy("fp", "slack"))).filter("held >= slack")
-    shared = cut(crowded(enough).select("sig", "fp", "slack", "held"))
-    labels = cut(shared.select("fp").distinct().withColumn("comp", F.col("fp")))
+    shared = written(crowded(enough).select("sig", "fp", "slack", "held"))
+    labels = written(shared.select("fp").distinct().withColumn("comp", F.col("fp")))
     tested = None
     for turn in range(STAR_ROUNDS + 1):
         open_ = crowded(shared.join(small(labels, BROADCAST_ROWS), "fp"), "comp")
@@ -268,7 +268,7 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
         else:
             pairs = remaining_pairs(open_.select("sig", "fp", "comp", "held"), classes, docs, size)
         pairs = pairs.distinct()
-        pairs = cut(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
+        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
         if pairs.isEmpty():
             continue
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -280,7 +280,7 @@ def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFr
 
 def texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id and text of a first document of each of the classes."""
-    wanted = small(cut(classes.select(F.col("first").alias("wanted")).distinct()), BROADCAST_ROWS)
+    wanted = small(written(classes.select(F.col("first").alias("wanted")).distinct()), BROADCAST_ROWS)
     d = docs.select(F.col("doc_id").cast("long"), "text")
     return d.join(wanted, d["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
 
@@ -320,10 +320,10 @@ def home_pairs(home: DataFrame) -> DataFrame:
     rows = known.withColumn("weak", F.expr("if(linked, strong, weak)")).selectExpr("*", "explode(e) as one").selectExpr("fp", "comp", "linked", "strong", "weak", "xxhash64(hub, one) as sig")
     of_class = Window.partitionBy("fp")
     for _ in range(PRUNINGS):
-        rows = cut(crowded(rows, "comp").drop("lo", "hi").withColumn("held", F.count("*").over(of_class)).filter("held >= weak").drop("held"))
+        rows = written(crowded(rows, "comp").drop("lo", "hi").withColumn("held", F.count("*").over(of_class)).filter("held >= weak").drop("held"))
     counted = crowded(rows, "comp").drop("lo", "hi").withColumn("n", F.count("*").over(Window.partitionBy("sig")))
     ranked = counted.withColumn("held", F.count("*").over(of_class)).withColumn("at", F.row_number().over(of_class.orderBy("n", "sig")))
-    kept = cut(ranked.filter("at <= held - weak + 1").selectExpr("sig", "fp", "comp", "linked", "at <= held - strong + 1 as first"))
+    kept = written(ranked.filter("at <= held - weak + 1").selectExpr("sig", "fp", "comp", "linked", "at <= held - strong + 1 as first"))
     a, b = kept.toDF("sig", "a", "ca", "la", "fa"), kept.filter("not linked").toDF("sig", "b", "cb", "lb", "fb")
     pairs = a.join(b, "sig").filter("ca <> cb and (la or fa and fb and a < b)").selectExpr("least(a, b) as a", "greatest(a, b) as b")
     return pairs.union(known.filter("linked").selectExpr("least(fp, hub)", "greatest(fp, hub)"))
@@ -341,19 +341,19 @@ def remaining_pairs(open_: DataFrame, classes: DataFrame, docs: DataFrame, size:
     along. What stays is put in one order, the rarest first; a class may leave out its last slack - 1, and what is
     left of two partners still meets."""
     top = F.max(F.struct("held", "fp")).over(Window.partitionBy("sig"))
-    left = cut(open_.select("fp", "comp", top.alias("top")).groupBy("fp").agg(F.min("comp").alias("comp"), F.max("top").alias("top")).selectExpr("fp", "comp", "top.fp as hub"))
+    left = written(open_.select("fp", "comp", top.alias("top")).groupBy("fp").agg(F.min("comp").alias("comp"), F.max("top").alias("top")).selectExpr("fp", "comp", "top.fp as hub"))
     texts = texts_of(classes.join(small(left.select("fp"), BROADCAST_ROWS), "fp", "left_semi"), docs)
-    home = cut(homes(left, cut(sets_of(texts, size).dropDuplicates(["fp"]))))
-    own = small(cut(left.select("fp", "comp").join(home.select("fp", "hub"), "fp", "left").withColumn("hub", F.coalesce("hub", "fp"))), BROADCAST_ROWS)
+    home = written(homes(left, written(sets_of(texts, size).dropDuplicates(["fp"]))))
+    own = small(written(left.select("fp", "comp").join(home.select("fp", "hub"), "fp", "left").withColumn("hub", F.coalesce("hub", "fp"))), BROADCAST_ROWS)
     rows = signature_rows(texts, size, FINER).dropDuplicates(["fp", "sig", "slack"]).join(own, "fp")
     across = lambda frame: crowded(crowded(frame, "hub").drop("lo", "hi"), "comp").drop("lo", "hi")
     for _ in range(PRUNINGS):
         held = F.count("*").over(Window.partitionBy("fp", "slack"))
-        rows = cut(across(rows).withColumn("held", held).filter("held >= slack").drop("held"))
+        rows = written(across(rows).withColumn("held", held).filter("held >= slack").drop("held"))
     counted = across(rows).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
     of_class = Window.partitionBy("fp", "slack")
     ranked = counted.withColumn("held", F.count("*").over(of_class)).withColumn("at", F.row_number().over(of_class.orderBy("n", "sig")))
-    kept = cut(across(ranked.filter("held >= slack and at <= held - greatest(slack, 1) + 1")).select("sig", "fp", "comp", "hub"))
+    kept = written(across(ranked.filter("held >= slack and at <= held - greatest(slack, 1) + 1")).select("sig", "fp", "comp", "hub"))
     pairs = kept.toDF("sig", "a", "ca", "ha").join(kept.toDF("sig", "b", "cb", "hb"), "sig").filter("ca <> cb and ha <> hb and a < b").select("a", "b")
     return pairs.unionByName(home_pairs(home))
 
@@ -380,7 +380,7 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group; of equal rows with one doc_id, one. Rows with a
     null doc_id stay."""
     groups = near_duplicate_groups(docs, size)
-    gone = small(cut(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()), BROADCAST_ROWS)
+    gone = small(written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()), BROADCAST_ROWS)
     kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     twice = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
     return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
