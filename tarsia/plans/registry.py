@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsia.operators import metrics, peers, records, rules, scoring
-from tarsia.plans import more_oracles, oracles
+from tarsia.operators import catalog, metrics, peers, records, rules, scoring
+from tarsia.plans import catalog_oracles, more_oracles, oracles
 from tarsia.sources.projection import Tables
 
 NAMES = {
@@ -57,6 +57,20 @@ TABLE_QUERIES = {
     "entity_gate": records.gate_counts,
     "dq_issues": records.dq_issues,
     "dq_summary": records.dq_summary,
+    "submitted_tables": catalog.submitted_tables,
+    "tables_for_period": catalog.tables_for_period,
+    "overlapping_batches": catalog.overlapping_batches,
+    "content_hash": catalog.content_hash,
+    "auto_register_entity": catalog.auto_registered,
+    "cumulative_windows": catalog.cumulative_windows,
+    "source_mapping": catalog.mapped_orders,
+    "mapping_coverage": catalog.mapping_coverage,
+    "parse_values": catalog.parsed_values,
+    "rule_result_state": catalog.rule_states,
+    "coverage_classification": catalog.coverage,
+    "peer_outliers": catalog.peer_outliers,
+    "anomaly_scan": catalog.anomaly_scan,
+    "seeded_entity_split": catalog.seeded_split,
 }
 QUERIES |= {name: on_tables(f) for name, f in TABLE_QUERIES.items()}
 QUERIES |= {
@@ -65,5 +79,7 @@ QUERIES |= {
     "pseudonymise": records.pseudonyms,
     "taxonomy_normalise": records.order_severities,
     "parse_timestamp": records.parsed_times,
+    "word_shingles": catalog.turn_similarity,
 }
 ORACLES |= more_oracles.ORACLES
+ORACLES |= catalog_oracles.ORACLES
