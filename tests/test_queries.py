@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarsia.functions import stats
-from tarsia.operators import records, rules
+from tarsia.operators import catalog, peers, records, rules
 from tarsia.plans.registry import ORACLES, QUERIES
 from tarsia.sources.projection import Tables
 
@@ -63,3 +63,25 @@ def test_times_that_cannot_be_read(spark):
     df = spark.createDataFrame([("2024-01-01T05:30:00+05:30",), ("soon",), ("",), (None,), ("1704067200",)], "t string")
     got = [str(r.at) for r in df.select(records.read_time(F.col("t")).alias("at")).collect()]
     assert got == ["2024-01-01 00:00:00", "None", "None", "None", "2024-01-01 00:00:00"]
+
+
+def test_numbers_flags_and_shingles(spark):
+    df = spark.createDataFrame([("1,234,567.5",), ("12,34,567",), ("1,23,45",), (" -7 ",), ("",), (None,)], "v string")
+    assert [r.n for r in df.select(catalog.read_number(F.col("v")).alias("n")).collect()] == [1234567.5, 1234567.0, None, -7.0, None, None]
+    df = spark.createDataFrame([(" Yes",), ("off",), ("maybe",), (None,)], "v string")
+    assert [r.b for r in df.select(catalog.read_bool(F.col("v")).alias("b")).collect()] == [True, False, None, None]
+    df = spark.createDataFrame([("One two of THREE, four",), ("ab one two",), ("a b",), (None,)], "v string")
+    got = [r.s for r in df.select(catalog.word_shingles(F.col("v")).alias("s")).collect()]
+    assert got == [["one_two_three", "two_three_four"], ["one_two"], [], []]
+
+
+def test_outliers_of_uneven_entities(spark, sf_dir):
+    """An entity whose share lies far from its peers' is found, with a scale that keeps to the floor."""
+    t = Tables(spark, sf_dir)
+    large = [r.entity_id for r in t.alert.groupBy("entity_id").count().filter("count >= 30").collect()]
+    near = peers.bridge(t).filter(F.col("entity_id").isin(large) & F.col("peer_id").isin(large)).groupBy("entity_id").count()
+    odd, n_peers = near.orderBy(F.desc("count"), "entity_id").first()
+    assert n_peers >= 3
+    t.alert = t.alert.withColumn("disposition", F.when(F.col("entity_id") == odd, "benign").otherwise(F.lit("false_positive")))
+    got = {r.entity_id: r.z for r in catalog.peer_outliers(t).filter("metric = 'fp_share'").collect()}
+    assert got == {odd: -50.0}
