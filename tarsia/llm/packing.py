@@ -11,8 +11,11 @@ list of (pattern, times); pieces find their place in it by their rank among the
 from __future__ import annotations
 
 import base64
+import os
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,8 @@ from .common import cut, read, tokenizer_path
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json, as ranks
+JSON_FILE = "byte_bpe_50k.json"  # lies beside it
+LONG_SPACE = 100_000  # white space in a row that tiktoken still splits (its regex stack ends near a million)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
 
 
@@ -39,6 +44,27 @@ def encoder(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def ids_of(path: str) -> Callable[[str], list[int]]:
+    """The function from a text to its ids. Texts with very long white space, on which tiktoken's regex fails, go
+    through the tokenizers library."""
+    encode = encoder(path).encode_ordinary
+    long_space = re.compile(rf"(?<!\s)\s{{{LONG_SPACE}}}")
+    whole = None
+
+    def ids(text: str) -> list[int]:
+        nonlocal whole
+        if len(text) < LONG_SPACE or not long_space.search(text):
+            return encode(text)
+        if whole is None:
+            from tokenizers import Tokenizer
+
+            whole = Tokenizer.from_file(os.path.join(os.path.dirname(path), JSON_FILE))
+        return whole.encode(text, add_special_tokens=False).ids
+
+    return ids
+
+
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens: all full but the first."""
     first = n % capacity or capacity
@@ -53,7 +79,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = 0, voc
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = ids_of(path)
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             rows: list[tuple] = []

@@ -36,6 +36,18 @@ def test_ids_equal_those_of_the_json_vocabulary(spark, sf_dir):
     assert [a.encode(t, add_special_tokens=False).ids for t in texts] == [b.encode_ordinary(t) for t in texts]
 
 
+def test_ids_of_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    from tarsia.llm.common import tokenizer_path
+
+    whole, encode = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), packing.ids_of(tokenizer_path(packing.VOCABULARY))
+    for text in ("x" + " " * 1_100_000 + "a", "\n" * 1_100_000, "\u3000" * 1_100_000 + "a b", ("a" + " " * 99_999) * 12):
+        assert encode(text) == whole.encode(text, add_special_tokens=False).ids
+    rows = packing.pack_documents(spark.createDataFrame([(1, " " * 1_100_000 + "a"), (2, "b")], "doc_id long, text string")).collect()
+    assert sum(r.length for r in rows if r.doc_id == 1) == 1_100_001
+
+
 def test_packing(spark, sf_dir):
     rows = packing.op1_best_fit_packing(spark, sf_dir).collect()
     held = {}
