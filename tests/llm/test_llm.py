@@ -36,6 +36,19 @@ def test_ids_equal_those_of_the_json_vocabulary(spark, sf_dir):
     assert [a.encode(t, add_special_tokens=False).ids for t in texts] == [b.encode_ordinary(t) for t in texts]
 
 
+def test_ids_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from tarsia.llm.common import tokenizer_path
+
+    whole, encode = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")), packing.ids_of(tokenizer_path(packing.VOCABULARY))
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a  <|endoftext|><|endoftext|>\n\n b<|endoftext|", "<|ENDOFTEXT|> x", " \n", "", "ÄÖ 日本 \x00"]
+    assert [encode(t) for t in texts] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode(texts[0]) == [31373, 220, 50256, 995]
+    (row,) = packing.pack_documents(spark.createDataFrame([(1, texts[0])], "doc_id long, text string")).collect()
+    assert row.length == 5 and row.ids_crc32 == zlib.crc32(np.array([31373, 220, 50256, 995, 0], "<u4").tobytes())
+
+
 def test_ids_of_long_white_space(spark):
     from tokenizers import Tokenizer
 
