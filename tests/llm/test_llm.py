@@ -217,6 +217,23 @@ def test_html_without_article(spark):
     assert got[2] == "page2\nText of page2 & more\nsecond page2" and got[9] == "" and got[10] == ""
 
 
+def texts_of(spark, pages):
+    rows = [(k, f"http://h/{k}", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[k] for k in range(len(pages))]
+
+
+def test_html_copies_and_shared_headings(spark):
+    page = "<html><body><div class=top>The site</div><div class=content><h2>{0}</h2><p>{1}</p></div></body></html>"
+    copy = page.format("T", "Body")
+    assert texts_of(spark, [copy] * 5) == ["The site\nT\nBody"] * 5
+    differ = [page.format("Report" if k < 4 else f"Title {k}", f"The long body of page number {k}") for k in range(12)]
+    got = texts_of(spark, [*differ, copy, copy, copy])
+    assert got[0] == "Report\nThe long body of page number 0" and got[12:] == ["T\nBody"] * 3
+    near = [f"<html><body><div><h2>{k}</h2></div><div><p>One and the same long article.</p></div></body></html>" for k in range(4)]
+    assert texts_of(spark, near) == [f"{k}\nOne and the same long article." for k in range(4)]
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
     levels = urlfilter.cascade(keys.filter("id % 50 = 0"), keys)
