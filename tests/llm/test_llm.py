@@ -234,6 +234,28 @@ def test_html_copies_and_shared_headings(spark):
     assert texts_of(spark, near) == [f"{k}\nOne and the same long article." for k in range(4)]
 
 
+def test_html_wrappers_named_by_hints():
+    body = "<h2>Title</h2><p>The body of an article that is long enough.</p>"
+    want = "Title\nThe body of an article that is long enough."
+    for page in (
+        f"<div class='has-sidebar'><nav>Home</nav><article>{body}</article></div>",
+        f"<div id='page-with-menu'><article>{body}</article></div>",
+        f"<div class=banner><article>{body}</article></div><div class=related><article>Other</article></div>",
+        f"<form action=x><nav>Home</nav>{body}</form>",
+        f"<article><section class='related-work'>{body}</section><div class='site-footer'>x</div></article>",
+        f"<article>{body}</article><aside><article>Teaser</article></aside>",
+        f"<main>{body}<div class=comments><p>{'me too ' * 40}</p></div></main>",
+        f"<div class='cookie-banner'>We bake</div><div>{body}</div>",
+    ):
+        assert html.main_text(f"<html><body>{page}</body></html>", None) == want, page
+
+
+@pytest.mark.parametrize("tag", sorted(html.RAW))
+def test_html_unclosed_raw_elements(tag):
+    assert "after" in html.main_text(f"<article><p>before<{tag}><p>after</article>", None)
+    assert html.main_text(f"<article><p>before</p><{tag}>\"if a<b</{tag.upper()} ><p>after</p></article>", None) == "before\nafter"
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
     levels = urlfilter.cascade(keys.filter("id % 50 = 0"), keys)
