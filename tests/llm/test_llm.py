@@ -256,6 +256,17 @@ def test_html_unclosed_raw_elements(tag):
     assert html.main_text(f"<article><p>before</p><{tag}>\"if a<b</{tag.upper()} ><p>after</p></article>", None) == "before\nafter"
 
 
+def test_html_deep_nesting(spark):
+    pages = [f"<html><body><p>first {k}</p>" + f"<{t}>" * 5000 + f"<p>deep {t}</p>" + "".join(f"<{t}>x{i} " for i in range(50)) for k, t in enumerate(("div", "font", "span", "ul", "blockquote"))]
+    pages.append("<div>" * 400 + "<nav>menu</nav><article><p>one<p>two</article>" + "</div>" * 400 + "<p>after")
+    pages.append("<div>" * 400 + "one<div>two</div>three" + "</div>" * 399 + "<p>four</div>")
+    got = texts_of(spark, pages)
+    for k, tag in enumerate(("div", "font", "span", "ul", "blockquote")):
+        assert html.main_text(pages[k], None).split() == ["first", str(k), "deep", tag, *(f"x{i}" for i in range(50))]
+        assert got[k]
+    assert got[5] == "one\ntwo" and html.main_text(pages[6], None) == "one\ntwo\nthree\nfour"
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("h"), "id")
     levels = urlfilter.cascade(keys.filter("id % 50 = 0"), keys)
