@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarsia.sources.projection import Tables
+from tarsia.sources.projection import CANONICAL, Tables
 
 KEY = b"not-a-secret: the key is a parameter"
 
@@ -57,8 +57,8 @@ def table_status(t: Tables) -> DataFrame:
 
 
 def fingerprint(t: Tables) -> DataFrame:
-    """Rows and an order-independent hash of each table."""
-    out = [getattr(t, n).agg(F.lit(n).alias("table"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("*")).alias("hash")) for n in ("alert", "soc_case", "closure", "asset")]
+    """Rows and an order-independent hash of each canonical table."""
+    out = [getattr(t, n).agg(F.lit(n).alias("table"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("*")).alias("hash")) for n in CANONICAL]
     return reduce(DataFrame.unionByName, out)
 
 

@@ -30,10 +30,11 @@ DOMAINS = {
 }
 
 
-def first_ids(hits: DataFrame, ident: str, k: int, order: list[Column] | None = None) -> DataFrame:
-    """entity_id and evidence: the first k ids of each entity. Only k rows per entity are ever gathered."""
+def first_ids(hits: DataFrame, ident: str, k: int | None, order: list[Column] | None = None) -> DataFrame:
+    """entity_id and evidence: the first k ids of each entity, all if k is None. No more are ever gathered."""
     w = Window.partitionBy("entity_id").orderBy(*(order or []), ident)
-    top = hits.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k)
+    top = hits.withColumn("_n", F.row_number().over(w))
+    top = top if k is None else top.filter(F.col("_n") <= k)
     each = F.array_sort(F.collect_list(F.struct("_n", F.col(ident).alias("id"))))
     return top.groupBy("entity_id").agg(F.array_join(each["id"], ",").alias("evidence"))
 
@@ -82,7 +83,7 @@ def eg02(t: Tables) -> DataFrame:
     return finding("EG02", stats.filter("hits >= 5 and hits / population > 0.15"), over(70, "high", "medium"), first_ids(rows.filter("bad"), "alert_id", 10))
 
 
-def counted(rule: str, base: DataFrame, hits: DataFrame, ident: str, unit: float, least: int, severity, k: int, order: list[Column] | None = None) -> DataFrame:
+def counted(rule: str, base: DataFrame, hits: DataFrame, ident: str, unit: float, least: int, severity, k: int | None, order: list[Column] | None = None) -> DataFrame:
     """Rules that fire at a number of hits: distance is hits / unit, the population the rows of base."""
     stats = base.groupBy("entity_id").agg(F.count("*").alias("population")).join(hits.groupBy("entity_id").agg(F.count("*").alias("hits")), "entity_id")
     stats = stats.filter(F.col("hits") >= least).withColumn("distance", F.col("hits") / unit)
@@ -93,7 +94,7 @@ def eg03(t: Tables) -> DataFrame:
     """Critical true positives that nobody escalated."""
     base = t.alert.filter("severity_final = 'critical' and disposition = 'true_positive'")
     done = t.escalation.select("entity_id", F.col("ref_id").alias("alert_id"))
-    return counted("EG03", base, base.join(done, ["entity_id", "alert_id"], "left_anti"), "alert_id", 2.0, 1, "critical", 1_000_000)
+    return counted("EG03", base, base.join(done, ["entity_id", "alert_id"], "left_anti"), "alert_id", 2.0, 1, "critical", None)
 
 
 def eg04(t: Tables) -> DataFrame:
@@ -197,7 +198,7 @@ def eg11(t: Tables) -> DataFrame:
 def eg12(t: Tables) -> DataFrame:
     base = t.soc_case.filter("severity = 'critical'")
     done = t.workflow_event.filter("ref_type = 'case' and action = 'contain'").select("entity_id", F.col("ref_id").alias("case_id"))
-    return counted("EG12", base, base.join(done, ["entity_id", "case_id"], "left_anti"), "case_id", 2.0, 2, "high", 1_000_000)
+    return counted("EG12", base, base.join(done, ["entity_id", "case_id"], "left_anti"), "case_id", 2.0, 2, "high", None)
 
 
 def ns01(t: Tables) -> DataFrame:
@@ -207,7 +208,7 @@ def ns01(t: Tables) -> DataFrame:
     silent = days.join(assets, ["entity_id", "asset_id"]).filter("(in_service_from is null or date >= in_service_from) and (in_service_to is null or date <= in_service_to)")
     silent = silent.groupBy("entity_id", "asset_id").agg(F.count("*").alias("days")).filter("days >= 3")
     stats = silent.groupBy("entity_id").agg(F.count("*").alias("hits"), F.count("*").alias("population"), (F.max("days") / 3.0).alias("distance"))
-    return finding("NS01", stats, "critical", first_ids(silent, "asset_id", 1_000_000))
+    return finding("NS01", stats, "critical", first_ids(silent, "asset_id", None))
 
 
 def ns02(t: Tables) -> DataFrame:
@@ -219,7 +220,7 @@ def ns02(t: Tables) -> DataFrame:
     common = peers.join(have.withColumnRenamed("entity_id", "peer_id"), "peer_id").groupBy("entity_id", "category").agg(F.count("*").alias("n"))
     missing = common.join(size, "entity_id").filter(F.col("n") >= F.greatest(F.lit(1), F.ceil(0.6 * F.col("peers") - 1e-9))).join(have, ["entity_id", "category"], "left_anti")
     stats = totals.join(missing.groupBy("entity_id").agg(F.count("*").alias("hits")), "entity_id").withColumn("distance", F.col("hits") / 1.5)
-    return finding("NS02", stats, "high", first_ids(missing, "category", 1_000_000))
+    return finding("NS02", stats, "high", first_ids(missing, "category", None))
 
 
 def local_counts(t: Tables) -> DataFrame:
@@ -264,14 +265,14 @@ def ns06(t: Tables) -> DataFrame:
     base = t.asset.join(F.broadcast(span)).filter("(in_service_from is null or in_service_from <= until) and (in_service_to is null or in_service_to >= since)")
     heard = t.log_source_daily.filter("event_count > 0").select("entity_id", "asset_id").distinct()
     ghosts = base.join(heard, ["entity_id", "asset_id"], "left_anti").join(t.alert.select("entity_id", "asset_id").distinct(), ["entity_id", "asset_id"], "left_anti")
-    return counted("NS06", base, ghosts, "asset_id", 2.0, 2, "high", 1_000_000)
+    return counted("NS06", base, ghosts, "asset_id", 2.0, 2, "high", None)
 
 
 def ns07(t: Tables) -> DataFrame:
     base = t.soc_case.filter("severity = 'critical'")
     hits = base.join(t.external_report.select("entity_id", F.col("incident_id").alias("case_id")), ["entity_id", "case_id"], "left_anti")
     stats = hits.groupBy("entity_id").agg(F.count("*").alias("hits"), F.count("*").alias("population")).withColumn("distance", F.col("hits").cast("double"))
-    return finding("NS07", stats, "critical", first_ids(hits, "case_id", 1_000_000))
+    return finding("NS07", stats, "critical", first_ids(hits, "case_id", None))
 
 
 def ns08(t: Tables) -> DataFrame:

@@ -36,6 +36,21 @@ def test_rule_order_of_rows(spark, sf_dir):
     assert key(a) == key(b)
 
 
+def test_fingerprint_sees_every_table(spark, sf_dir):
+    names = ("alert", "workflow_event", "soc_case", "case_alert_link", "escalation", "log_source_daily", "declared_kpi", "sla_policy", "entity")
+    t, b = Tables(spark, sf_dir), Tables(spark, sf_dir)
+    b.escalation = t.escalation.limit(t.escalation.count() - 1)
+    first, second = ({r["table"]: (r["n"], r["hash"]) for r in records.fingerprint(x).collect()} for x in (t, b))
+    assert set(names) <= set(first) and not {"a0", "a1"} & set(first)
+    assert [n for n in first if first[n] != second[n]] == ["escalation"]
+
+
+def test_evidence_without_cap(spark):
+    hits = spark.createDataFrame([("E1", f"A{k}") for k in range(30)], "entity_id string, id string")
+    (row,) = rules.first_ids(hits, "id", None).collect()
+    assert row.evidence.split(",") == sorted(f"A{k}" for k in range(30))
+
+
 def test_pseudonym_is_hmac(spark):
     df = spark.createDataFrame([("a",), ("Ünï",), ("",), (None,)], "v string").select("v", records.pseudonym(F.col("v")).alias("p"))
     for r in df.collect():
