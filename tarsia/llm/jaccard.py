@@ -19,6 +19,7 @@ into its pairs; what still lies in different components at the end is verified p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -364,8 +365,15 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     Nulls and texts without words are empty sets, linked with nothing: their component is their own doc_id. A
     null doc_id counts as larger than any other. Repeated rows stay; rows with one doc_id and different texts
     are linked as separate texts."""
-    rows, classes, labels = set_classes(docs, size)
-    classes = classes.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    return grouped(*set_classes(docs, size))
+
+
+def with_component(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    return classes.join(labels, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+
+
+def grouped(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
+    classes = with_component(classes, labels)
     roots = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
     of_class = classes.join(roots, "comp").select("fp", "component_id")
     # The rows of a class may be a third of all: they are joined by class and a salt.
@@ -376,14 +384,34 @@ def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def with_fp(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Adds _fp, the hash of the shingle set (null for an empty one), to docs."""
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = (shingle_set(t.as_py(), size) for t in b.column("text"))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_hash(s) if s.size else None for s in sets], pa.int64())], names=[*b.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, f"{kind}, _fp long")
+
+
 def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; of equal rows with one doc_id, one. Rows with a
-    null doc_id stay."""
-    groups = near_duplicate_groups(docs, size)
-    gone = small(written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()), BROADCAST_ROWS)
-    kept = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    twice = groups.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1")
-    return kept if twice.isEmpty() else kept.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """One row of each group of docs: that with the smallest doc_id, null last. Rows without words are in no group;
+    of equal ones with one doc_id, one stays. A doc_id tells rows apart only if it isn't null and comes once, else
+    the row of a group is found by its doc_id and set."""
+    rows, classes, labels = set_classes(docs, size)
+    if rows.groupBy("doc_id").count().filter("doc_id is null or count > 1").isEmpty():
+        groups = grouped(rows, classes, labels)
+        gone = small(written(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone"))), BROADCAST_ROWS)
+        return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    best = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("_id"), F.col("fp").alias("_set")))
+    keep = small(written(with_component(classes, labels).groupBy("comp").agg(best.alias("k")).select("k._id", "k._set")), BROADCAST_ROWS)
+    marked = with_fp(docs, size)
+    full = marked.join(keep, (marked["_fp"] == keep["_set"]) & marked["doc_id"].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["_fp"])
+    empty = marked.filter("_fp is null")
+    parts = [full, empty.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]), empty.filter("doc_id is null")]
+    return reduce(DataFrame.unionByName, parts).select(*docs.columns)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -138,6 +138,15 @@ def test_jaccard_odd_rows(spark):
     assert jaccard.near_duplicate_groups(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_deduplicated_repeated_and_null_ids(spark):
+    x, y, z = ("one two three four five six seven eight", "nothing like any of the others is said in here", "a third text that stands all alone among these rows")
+    rows = [(3, x), (5, x), (5, y), (5, y), (None, z), (None, z), (None, x), (7, ""), (7, ""), (None, None)]
+    got = jaccard.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, [(3, x), (5, y), (None, z), (7, ""), (None, None)]))
+    plain = jaccard.deduplicated(spark.createDataFrame([(3, x), (5, x), (6, y), (7, ""), (8, "")], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in plain) == [3, 6, 7, 8]
+
+
 def test_mixing_odd_rows(spark):
     out = mixing.mix(odd_docs(spark)).collect()
     assert len(out) == 6 and all(r["copies"] <= 3 for r in out)
