@@ -5,9 +5,10 @@ excess handed on by weight. A budget of e sizes and a rest takes each document e
 are drawn without replacement with probabilities that follow a quality weight: each has the exponential key
 -ln(u) / weight, keys are sorted within the source and sizes summed up to the rest.
 
-Only the range of keys in which the sum crosses the rest needs sorting. Keys fall into ``BUCKETS`` ordered
-ranges per source; sums by range show which are taken whole and which one is cut, and only rows of the latter
-are shuffled. A source that holds a third of all rows so sorts a thousandth of them.
+Only the range of keys in which the sum crosses the rest needs sorting. Keys fall into ordered ranges,
+``BUCKETS`` for each doubling of the key; sums by range show which are taken whole and which one is cut, and only rows of the latter
+are shuffled. A range holds at most a thousandth of exponential keys of any weights (x * exp(-x) * ln(2) / BUCKETS is
+its share), so a source that holds a third of all rows sorts a thousandth of them, whatever its quality.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, read, small
 
-WEIGHTS, MAX_EPOCHS, SEED, BUCKETS, BROADCAST_SOURCES = (5, 2, 1), 3, 17, 1024, 20_000
+WEIGHTS, MAX_EPOCHS, SEED, BUCKETS, BROADCAST_SOURCES = (5, 2, 1), 3, 17, 256, 20_000
 IDEAL_WORD = 6.0  # characters of a word that the quality weight favours
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -39,7 +40,7 @@ def keyed(docs: DataFrame, weight: Column | None = None) -> DataFrame:
     sized = docs.withColumn("size", words(F.col("text")))
     with_key = sized.withColumn("_key", -F.log(u) / (weight if weight is not None else quality(F.col("text"), F.col("size"))))
     source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
-    return with_key.withColumns({"_source": source, "_bucket": F.floor((1.0 - F.exp(-F.col("_key") / 4.0)) * BUCKETS).cast("int")})
+    return with_key.withColumns({"_source": source, "_bucket": F.floor(F.log2(F.least(F.greatest("_key", F.lit(1e-18)), F.lit(1e18))) * BUCKETS).cast("int")})
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS) -> DataFrame:

@@ -153,6 +153,12 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(odd_docs(spark).limit(0)).count() == 0
 
 
+def test_mixing_buckets_of_texts_without_blanks(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.repeat(F.lit("語"), 600).alias("text"))
+    most = mixing.keyed(docs).groupBy("_bucket").count().agg(F.max("count")).first()[0]
+    assert most < 40
+
+
 def test_media_round_trip(spark):
     for raw in (b"", b"a", bytes(range(64)), bytes(70_000)):
         payload = media.padded(raw)
