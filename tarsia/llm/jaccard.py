@@ -1,19 +1,26 @@
 """Exact Jaccard join of documents on word shingles, by PartEnum signatures.
 
-Two sets of s <= t shingles with Jaccard similarity of at least 0.8 differ in at most (s + t) / 9 elements. The
-domain of shingles is hashed to more groups than that, so at least one group holds the same, non-empty part of
-both sets: that part, hashed, is a signature that the two share. Set sizes are cut into bands, each with its own
-number of groups; a set emits signatures for every band in which the larger set of a pair may lie.
-
-A group that both sets leave empty tells nothing. A pair that agrees on empty groups only leaves so many groups
-empty that both sets can see it for themselves; such sets emit signatures of a second, independent partition of
-the domain as well, and so on (``FAMILIES`` of them, and in the end the empty groups as signatures). So no pair
-is lost.
-
-Equal sets are one class from the start. Classes that share a signature are candidates, in rounds: each bucket
-of a signature proposes its members against the smallest one, candidates are verified on the exact sets, and
-components are updated. Buckets within one component are done, so a large group of near copies never expands
-into its pairs; what still lies in different components at the end is verified pair by pair.
+Two sets of s <= t shingles with Jaccard similarity of at least 0.8 differ in at most (s + t) / 9 elements. Set sizes
+are cut into bands; a set emits signatures for every band in which the larger set of a pair may lie. For a band whose
+pairs differ in at most k elements the domain of shingles is partitioned by hash into ``SHARE * k`` parts and each of
+these into three. Differences are too few to hit two thirds of a part everywhere, so of all (part, subset of two of its
+three thirds) enumerated, some hold the same elements of both sets: that content, hashed, is a signature the two share.
+``guarantee`` says how many at least.
+
+A subset that both sets leave empty tells nothing. Sets that leave too many empty emit signatures of a second,
+independent partition as well, and so on (``FAMILIES`` of them, and in the end the empty subsets as signatures). Two
+sets that agree on empty subsets only both see that they do, so no pair is lost.
+
+Equal sets are one class from the start. A signature met by one class only goes, then classes that hold fewer shared
+signatures than any partner would guarantee. Each bucket (the classes of a signature) proposes its members against two of
+them; these pairs are verified on the exact sets and linked. Buckets within one component are done, so a large group of
+near copies never expands into its pairs. Members of buckets that still span components are compared by their elements,
+rarest first: of two similar sets the first element in common stands early in both, how early depends on their sizes,
+and rows meet by element and pair of size cells. Whatever meets is verified on the exact sets.
+
+Hot buckets: a task passes on only ``FEW`` classes of a signature by its key, others by a salted one; all else about
+buckets is aggregated (smallest and largest class, two members) and joined back, which Spark combines before the shuffle
+and splits where it is skewed.
 """
 
 from __future__ import annotations
@@ -30,8 +37,11 @@ from pyspark.sql import types as T
 
 from .common import read, small, written
 
-SHINGLE, PERCENT, FAMILIES, STAR_ROUNDS, FINER, PRUNINGS = 5, 80, 6, 3, 3, 3
-BAND = 1.5  # ratio of the ends of a size band
+SHINGLE, PERCENT, FAMILIES = 5, 80, 6
+BAND = 1.6  # ratio of the ends of a size band
+SHARE = 0.6  # parts of the first level, as a share of the differences; from 0.5 on a pair shares a signature
+FEW, SALTS = 16, 255  # classes of a signature that a task passes on by its key; salts for the others
+CELL = 1.05  # ratio of the ends of a size cell
 BROADCAST_ROWS = 500_000  # of ids, 8 bytes each
 
 U = np.uint64
@@ -113,78 +123,104 @@ def bands(n: int) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(s: np.ndarray, n: int, finer: int = 1) -> list[tuple[np.ndarray, int]]:
-    """For each band of a set of n elements: the signatures of s, all or some of them, and in how many non-empty
-    groups it at least agrees with a partner (the slack; 0 if that can't be said)."""
-    out = []
+def differences(s: int, t: int) -> int:
+    """The most elements in which similar sets of s and t elements differ."""
+    return (s + t) * (100 - PERCENT) // (100 + PERCENT)
+
+
+def guarantee(parts: int, k: int) -> int:
+    """Of the three subsets of each part, how many k differences leave alone at least: the first in a part spoils two,
+    one in another third of it the last."""
+    once = min(k, parts)
+    return 3 * parts - 2 * once - min(k - once, parts)
+
+
+def enumerated(h: np.ndarray, value: np.ndarray, parts: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of the non-empty subsets of sorted hashes h, and marks of the empty subsets."""
+    third = ((h >> U(32)) * U(3 * parts)) >> U(32)
+    at = np.flatnonzero(np.diff(third, prepend=U(3 * parts)))
+    held, filled = np.zeros(3 * parts, U), np.zeros(3 * parts, bool)
+    with np.errstate(over="ignore"):
+        held[third[at]] = np.add.reduceat(value, at)
+        filled[third[at]] = True
+        held, filled = held.reshape(-1, 3), filled.reshape(-1, 3)
+        without = held.sum(1, dtype=U, keepdims=True) - held  # each subset leaves one third out
+        some = filled.sum(1, keepdims=True) > filled
+        name = mix(np.arange(3 * parts, dtype=U) + U(seed) * ODD).reshape(-1, 3)
+        return mix(without + name)[some], mix(name[~some] + U(1))
+
+
+def signatures(s: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
+    """For each band of a set: its signatures, the band, and how many of them it at least shares with a partner there
+    (the slack; 0 if that can't be said)."""
+    out, n, value = [], s.size, mix(s + U(1))
     for first, last in bands(n):
-        most = 2 * last * (100 - PERCENT) // (100 + PERCENT)
-        groups = (most + 2 + most // 20) * finer
-        own = (n + min(n * 100 // PERCENT, last)) * (100 - PERCENT) // (100 + PERCENT)
-        parts, slack = [], 0
+        parts = int(SHARE * differences(last, last)) + 1
+        sure = guarantee(parts, differences(n, min(n * 100 // PERCENT, last)))
+        rows, slack, h, v = [], 0, s, value
         for family in range(FAMILIES):
-            seed = U((first * FAMILIES + family) * 2 + 1)
-            with np.errstate(over="ignore"):
-                h = mix(s + seed * ODD)
-                group = ((h >> U(32)) * U(groups)) >> U(32)
-                order = np.argsort(group, kind="stable")
-                g = group[order]
-                at = np.flatnonzero(np.diff(g, prepend=U(groups)))
-                part = np.add.reduceat(mix(h[order]), at)
-                parts.append(mix(part + mix(g[at] + seed * U(1 << 32))))
-            slack = at.size - own
+            seed = first * FAMILIES + family
+            if family:
+                with np.errstate(over="ignore"):
+                    h = mix(s + U(seed) * ODD)
+                order = np.argsort(h)
+                h, v = h[order], value[order]
+            sig, empty = enumerated(h, v, parts, seed)
+            rows.append(sig)
+            slack = sure - empty.size
             if slack > 0:
                 break
         else:
-            empty = np.setdiff1d(np.arange(groups, dtype=U), g[at])
-            parts.append(mix(mix(empty) + seed))
-            slack = 0
-        out.append((np.concatenate(parts), max(slack if len(parts) == 1 else 0, 0)))
+            rows.append(empty)
+        out.append((np.concatenate(rows), first, slack if len(rows) == 1 else 0))
     return out
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, fp (hash of the set, null for an empty one) of each row of docs."""
+def signed(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """Rows of two kinds from one pass over docs. salt < 0, one for each row of docs: sig is its doc_id, fp the hash of its
+    set (null for an empty one), meta the size of its set. salt >= 0, the signatures of each set: sig, fp and meta (band
+    and slack). Of a set that a task meets again, and of sets of less than four elements, which are similar to equal ones
+    only, signatures are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[tuple[np.ndarray, int, int]] = []
+        count = 0
         for b in batches:
-            n, fp = [], []
+            n, fps = [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py(), size)
                 n.append(s.size)
-                fp.append(set_hash(s) if s.size else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64())], names=["doc_id", "n_shingles", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, fp long")
-
-
-def signature_rows(docs: DataFrame, size: int = SHINGLE, finer: int = 1) -> DataFrame:
-    """sig, fp, slack: the signatures of each set; a set that a task meets again is left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for b in batches:
-            sig, fps, slacks, count = [], [], [], 0
-            for t in b.column(0):
-                s = shingle_set(t.as_py(), size)
-                if s.size < 4 or (fp := set_hash(s)) in seen:
+                fps.append(fp := set_hash(s) if s.size else None)
+                if s.size < 4 or fp in seen:
                     continue
                 seen.add(fp)
-                for x, slack in signatures(s, s.size, finer):
-                    sig.append(x)
-                    fps.append(np.full(x.size, fp, "i8"))
-                    slacks.append(np.full(x.size, slack, "i4"))
-                    count += x.size
-                if count > 500_000:
-                    yield rows(sig, fps, slacks)
-                    sig, fps, slacks, count = [], [], [], 0
-            if count:
-                yield rows(sig, fps, slacks)
-
-    def rows(sig, fps, slacks):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([np.concatenate(sig).view("i8")], fps, slacks)], names=["sig", "fp", "slack"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "sig long, fp long, slack int")
+                for sig, first, slack in signatures(s):
+                    held.append((sig, fp, first << 32 | slack))
+                    count += sig.size
+                if count > 1_000_000:
+                    yield rows(held)
+                    held, count = [], 0
+            spread = -1 - np.random.default_rng(len(seen)).integers(0, 1 << 14, len(n))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(n, pa.int64()), pa.array(spread, pa.int32())], names=NAMES)
+        if held:
+            yield rows(held)
+
+    def rows(held) -> pa.RecordBatch:
+        sizes = [x[0].size for x in held]
+        sig = np.concatenate([x[0] for x in held])
+        fp, meta = (np.repeat(np.array([x[k] for x in held], "i8"), sizes) for k in (1, 2))
+        order = np.argsort(sig, kind="stable")
+        start = np.flatnonzero(np.diff(sig[order], prepend=~sig[order[:1]]))
+        rank = np.empty(sig.size, "i8")
+        rank[order] = np.arange(sig.size) - np.repeat(start, np.diff(start, append=sig.size))
+        salt = np.where(rank < FEW, 0, 1 + fp % SALTS).astype("i4")
+        return pa.RecordBatch.from_arrays(list(map(pa.array, (sig.view("i8"), fp, meta, salt))), names=NAMES)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "sig long, fp long, meta long, salt int")
+
+
+NAMES = ["sig", "fp", "meta", "salt"]
 
 
 def sets_of(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -208,25 +244,20 @@ def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=bool)
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b) of classes (fp, first, n) whose sets are similar. Sets are made again, from the
-    text of a first document each, for those classes only whose sizes are near enough."""
-    sized = classes.select("fp", "n")
-    near = pairs.join(sized.toDF("a", "na"), "a").join(sized.toDF("b", "nb"), "b")
-    near = written(near.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b"))
-    ends = near.select("a").union(near.select("b")).distinct().toDF("fp")
-    sets = written(sets_of(texts_of(classes.join(ends, "fp", "left_semi"), docs), size))
-    both = near.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    return written(both.filter(similar("set_a", "set_b")).select("a", "b").distinct())
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose sets (fp, n, set) are similar."""
+    near = pairs.distinct().join(sets.selectExpr("fp as a", "n as na"), "a").join(sets.selectExpr("fp as b", "n as nb"), "b")
+    near = near.filter(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)").select("a", "b")
+    both = near.join(sets.selectExpr("fp as a", "set as set_a"), "a").join(sets.selectExpr("fp as b", "set as set_b"), "b")
+    return written(both.filter(similar("set_a", "set_b")).select("a", "b"))
 
 
 def components(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Carries the smallest label over links (a, b). labels: fp, comp, where comp is the smallest fp of the
     component so far. Each turn takes the least label of the neighbours' components and jumps to that
     component's own label, so chains shorten by half or better."""
-    edges = links
     while True:
-        ends = edges.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").filter("ca <> cb").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
+        ends = links.join(labels.toDF("a", "ca"), "a").join(labels.toDF("b", "cb"), "b").filter("ca <> cb").select(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi"))
         parents = written(ends.groupBy("hi").agg(F.min("lo").alias("lo")))
         if parents.isEmpty():
             return labels
@@ -239,124 +270,92 @@ def components(labels: DataFrame, links: DataFrame) -> DataFrame:
         labels = written(labels.join(parents, labels["comp"] == parents["hi"], "left").select("fp", F.coalesce("lo", "comp").alias("comp")))
 
 
-def crowded(rows: DataFrame, by: str = "fp") -> DataFrame:
-    """The rows of signatures that have different values of a column."""
-    by_sig = Window.partitionBy("sig")
-    return rows.withColumn("lo", F.min(by).over(by_sig)).withColumn("hi", F.max(by).over(by_sig)).filter("lo <> hi")
+def bucket_rows(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, shared): doc_id, n_shingles and fp of each row of docs; sig, fp, slack and held (shared signatures of
+    the class in that band) of the signatures that different classes have, but for classes with too few of them."""
+    of_sig = Window.partitionBy("sig", "salt")
+    met = signed(docs, size).withColumns({"lo": F.min("fp").over(of_sig), "hi": F.max("fp").over(of_sig)})
+    kept = written(met.filter("salt <> 0 or lo <> hi").drop("lo", "hi"))
+    rows = kept.filter("salt < 0").selectExpr("sig as doc_id", "meta as n_shingles", "fp")
+    many = kept.filter("salt >= 0").select("sig", "fp", "meta").distinct()
+    held = many.withColumn("held", F.count("*").over(Window.partitionBy("fp", "meta"))).withColumn("slack", F.expr("meta & 4294967295"))
+    return rows, written(held.filter("held >= slack").drop("meta"))
 
 
 def set_classes(docs: DataFrame, size: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, classes, labels): rows are doc_id, n_shingles and fp of each row of docs; classes are the distinct
     sets: fp, the smallest doc_id and the size; labels are fp and comp, the smallest fp of the component of each
-    class that may have a partner."""
-    rows = written(fingerprints(docs, size))
-    classes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n")))
-    shared = crowded(signature_rows(docs, size)).select("sig", "fp", "slack").distinct()
-    # A class shares at least slack signatures of a band with each partner. One with fewer in all has none there.
-    enough = shared.withColumn("held", F.count("*").over(Window.partitionBy("fp", "slack"))).filter("held >= slack")
-    shared = written(crowded(enough).select("sig", "fp", "slack", "held"))
-    labels = written(shared.select("fp").distinct().withColumn("comp", F.col("fp")))
-    tested = None
-    for turn in range(STAR_ROUNDS + 1):
-        open_ = crowded(shared.join(small(labels, BROADCAST_ROWS), "fp"), "comp")
-        if turn < STAR_ROUNDS:
-            # Against one member of each bucket; likely ones only, the last turn has all others. First that with
-            # most shared signatures (what others are copies of has more than they), then one by chance.
-            first = F.col("held") if turn == 0 else F.xxhash64(F.lit(turn), "fp")
-            hub = F.max(F.struct(first.alias("order"), "fp", "comp")).over(Window.partitionBy("sig"))
-            pairs = open_.withColumn("top", hub).selectExpr("*", "top.fp as hub").filter("comp <> top.comp").groupBy("hub", "fp", "slack").agg(F.count("*").alias("n")).filter("2 * n >= slack")
-            pairs = pairs.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b"))
-        else:
-            pairs = remaining_pairs(open_.select("sig", "fp", "comp", "held"), classes, docs, size)
-        pairs = pairs.distinct()
-        pairs = written(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs)
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = verified(pairs, classes, docs, size)
-        if not links.isEmpty():
-            labels = components(labels, links)
-    return rows, classes, labels
+    class that has a partner."""
+    rows, shared = bucket_rows(docs, size)
+    classes = written(rows.filter("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.count("*").alias("n_rows")))
+    # Two members of each bucket: that with most shared signatures (what others are copies of has more than they), one by chance.
+    hubs = shared.groupBy("sig").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.max_by("fp", F.struct("held", "fp")).alias("full"), F.max_by("fp", F.xxhash64("fp", F.lit(size))).alias("other"))
+    hubs = hubs.filter("lo <> hi").select("sig", F.array_distinct(F.array("full", "other")).alias("hubs"))
+    shared = written(shared.join(hubs, "sig"))
+    met = shared.select("fp", "slack", F.explode("hubs").alias("hub")).filter("fp <> hub").groupBy("hub", "fp", "slack").count().filter("count >= slack")
+    ids = small(written(shared.select("fp").distinct()), BROADCAST_ROWS)
+    sets = written(sets_of(texts_of(classes.join(ids, "fp", "left_semi"), docs), size).dropDuplicates(["fp"]).join(classes.select("fp", "n"), "fp"))
+    links = verified(met.select(F.least("hub", "fp").alias("a"), F.greatest("hub", "fp").alias("b")), sets)
+    labels = components(written(ids.select("fp", F.col("fp").alias("comp"))), links)
+    links = verified(remaining_pairs(shared.select("sig", "fp").join(labels, "fp"), sets), sets)
+    return rows, classes, components(labels, links)
 
 
 def texts_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id and text of a first document of each of the classes."""
+    """The texts of a first document each of the classes."""
     wanted = small(written(classes.select(F.col("first").alias("wanted")).distinct()), BROADCAST_ROWS)
     d = docs.select(F.col("doc_id").cast("long"), "text")
     return d.join(wanted, d["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi")
 
 
-def homes(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """fp, hub, comp, n, nh (size of the hub's set) and e, the elements in which a class differs from its hub, of the
-    classes that differ in at most half their own size; what the hub alone has is told apart by its complement."""
+def elements(sets: DataFrame) -> DataFrame:
+    """fp, comp, n and e of each element e of sets (fp, comp, n, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep, sizes, of_hub, delta = [], [], [], []
-            for k, (own, hub) in enumerate(zip(b.column("set"), b.column("hub_set"))):
-                x, y = np.frombuffer(own.as_py(), U), np.frombuffer(hub.as_py(), U)
-                e = np.concatenate([np.setdiff1d(x, y, True), ~np.setdiff1d(y, x, True)])
-                if 2 * e.size <= x.size:
-                    keep.append(k)
-                    sizes.append(x.size)
-                    of_hub.append(y.size)
-                    delta.append(e.view("i8"))
-            if keep:
-                ids = [b.column(c).take(pa.array(keep)) for c in ("fp", "hub", "comp")]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(of_hub, pa.int64()), pa.array(delta, pa.list_(pa.int64()))], names=["fp", "hub", "comp", "n", "nh", "e"])
-
-    near = left.filter("fp <> hub").join(sets, "fp").join(sets.toDF("hub", "hub_set"), "hub")
-    return near.select("fp", "hub", "comp", "set", "hub_set").mapInArrow(run, "fp long, hub long, comp long, n long, nh long, e array<long>")
-
-
-def home_pairs(home: DataFrame) -> DataFrame:
-    """Pairs (a, b) with one hub that may be linked, and classes with their hub if they are.
-
-    A and B differ exactly where their differences from the hub, m elements each, differ. They are linked if that is
-    at most (n_a + n_b) / 9, so they share (x_a + x_b) / 2 or more elements of both, where x = m - n / 9. A class is
-    linked with the hub if x <= nh / 9. So two that are not share at least (x + nh / 9) / 2, seen from either. One
-    that is linked and one that is not share as much seen from the former; from the latter, with m >= 1 and
-    n <= nh + m of the former, (x - nh / 9 + 8 / 9) / 2. Each element is a group of its own here."""
-    known = home.selectExpr("fp", "hub", "comp", "9 * size(e) <= n + nh as linked", "greatest(1, ceil((9 * size(e) - n + nh) / 18)) as strong", "greatest(1, ceil((9 * size(e) - n - nh + 8) / 18)) as weak", "e")
-    rows = known.withColumn("weak", F.expr("if(linked, strong, weak)")).selectExpr("*", "explode(e) as one").selectExpr("fp", "comp", "linked", "strong", "weak", "xxhash64(hub, one) as sig")
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                each = [np.frombuffer(s.as_py(), "i8") for s in part.column("set")]
+                of = pa.array(np.repeat(np.arange(len(each)), [x.size for x in each]))
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(of) for c in ("fp", "comp", "n")), pa.array(np.concatenate(each))], names=["fp", "comp", "n", "e"])
+
+    return sets.select("fp", "comp", "n", "set").mapInArrow(run, "fp long, comp long, n long, e long")
+
+
+def across(rows: DataFrame, *key: str) -> DataFrame:
+    """key, found and top of the keys at which rows of different comp meet: the rows, and of these components the one
+    with most classes."""
+    met = rows.groupBy(*key).agg(F.count("*").alias("found"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("weight", "comp")).alias("top") if "weight" in rows.columns else F.lit(0).alias("top"))
+    return met.filter("lo <> hi").drop("lo", "hi")
+
+
+def remaining_pairs(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """All pairs (a, b) across components that may be linked. shared: sig, fp, comp.
+
+    Only classes in buckets with several components are looked at. Their elements are put in one order: first those
+    that no two components share, then by how many classes have them, rarest first. If A and B are linked, at least
+    4/9 of n_a + n_b elements are common, so the first common one is at a place i in A with n_a - i + 1 of at least
+    that, and likewise in B. So place i limits a partner's size; rows meet by element and by both sizes' cells. Pairs
+    within one component needn't meet: of each key's largest component rows meet those of others only."""
+    open_ = shared.join(across(shared, "sig"), "sig", "left_semi").select("fp", "comp").distinct()
+    weights = open_.groupBy("comp").agg(F.count("*").alias("weight"))
+    left = written(open_.join(weights, "comp"))
+    each = elements(left.join(sets, "fp")).join(left.select("fp", "weight"), "fp")
+    each = written(each)
+    ranked = each.join(across(each.select("e", "comp"), "e").select("e", "found"), "e")
     of_class = Window.partitionBy("fp")
-    for _ in range(PRUNINGS):
-        rows = written(crowded(rows, "comp").drop("lo", "hi").withColumn("held", F.count("*").over(of_class)).filter("held >= weak").drop("held"))
-    counted = crowded(rows, "comp").drop("lo", "hi").withColumn("n", F.count("*").over(Window.partitionBy("sig")))
-    ranked = counted.withColumn("held", F.count("*").over(of_class)).withColumn("at", F.row_number().over(of_class.orderBy("n", "sig")))
-    kept = written(ranked.filter("at <= held - weak + 1").selectExpr("sig", "fp", "comp", "linked", "at <= held - strong + 1 as first"))
-    a, b = kept.toDF("sig", "a", "ca", "la", "fa"), kept.filter("not linked").toDF("sig", "b", "cb", "lb", "fb")
-    pairs = a.join(b, "sig").filter("ca <> cb and (la or fa and fb and a < b)").selectExpr("least(a, b) as a", "greatest(a, b) as b")
-    return pairs.union(known.filter("linked").selectExpr("least(fp, hub)", "greatest(fp, hub)"))
-
-
-def remaining_pairs(open_: DataFrame, classes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """All pairs across components that may be linked. open_: sig, fp, comp, held.
-
-    Many variants of one text agree on most signatures without being similar. Each class has a hub, the class of its
-    buckets with most shared signatures; if it is near, pairs with one hub are told by how they differ from it.
-
-    Pairs with different hubs meet in signatures of a domain cut FINER times as fine as before: a pair may still
-    differ in as many elements, so it agrees on at least slack of the groups, now a large part of them. A class that
-    shares fewer signatures of a band with all others together has no partner there and goes, which may take others
-    along. What stays is put in one order, the rarest first; a class may leave out its last slack - 1, and what is
-    left of two partners still meets."""
-    top = F.max(F.struct("held", "fp")).over(Window.partitionBy("sig"))
-    left = written(open_.select("fp", "comp", top.alias("top")).groupBy("fp").agg(F.min("comp").alias("comp"), F.max("top").alias("top")).selectExpr("fp", "comp", "top.fp as hub"))
-    texts = texts_of(classes.join(small(left.select("fp"), BROADCAST_ROWS), "fp", "left_semi"), docs)
-    home = written(homes(left, written(sets_of(texts, size).dropDuplicates(["fp"]))))
-    own = small(written(left.select("fp", "comp").join(home.select("fp", "hub"), "fp", "left").withColumn("hub", F.coalesce("hub", "fp"))), BROADCAST_ROWS)
-    rows = signature_rows(texts, size, FINER).dropDuplicates(["fp", "sig", "slack"]).join(own, "fp")
-    across = lambda frame: crowded(crowded(frame, "hub").drop("lo", "hi"), "comp").drop("lo", "hi")
-    for _ in range(PRUNINGS):
-        held = F.count("*").over(Window.partitionBy("fp", "slack"))
-        rows = written(across(rows).withColumn("held", held).filter("held >= slack").drop("held"))
-    counted = across(rows).withColumn("n", F.count("*").over(Window.partitionBy("sig")))
-    of_class = Window.partitionBy("fp", "slack")
-    ranked = counted.withColumn("held", F.count("*").over(of_class)).withColumn("at", F.row_number().over(of_class.orderBy("n", "sig")))
-    kept = written(across(ranked.filter("held >= slack and at <= held - greatest(slack, 1) + 1")).select("sig", "fp", "comp", "hub"))
-    pairs = kept.toDF("sig", "a", "ca", "ha").join(kept.toDF("sig", "b", "cb", "hb"), "sig").filter("ca <> cb and ha <> hb and a < b").select("a", "b")
-    return pairs.unionByName(home_pairs(home))
+    place = F.row_number().over(of_class.orderBy("found", "e")) + F.col("n") - F.count("*").over(of_class)
+    cell = lambda n: f"cast(floor(ln({n}) / ln({CELL})) as int)"
+    whole = 100 + PERCENT
+    placed = ranked.withColumn("i", place).withColumn("most", F.expr(f"{whole} * (n - i + 1) div {PERCENT} - n")).filter(f"100 * most >= {PERCENT} * n")
+    placed = placed.withColumn("own", F.expr(cell("n"))).withColumn("cell", F.explode(F.expr(f"sequence({cell(f'ceil({PERCENT / 100} * n)')}, {cell('most')})")))
+    rows = written(placed.selectExpr("e", "least(own, cell) as c1", "greatest(own, cell) as c2", "own", "fp", "comp", "weight", "n", "i"))
+    key = ["e", "c1", "c2"]
+    rows = written(rows.join(across(rows, *key).select(*key, "top"), key))
+    a = rows.filter("comp <> top").selectExpr(*key, "fp as a", "comp as ca", "n as na", "i as ia", "own as oa")
+    b = rows.selectExpr(*key, "fp as b", "comp as cb", "n as nb", "i as ib", "own as ob")
+    fits = f"ca <> cb and (oa <> ob or c1 = c2) and {whole} * (na - ia + 1) >= {PERCENT} * (na + nb) and {whole} * (nb - ib + 1) >= {PERCENT} * (na + nb)"
+    return a.join(b, key).filter(fits).selectExpr("least(a, b) as a", "greatest(a, b) as b").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -373,15 +372,11 @@ def with_component(classes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    classes = with_component(classes, labels)
-    roots = classes.groupBy("comp").agg(F.min("first").alias("component_id"))
-    of_class = classes.join(roots, "comp").select("fp", "component_id")
-    # The rows of a class may be a third of all: they are joined by class and a salt.
-    salts = 16
-    left = rows.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(salts)))
-    right = of_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    out = left.join(right, ["fp", "salt"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = with_component(classes, labels)
+    roots = named.groupBy("comp").agg(F.min("first").alias("component_id"), F.sum("n_rows").alias("rows"))
+    # Rows that are alone are their own component. A class may hold a third of all rows: broadcast, or split as skewed.
+    of_class = small(written(named.join(roots.filter("rows > 1"), "comp").select("fp", "component_id")), BROADCAST_ROWS)
+    return rows.join(of_class, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def with_fp(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
