@@ -1,11 +1,13 @@
 """Language identification in two steps: the family first, then the language within it.
 
 Features are hashed byte trigrams of the whole lower-cased text, as unit vectors of square roots. Families come
-from the data: languages are joined with the language whose mean vector is nearest. One-versus-rest linear
-support vector machines tell families apart, one-versus-one machines the languages of one family.
+from the data: languages are merged by average linkage of their mean vectors, and the tree is cut where the similarity
+of merges drops most, so three languages or more make at least two families. One-versus-rest linear support vector
+machines tell families apart, one-versus-one machines the languages of one family.
 
-The machines are fitted on the driver on a sample of labelled rows that is bounded by ``SAMPLE`` rows in all;
-everything else covers every row. Prediction runs over whole texts on the executors.
+The machines are fitted on the driver on a sample of labelled rows: ``SAMPLE`` shared by the languages in equal parts, at
+least ``LEAST`` of each, never more than twice that in all; a row comes as one byte a feature. Everything else covers
+every row. Prediction runs over whole texts on the executors.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 BITS = 12  # of hashed features
-SAMPLE = 4000  # labelled rows to fit on, shared by the languages in equal parts
+SAMPLE, LEAST = 2000, 20  # labelled rows to fit on, shared by the languages in equal parts; of one language at least
 UNKNOWN = "und"
 TABLE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -42,35 +44,37 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, steps: int = 120) -> np.ndarray:
-    """Linear support vector machine (squared hinge, accelerated gradient descent); the last column of x is 1.
-    The two classes weigh the same."""
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype("f4")
-    w = v = np.zeros(x.shape[1], "f4")
+def quantised(x: np.ndarray) -> bytes:
+    """A feature vector in one byte a feature, in shares of its largest."""
+    return np.rint(x * (255 / (x.max() or 1))).astype("u1").tobytes()
+
+
+def fit_svm(positive: list[np.ndarray], negative: list[np.ndarray], penalty: float = 1e-3, steps: int = 120) -> np.ndarray:
+    """Linear support vector machine (squared hinge, accelerated gradient descent) on blocks of rows, read in place; the
+    last column of a block is 1. The two classes weigh the same."""
+    blocks = [(x, y, np.float32(0.5 * y / max(1, sum(map(len, side))))) for side, y in ((positive, 1), (negative, -1)) for x in side if len(x)]
+    w = v = np.zeros(blocks[0][0].shape[1], "f4")
     step = 1.0 / (penalty + 2.0 * 2.0)  # rows have squared length 2 at most, weights sum to 1
     for k in range(steps):
-        margin = np.maximum(0, 1 - y * (x @ v)) * weight * y
-        new = v - step * (penalty * v - 2 * (x.T @ margin))
+        new = v - step * (penalty * v - 2 * sum(x.T @ (np.maximum(0, 1 - y * (x @ v)) * weight) for x, y, weight in blocks))
         v = new + k / (k + 3) * (new - w)
         w = new
     return w
 
 
 class Model:
-    """Families of languages and the machines that tell them apart."""
-
-    def __init__(self, x: np.ndarray, y: list[str]):
-        names, label = np.unique(np.array(y, dtype=object).astype(str), return_inverse=True) if len(y) else (np.array([], str), np.array([], int))
-        self.languages = [str(n) for n in names]
-        x = np.hstack([x, np.ones((len(x), 1), "f4")]) if len(y) else x
-        self.families = families(np.array([x[label == k].mean(0) for k in range(len(names))])) if len(names) else []
-        family = np.zeros(len(names), int)
-        for k, members in enumerate(self.families):
-            family[members] = k
-        sign = lambda on: np.where(on, 1, -1).astype("f4")
-        self.of_family = np.array([fit_svm(x, sign(family[label] == k)) for k in range(len(self.families))]) if len(self.families) > 1 else None
-        self.pairs = [[(a, b) for a, b in combinations(m, 2)] for m in self.families]
-        self.of_pair = [np.array([fit_svm(x[(label == a) | (label == b)], sign(label[(label == a) | (label == b)] == a)) for a, b in p]) for p in self.pairs]
+    """Families of languages and the machines that tell them apart. x: rows of features and a last column of ones,
+    sorted by language; names: the languages in that order; counts: how many rows each has."""
+
+    def __init__(self, x: np.ndarray, names: list[str], counts: list[int]):
+        self.languages = names
+        ends = np.cumsum([0, *counts])
+        rows = [x[ends[k] : ends[k + 1]] for k in range(len(names))]
+        self.families = families(np.array([r[:, :-1].mean(0) for r in rows])) if names else []
+        split = lambda members: ([rows[k] for k in members], [rows[k] for k in range(len(names)) if k not in members])
+        self.of_family = np.array([fit_svm(*split(m)) for m in self.families]) if len(self.families) > 1 else None
+        self.pairs = [list(combinations(m, 2)) for m in self.families]
+        self.of_pair = [np.array([fit_svm([rows[a]], [rows[b]]) for a, b in p]) for p in self.pairs]
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """The language of each row and a score in 0..1: its family's share times its mean share of the duels."""
@@ -102,16 +106,21 @@ def squash(margin: np.ndarray) -> np.ndarray:
 
 
 def families(means: np.ndarray) -> list[list[int]]:
-    """Groups of languages, each joined with the one whose mean vector is nearest."""
-    n = len(means)
-    if n < 2:
-        return [[k] for k in range(n)]
-    near = means @ means.T / np.outer(*[np.linalg.norm(means, axis=1)] * 2)
-    np.fill_diagonal(near, -np.inf)
-    group = list(range(n))
-    for a, b in enumerate(near.argmax(1)):
-        group = [group[b] if g == group[a] else g for g in group]
-    return [[k for k in range(n) if group[k] == g] for g in dict.fromkeys(group)]
+    """Groups of languages: merged by average linkage of their means' cosines, cut before the merge at which
+    similarity drops most. One or two languages are one family."""
+    groups = [[k] for k in range(len(means))]
+    if len(groups) < 3:
+        return [[k for g in groups for k in g]] if groups else []
+    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+    near = unit @ unit.T
+    steps, height = [groups], []
+    while len(groups) > 1:
+        a, b = max(combinations(range(len(groups)), 2), key=lambda p: near[np.ix_(groups[p[0]], groups[p[1]])].mean())
+        height.append(near[np.ix_(groups[a], groups[b])].mean())
+        groups = [g for k, g in enumerate(groups) if k not in (a, b)] + [sorted(groups[a] + groups[b])]
+        steps.append(groups)
+    drop = np.diff(height)  # between one merge and the next: steps[k + 1] stands before the merge of height[k + 1]
+    return sorted(steps[int(drop.argmin()) + 1])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -124,20 +133,26 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not counts:
-        return Model(np.zeros((0, 1 << BITS), "f4"), [])
-    each = max(20, sample // len(counts))
+        return Model(np.zeros((0, 1), "f4"), [], [])
+    each = max(LEAST, sample // len(counts))
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, each / n))])
     drawn = usable.filter(F.pmod(F.xxhash64(F.lit("draw"), "doc_id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(lang, features(t).tobytes()) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
+            rows = [(lang, quantised(features(t))) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if has_letter(t)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
-    rows = drawn.select("lang", F.col("text").cast("string")).mapInArrow(run, "lang string, x binary").limit(2 * sample + 20 * len(counts)).toArrow()
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), "f4").reshape(-1, 1 << BITS)
-    return Model(x, rows.column("lang").to_pylist())
+    rows = drawn.select("lang", F.col("text").cast("string")).mapInArrow(run, "lang string, x binary").limit(2 * each * len(counts)).toArrow()
+    lang = np.array(rows.column("lang").to_pylist(), object).astype(str)
+    names, found = np.unique(lang, return_counts=True)
+    x = np.ones((len(lang), (1 << BITS) + 1), "f4")
+    column = rows.column("x")
+    for k, at in enumerate(np.argsort(lang, kind="stable")):
+        x[k, :-1] = np.frombuffer(column[int(at)].as_py(), "u1")
+    x[:, :-1] /= np.maximum(np.linalg.norm(x[:, :-1], axis=1, keepdims=True), 1e-12)
+    return Model(x, [str(n) for n in names], found.tolist())
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
