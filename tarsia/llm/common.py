@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a maximal run of characters other than space and \x09-\x0D.
@@ -18,9 +18,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a fresh one of our own if driver and
+    executors are one process, else an error: a folder of this machine is none that they share."""
     sc = spark.sparkContext
     there = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not there and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not there:
         there = "file://" + tempfile.mkdtemp(prefix="tarsia-checkpoint-")
     if not sc.getCheckpointDir():
@@ -28,6 +31,22 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
+def renamed(df: DataFrame, without: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df without the columns that an operator adds, all others under names that clash with none of its own, and the
+    new name of each."""
+    own = {c: f"in_{k}" for k, c in enumerate(c for c in df.columns if c.lower() not in without)}
+    return df.select(*[F.col(quoted(c)).alias(n) for c, n in own.items()]), own
+
+
+def restored(own: dict[str, str]) -> list[Column]:
+    """The columns of such a frame under their first names."""
+    return [F.col(n).alias(c) for c, n in own.items()]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a frame once to the shared checkpoint folder and go on from there: no recomputation, no lineage."""
     shared_dir(df.sparkSession)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, read, small
+from .common import WORD, cut, read, renamed, restored, small, written
 
 WEIGHTS, MAX_EPOCHS, SEED, BUCKETS, BROADCAST_SOURCES = (5, 2, 1), 3, 17, 256, 20_000
 IDEAL_WORD = 6.0  # characters of a word that the quality weight favours
@@ -61,18 +61,14 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return s.withColumn("target", F.coalesce(F.least("cap", level * F.col("weight")), F.col("cap"))).select("_source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, weight: Column | None = None, keep_text: bool = True) -> DataFrame:
-    """Adds size (words), source_size, target and copies (times the mix takes the document) to docs.
-
-    docs has at least doc_id, text and source; nulls: a null text has no words, a null source is a source of its
-    own, a null doc_id an id like any other. The document at which a source's rest is crossed is taken if that
-    comes nearer to the target. Ties in the key go by doc_id, equal rows in any order. A source without words
-    has copies 0. keep_text=False leaves text out, so that it is read only once."""
-    columns = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    rows = keyed(docs.select(*columns), weight)
-    if not keep_text:
-        columns.remove("text")
-        rows = cut(rows.drop("text"))
+def planned_rows(docs: DataFrame, weights: tuple[int, ...], epochs: int, weight: Column | None, without: list[str], keep_text: bool = True) -> tuple[DataFrame, dict[str, str]]:
+    """docs under names of its own (as ``renamed`` says), with size, source_size, target and copies."""
+    frame, own = renamed(docs, without)
+    kept = {c: n for c, n in own.items() if keep_text or c != "text"}
+    # The columns that the draw reads stand beside the renamed ones; what comes out of the words is written once.
+    rows = keyed(frame.select("*", *[F.col(own[c]).alias(c) for c in ("doc_id", "text", "source")]), weight).drop("text", "source")
+    rows = written(rows.select(*kept.values(), "doc_id", "_source", "size", "_key", "_bucket"))
+    columns = list(kept.values())
     sums = cut(rows.groupBy("_source", "_bucket").agg(F.sum("size").alias("size")))
     budget = targets(sums.groupBy("_source").agg(F.sum("size").alias("source_size")), weights, epochs)
     budget = budget.withColumn("whole", F.coalesce(F.floor(F.col("target") / F.nullif("source_size", F.lit(0))), F.lit(0)).cast("int"))
@@ -86,12 +82,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_E
     clear = planned.filter("cut is null or _bucket <> cut").select(*out, F.expr("whole + if(_bucket < cut and source_size > 0, 1, 0)").alias("copies"))
     in_order = Window.partitionBy("_source").orderBy("_key", F.col("doc_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = planned.filter("_bucket = cut").withColumn("end", F.col("base") + F.sum("size").over(in_order))
-    return clear.unionByName(edge.select(*out, F.expr("whole + if(end - size / 2.0 <= rest, 1, 0)").alias("copies")))
+    both = clear.unionByName(edge.select(*out, F.expr("whole + if(end - size / 2.0 <= rest, 1, 0)").alias("copies")))
+    return both, kept
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MAX_EPOCHS, weight: Column | None = None, keep_text: bool = True) -> DataFrame:
+    """Adds size (words), source_size, target and copies (times the mix takes the document) to docs.
+
+    docs has at least doc_id, text and source; nulls: a null text has no words, a null source is a source of its
+    own, a null doc_id an id like any other. The document at which a source's rest is crossed is taken if that
+    comes nearer to the target. Ties in the key go by doc_id, equal rows in any order. A source without words
+    has copies 0. Columns of docs with the names of added ones are replaced. keep_text=False leaves text out. A weight
+    is an expression over doc_id, text and size."""
+    added = ["size", "source_size", "target", "copies"]
+    rows, own = planned_rows(docs, weights, epochs, weight, added, keep_text)
+    return rows.select(*restored(own), *added)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mix takes it."""
-    return mix(docs).filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
+    rows, own = planned_rows(docs, WEIGHTS, MAX_EPOCHS, None, [])
+    out = rows.filter("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select(*restored(own))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
