@@ -125,14 +125,19 @@ def fit_router(x: np.ndarray, parts: int = PARTS, recall: float = RECALL, top: i
     return router, parts
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (doubles) of the rows that take part: an id, and a vector of the usual length that has
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """vec_id and embedding (doubles) of the rows that take part: an id, and a vector of the given length that has
     finite components only and isn't zero."""
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     bad = F.exists("embedding", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     v = v.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists("embedding", lambda c: c != 0))
-    usual = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.filter(F.size("embedding") == usual[0]["n"]) if usual else v
+    return v.filter(F.size("embedding") == length) if length is not None else v
+
+
+def usual_length(vectors: DataFrame) -> int:
+    """The most frequent length of usable vectors, the smaller one of equally frequent ones; 0 without any."""
+    most = usable(vectors).groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    return most[0]["n"] if most else 0
 
 
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -165,9 +170,11 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int =
 
     A query doesn't find rows with its own vec_id; ties go to the smaller vec_id. Each query is routed to parts
     that together hold more than ``top`` vectors, so it gets min(top, candidates) rows. Repeated ids are separate
-    candidates; of queries with one id, the smallest vector counts. Empty tables give no rows."""
+    candidates; of queries with one id, the smallest vector counts. Vectors and queries of another length than most
+    vectors have take no part. Empty tables give no rows."""
     spark = vectors.sparkSession
-    rows = usable(vectors)
+    length = usual_length(vectors)
+    rows = usable(vectors, length)
     drawn = rows.orderBy(F.xxhash64(F.lit("sample"), "vec_id"), "vec_id").limit(sample).select("embedding").toArrow()  # a bounded sample
     router, parts = fit_router(matrix(drawn.column("embedding")), parts, recall, top)
     shared = spark.sparkContext.broadcast(router)
@@ -192,7 +199,7 @@ def search(vectors: DataFrame, queries: DataFrame, top: int = TOP, sample: int =
             probes = [o[: max(shared.value.probes, e)].tolist() for o, e in zip(order, enough)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(probes, pa.list_(pa.int32()))], names=["vec_id", "embedding", "parts"])
 
-    asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = usable(queries, length).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     routed = cut(asked.mapInArrow(routes, "vec_id long, embedding array<double>, parts array<int>").withColumn("part", F.explode("parts")).drop("parts"))
     asks = {r["part"]: r["count"] for r in routed.groupBy("part").count().collect()}
     number = lambda of, unit: F.element_at(F.array(*[F.lit(max(1, -(-int(of(p)) // unit))) for p in range(parts)]), F.col("part") + 1)

@@ -24,7 +24,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, tokenizer_path
+from .common import cut, read, renamed, restored, tokenizer_path
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json, as ranks
@@ -196,8 +196,11 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to pieces (any columns, of them length in 1..capacity), so that sequences
     hold at most capacity tokens, gapless from 0, and are few. Repeated rows are packed like any others; an
-    empty frame stays empty. Raises if a length is out of range."""
+    empty frame stays empty; columns sequence_id and offset are replaced. Raises if a length is out of range."""
     spark = pieces.sparkSession
+    pieces, own = renamed(pieces, ["sequence_id", "offset"])
+    pieces = pieces.withColumnRenamed(own.pop("length"), "length")
+    own["length"] = "length"
     columns = pieces.columns
     names = {"part": "_part", "rank": "_rank"}
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
@@ -235,7 +238,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), *more], names=[*columns, "sequence_id", "offset"])
 
     ranked = numbered.join(per_part.select("length", "_part", "_base"), ["length", "_part"]).select(*columns, (F.col("_rank") + F.col("_base")).alias("_rank"))
-    return ranked.mapInArrow(place, f"{kind}, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{kind}, sequence_id long, offset long").select(*restored(own), "sequence_id", "offset")
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, renamed, restored
 
 #: (host, path, verdict), fixed by the query's contract.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -141,9 +142,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     is null and the verdict the default. A url that is null or has no :// has neither host nor path and fits no
     rule. Other columns of pages stay, but for clashing names; repeated rows stay."""
     names = ["host", "path", "rule", "verdict"]
-    columns = [c for c in pages.columns if c not in names]
+    frame, own = renamed(pages, names)
+    columns = list(own.values())
     lengths = [r[0] for r in rules.select(F.length("path")).distinct().collect()]  # as many as rules' paths have lengths
-    split = pages.select(*columns, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    split = frame.select("*", host_of(F.col(own["url"])).alias("host"), path_of(F.col(own["url"])).alias("path"))
     keyed = split.withColumn("keys", keys_of(F.col("host"), F.col("path"), F.array(*map(F.lit, lengths)).cast("array<int>")))
     keyed = keyed.withColumn("hashes", F.transform("keys", key_hash))
     universe = keyed.select(F.explode("hashes").alias("h"))
@@ -157,19 +159,21 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
         for b in batches:
             lists = b.column("hashes")
             flat = lists.flatten().to_numpy(zero_copy_only=False)
-            n = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], "i8")
-            row, found, verdict = np.repeat(np.arange(len(n)), n), np.full(len(n), -1), np.full(len(n), default, object)
+            n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("i8")
+            row, verdict = np.repeat(np.arange(len(n)), n), np.full(len(n), default, object)
             within = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = np.full(len(n), np.iinfo("i8").max)  # the place of the longest listed key among a row's keys
             for v, levels in shared.value.items():
                 hit = np.flatnonzero(member(levels, flat)) if len(flat) else np.empty(0, int)
-                for k in hit[::-1]:  # so that the first of a row stays
-                    if found[row[k]] < 0 or within[k] <= found[row[k]]:
-                        found[row[k]], verdict[row[k]] = within[k], v
-            keys = b.column("keys")
-            rule = [keys[k].values[found[k]].as_py() if found[k] >= 0 else None for k in range(len(n))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*b.schema.names[:-2], "rule", "verdict"])
-
-    return keyed.mapInArrow(run, f"{kind}, rule string, verdict string")
+                before = first.copy()
+                np.minimum.at(first, row[hit], within[hit])
+                verdict[first < before] = v
+            found = first < np.iinfo("i8").max
+            at = np.where(found, np.cumsum(n) - n + np.where(found, first, 0), 0)
+            rule = b.column("keys").flatten().take(pa.array(at, mask=~found)) if len(flat) else pa.nulls(len(n), pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], rule.cast(pa.string()), pa.array(verdict, pa.string())], names=[*b.schema.names[:-2], "rule", "verdict"])
+
+    return keyed.mapInArrow(run, f"{kind}, rule string, verdict string").select(*restored(own), *names)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
