@@ -238,6 +238,65 @@ def texts_of(spark, pages):
     return [got[k] for k in range(len(pages))]
 
 
+def test_html_same_as_plain_reading(spark, sf_dir):
+    """All given pages keep their article in one element; a few substitutions read it."""
+    import html as entities
+    import re
+
+    got = {r.page_id: r for r in html.op6_html_extraction(spark, sf_dir).collect()}
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        found = re.search(r"(?s)<article>(.*?)</article>", r.html or "")
+        plain = re.sub(r"(?s)<(script|style).*?</\1>|<!--.*?-->", "", found[1] if found else "")
+        parts = re.split(r"</?(?:p|h\d|div|ul|li|article)\b[^>]*>", plain)
+        parts = [" ".join(entities.unescape(re.sub(r"<br[^>]*>", " ", x) if "<" in x else x).split()) for x in parts]
+        parts = [" ".join(re.sub(r"<[^>]*>", "", x).split()) for x in parts]
+        want = "\n".join(x for x in parts if x)
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class=top>The site of {0} tales</div><div class=box><h2>T{1}</h2><p>The body of number {1} goes on.</p></div><div class=end>All rights</div>",
+        "<dl><dt>Home of {0}</dt><dd><h2>T{1}</h2><p>The body of number {1} goes on.</p></dd><dt>Archive</dt></dl>",
+        "<article>Look here</article><section><h2>T{1}</h2><p>The body of number {1} goes on.</p></section><article>Old hat</article>",
+    ],
+)
+def test_html_wrapper_decides(spark, page):
+    pages = [f"<html><body>{page.format('ten', k)}</body></html>" for k in range(10)]
+    want = [f"T{k}\nThe body of number {k} goes on." for k in range(10)]
+    assert texts_of(spark, pages) == want
+    assert all(html.main_text(p, None) != w for p, w in zip(pages, want))
+
+
+def test_html_streams_align():
+    """Random balanced streams: what two wrappers make is balanced, and has every text of either or a slot for it."""
+    rng = random.Random(4)
+
+    def markup(depth):
+        return "".join(f"<{t}>{markup(depth - 1) if depth else ''}{rng.choice(['x', 'y', ''])}</{t}>" for t in rng.choices(["div", "section", "ul", "p" if not depth else "div"], k=rng.randint(0, 4)))
+
+    for _ in range(300):
+        a, b = (html.stream(html.parse(f"<body>{markup(3)}</body>"), [k]) for k in (1, 2))
+        w = html.aligned(a, b)
+        assert html.group_ends(w)[0] == len(w) and w[0][html.PAGES] == 2
+        texts = {x[html.TEXT] for x in w if x[html.KIND] == html.WORDS}
+        assert html.VARIES in texts or texts >= {x[html.TEXT] for s in (a, b) for x in s if x[html.KIND] == html.WORDS}
+        again = html.aligned(w, b)
+        assert sum(x[html.CHARS] for x in again) == sum(x[html.CHARS] for s in (a, b, b) for x in s)
+        assert len(html.aligned(a, a)) == len(a)
+
+
+def test_html_odd_rows(spark):
+    rows = [(1, "http://h/1", None, "clash"), (1, "http://h/1", None, "clash"), (2, None, "<p>" + "word " * 50_000, "clash"), (None, "no host", "<p>x</p>", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, salt string").withColumn("region", F.lit("c"))
+    got = sorted((str(r.page_id), r.n_chars, str(r.salt)) for r in html.extract(pages).collect())
+    assert got == [("1", 0, "clash"), ("1", 0, "clash"), ("2", 249_999, "clash"), ("None", 1, "None")]
+    assert html.extract(pages.limit(0)).count() == 0
+
+
 def test_html_copies_and_shared_headings(spark):
     page = "<html><body><div class=top>The site</div><div class=content><h2>{0}</h2><p>{1}</p></div></body></html>"
     copy = page.format("T", "Body")
@@ -273,7 +332,7 @@ def test_html_unclosed_raw_elements(tag):
 
 def test_html_deep_nesting(spark):
     pages = [f"<html><body><p>first {k}</p>" + f"<{t}>" * 5000 + f"<p>deep {t}</p>" + "".join(f"<{t}>x{i} " for i in range(50)) for k, t in enumerate(("div", "font", "span", "ul", "blockquote"))]
-    pages.append("<div>" * 400 + "<nav>menu</nav><article><p>one<p>two</article>" + "</div>" * 400 + "<p>after")
+    pages.append("<div>" * 100_000 + "<nav>menu</nav><article><p>one<p>two</article>" + "</div>" * 100_000 + "<p>after")
     pages.append("<div>" * 400 + "one<div>two</div>three" + "</div>" * 399 + "<p>four</div>")
     got = texts_of(spark, pages)
     for k, tag in enumerate(("div", "font", "span", "ul", "blockquote")):
