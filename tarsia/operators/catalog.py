@@ -152,8 +152,9 @@ def parsed_values(t: Tables) -> DataFrame:
 
 def word_shingles(text: Column, size: int = SHINGLE) -> Column:
     """Runs of words longer than two characters, in their order; fewer words than a run make one of all."""
-    w = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 2)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.concat_ws("_", F.slice(w, i, size)))
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda x: F.length(x) > 2)
+    # Bound to a variable first, so that a text is split once and not once a run.
+    runs = F.flatten(F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - size + 1, F.lit(1))), lambda i: F.concat_ws("_", F.slice(w, i, size)))))
     return F.filter(runs, lambda x: x != "")
 
 

@@ -27,8 +27,12 @@ def profiles(t: Tables) -> DataFrame:
 
 
 def bridge(t: Tables) -> DataFrame:
-    """entity_id, peer_id, level: each entity with the members of its cohort. Entities are few; pairs of records
-    are never made."""
+    """entity_id, peer_id, level: each entity with the members of its cohort, derived once a session."""
+    return t.once("bridge", lambda: peer_pairs(t))
+
+
+def peer_pairs(t: Tables) -> DataFrame:
+    """Entities are few; pairs of records are never made."""
     e = profiles(t)
     p = e.select(*[F.col(c).alias(f"p_{c}") for c in e.columns])
     pairs = e.join(F.broadcast(p), F.col("entity_id") != F.col("p_entity_id"))

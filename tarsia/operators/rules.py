@@ -7,6 +7,7 @@ score, severity and evidence (the first record ids, joined by commas).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -290,7 +291,5 @@ RULES = {f.__name__.upper(): f for f in (eg01, eg02, eg03, eg04, eg05, eg06, eg0
 
 
 def findings(t: Tables) -> DataFrame:
-    out = None
-    for rule in RULES.values():
-        out = rule(t) if out is None else out.unionByName(rule(t))
-    return out
+    """The findings of all rules, derived once a session: scores, queues and states all start from them."""
+    return t.union_once("findings", [partial(rule, t) for rule in RULES.values()])
