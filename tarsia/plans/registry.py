@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsia.operators import catalog, metrics, peers, records, rules, scoring
-from tarsia.plans import catalog_oracles, more_oracles, oracles
+from tarsia.operators import assessment, catalog, metrics, peers, records, rules, scoring, statistics
+from tarsia.plans import assessment_oracles, catalog_oracles, more_oracles, oracles, statistics_oracles
 from tarsia.sources.projection import Tables
 
 NAMES = {
@@ -72,6 +72,9 @@ TABLE_QUERIES = {
     "anomaly_scan": catalog.anomaly_scan,
     "seeded_entity_split": catalog.seeded_split,
 }
+MODULES = (statistics, assessment)
+for module in MODULES:
+    TABLE_QUERIES |= module.QUERIES
 QUERIES |= {name: on_tables(f) for name, f in TABLE_QUERIES.items()}
 QUERIES |= {
     "redact_text": records.redact,
@@ -83,3 +86,5 @@ QUERIES |= {
 }
 ORACLES |= more_oracles.ORACLES
 ORACLES |= catalog_oracles.ORACLES
+ORACLES |= statistics_oracles.ORACLES
+ORACLES |= assessment_oracles.ORACLES
