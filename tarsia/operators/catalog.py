@@ -40,6 +40,21 @@ def tables_for_period(t: Tables, start: str = "2026-02-15", end: str = "2026-04-
     return submissions(t).filter(inside).groupBy("entity_id", "tab").agg(F.count("*").alias("n_batches"))
 
 
+def window_status(t: Tables, start: str = "2026-04-01", end: str = "2026-05-01") -> DataFrame:
+    """entity x table in a window: present (rows in it), else what was said of the table: rejected, declared_empty (with no
+    rows, or by a batch that covers the window), stale (for other times only), omitted (never)."""
+    since, until = F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+    rows = t.alert.select("entity_id", F.lit("alert").alias("tab"), F.col("created_at").alias("at")).unionByName(t.soc_case.select("entity_id", F.lit("soc_case").alias("tab"), F.col("opened_at").alias("at")))
+    have = rows.filter((F.col("at") >= since) & (F.col("at") < until)).select("entity_id", "tab").distinct().withColumn("rows", F.lit(True))
+    covers = tables_for_period(t, start, end).select("entity_id", "tab", F.lit(True).alias("covers"))
+    grid = t.entity.select("entity_id", F.explode(F.array(F.lit("alert"), F.lit("soc_case"), F.lit("asset"))).alias("tab"))
+    key = ["entity_id", "tab"]
+    all_ = grid.join(have, key, "left").join(submitted_tables(t), key, "left").join(covers, key, "left")
+    state = F.when(F.col("rows"), "present").when(F.col("completeness").isNull(), "omitted").when(F.col("completeness") == "rejected", "rejected")
+    state = state.when((F.col("completeness") == "declared_empty") | F.col("covers"), "declared_empty").otherwise("stale")
+    return all_.select("entity_id", F.col("tab").alias("table"), state.alias("state"))
+
+
 def overlapping_batches(t: Tables) -> DataFrame:
     """Pairs of one entity's batches whose periods intersect, each once."""
     s = submissions(t).filter("since is not null").select("entity_id", "tab", "pub_seq", "since", "until")

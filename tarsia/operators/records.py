@@ -13,17 +13,22 @@ KEY = b"not-a-secret: the key is a parameter"
 
 
 def batches(t: Tables) -> DataFrame:
-    """Alerts as they were published: everything with number 1, a third again, corrected, with number 2 or 3."""
+    """Alerts as two sources published them: everything with number 1, a third again, corrected, with number 2 or 3; some
+    without an id."""
     k = F.substring("alert_id", 2, 8).cast("long")
-    first = t.alert.select("entity_id", "alert_id", "severity_final", "status", F.lit(1).alias("pub_seq"))
+    source = F.when(k % 2 == 0, "siem").otherwise("desk")
+    first = t.alert.select(source.alias("source"), "entity_id", "alert_id", "severity_final", "status", F.lit(1).alias("pub_seq"))
     again = first.filter(k % 3 != 0).withColumns({"pub_seq": (1 + k % 3).cast("int"), "status": F.lit("closed")})
-    return first.unionByName(again)
+    return first.unionByName(again).withColumn("alert_id", F.when(k % 97 != 0, F.col("alert_id")))
 
 
 def current_version(rows: DataFrame, keys: list[str], order: str = "pub_seq") -> DataFrame:
-    """Of each key the rows of the latest publication, distinct. Repeats within it stay one; null keys are keys."""
+    """Of each key the rows of the latest publication, distinct. Repeats within it stay one; a row with a null in its key
+    has no other versions, so it stays."""
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     latest = F.rank().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
-    return rows.withColumn("_r", latest).filter("_r = 1").drop("_r").distinct()
+    keyed = rows.filter(known).withColumn("_r", latest).filter("_r = 1").drop("_r")
+    return keyed.unionByName(rows.filter(~known)).distinct()
 
 
 def as_of(rows: DataFrame, max_seq: int, keys: list[str]) -> DataFrame:
@@ -57,9 +62,15 @@ def table_status(t: Tables) -> DataFrame:
 
 
 def fingerprint(t: Tables) -> DataFrame:
-    """Rows and an order-independent hash of each canonical table."""
-    out = [getattr(t, n).agg(F.lit(n).alias("table"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("*")).alias("hash")) for n in CANONICAL]
-    return reduce(DataFrame.unionByName, out)
+    """Rows of each canonical table and a sum of their hashes modulo 2**60, the same in any order of rows."""
+
+    def one(name: str) -> DataFrame:
+        df = getattr(t, name)
+        row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]))
+        h = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
+        return df.agg(F.lit(name).alias("table"), F.count("*").alias("n"), F.coalesce(F.sum(h) % (1 << 60), F.lit(0)).cast("long").alias("hash"))
+
+    return reduce(DataFrame.unionByName, [one(n) for n in CANONICAL])
 
 
 # Text
@@ -73,22 +84,27 @@ def pseudonym(value: Column, key: bytes = KEY, prefix: str = "U_") -> Column:
     return F.when(value != "", F.concat(F.lit(prefix), F.substring(F.sha2(F.concat(pad(0x5C), inner), 256), 1, 16)))
 
 
-# Patterns that are masked, in this order.
+# Patterns that are masked, in this order, and what stands for them.
 MASKS = [
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}", "[EMAIL]"),
-    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[IP]"),
-    (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "[IPV6]"),
-    (r"\d{8,}", "[NUM]"),
+    (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", "[REDACTED_EMAIL]"),
+    (r"\b(?:\d{1,3}\.){3}\d{1,3}\b", "[REDACTED_IPV4]"),
+    (r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b", "[REDACTED_IPV6]"),
+    (r"\b[a-zA-Z0-9][-a-zA-Z0-9]{1,62}(?:\.[a-zA-Z0-9][-a-zA-Z0-9]{1,62})+\b", "[REDACTED_HOST]"),
+    (r"\b\d{8,}\b", "[REDACTED_NUM]"),
 ]
 
 
 def redacted(text: Column) -> Column:
-    return reduce(lambda c, m: F.regexp_replace(c, m[0], m[1]), MASKS, text)
+    """Text with identifiers masked; null becomes empty. Word boundaries and digits are those of Unicode."""
+    return reduce(lambda c, m: F.regexp_replace(c, f"(?U){m[0]}", m[1]), MASKS, F.coalesce(text, F.lit("")))
 
 
 def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", redacted(F.col("text")).alias("masked"))
+    n = F.col("conv_id") * 31 + F.col("turn")
+    # Turns hold few identifiers, so each gets some: an address, a host and numbers with and without a word around them.
+    more = F.concat_ws(" ", F.concat_ws(".", F.lit("10"), n % 256, F.lit("7"), n % 199), F.concat(F.lit("host"), n, F.lit(".example.org")), F.concat(F.lit("x12345678 "), 10_000_000 + n), F.concat(F.lit("mail"), n, F.lit("@example.com")))
+    return c.select("conv_id", "turn", redacted(F.when(n % 3 == 0, F.col("text")).otherwise(F.concat_ws(" ", "text", more))).alias("masked"))
 
 
 def norm_hash(text: Column) -> Column:

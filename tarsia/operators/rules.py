@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import partial
+from zoneinfo import available_timezones
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -224,26 +225,42 @@ def ns02(t: Tables) -> DataFrame:
     return finding("NS02", stats, "high", first_ids(missing, "category", None))
 
 
+def valid_zones(t: Tables) -> DataFrame:
+    """entity_id and zone: the entity's, if the platform knows it, else UTC."""
+    known = t.spark.createDataFrame([(z,) for z in sorted(available_timezones() - {"Factory", "localtime"})], "zone string")
+    e = t.entity.select("entity_id", F.trim("timezone").alias("zone")).join(F.broadcast(known.withColumn("known", F.lit(True))), "zone", "left")
+    return e.select("entity_id", F.when(F.col("known"), F.col("zone")).otherwise("UTC").alias("zone"))
+
+
+def local_alerts(t: Tables) -> DataFrame:
+    local = F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("created_at"))
+    a = t.alert.select("entity_id", "alert_id", "created_at").join(F.broadcast(valid_zones(t)), "entity_id").withColumn("local", local)
+    return a.withColumn("night", (F.hour("local") < 8) | (F.hour("local") >= 20))
+
+
 def local_counts(t: Tables) -> DataFrame:
-    """Alerts by entity and local month: alerts, night, weekend. An unknown zone counts as UTC."""
-    # Zones that the records use and that the platform knows.
-    known = F.col("timezone").isin("UTC", "Asia/Kolkata", "Asia/Kathmandu", "America/New_York", "Europe/Paris")
-    zones = t.entity.select("entity_id", F.when(known, F.col("timezone")).otherwise("UTC").alias("zone"))
-    local = t.alert.filter("created_at is not null").join(F.broadcast(zones), "entity_id").withColumn("local", F.convert_timezone(F.lit("UTC"), F.col("zone"), F.col("created_at")))
-    night = (F.hour("local") < 8) | (F.hour("local") >= 20)
-    return local.groupBy("entity_id", "zone", F.date_format("local", "yyyy-MM").alias("month")).agg(
-        F.count("*").alias("alerts"), F.count_if(night).alias("night"), F.count_if(F.dayofweek("local").isin(1, 7)).alias("weekend")
+    """Alerts by entity and month of their UTC time: all, those at local night, those on a local weekend. Alerts without a
+    time have no month."""
+    return local_alerts(t).groupBy("entity_id", "zone", F.date_format("created_at", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("alerts"), F.count_if("night").alias("night"), F.count_if(F.dayofweek("local").isin(1, 7)).alias("weekend")
     )
 
 
 def ns03(t: Tables) -> DataFrame:
-    """Far fewer alerts at night than peers have."""
+    """Far fewer alerts at night than peers have. Evidence: the five latest at night and the last of each of the ten latest
+    local days."""
     per = local_counts(t).groupBy("entity_id").agg(F.sum("alerts").alias("population"), F.sum("night").alias("hits")).filter("population >= 100").withColumn("rate", F.col("hits") / F.col("population").cast("double"))
     cohort = median_mad(bridge(t).join(per.select(F.col("entity_id").alias("peer_id"), "rate"), "peer_id"), "entity_id", "rate")
     stats = per.join(cohort, "entity_id", "left").withColumn("z", robust_z(F.col("rate"), F.col("med"), F.col("mad"), 0.02, F.coalesce("n", F.lit(0))))
     stats = stats.filter("z <= -3.5 or (z is null and rate < 0.03)").withColumn("distance", F.lit(2.0))
-    last = t.alert.join(F.broadcast(stats.select("entity_id")), "entity_id", "left_semi")
-    return finding("NS03", stats, "high", first_ids(last, "alert_id", 10, [F.desc("created_at")]))
+    near = local_alerts(t).filter("local is not null").join(F.broadcast(stats.select("entity_id")), "entity_id", "left_semi")
+    last = [F.desc("created_at"), F.col("alert_id")]
+    nights = near.filter("night").withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy(*last))).filter("n <= 5")
+    ends = near.withColumn("k", F.row_number().over(Window.partitionBy("entity_id", F.to_date("local")).orderBy(*last))).filter("k = 1")
+    days = ends.withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.desc(F.to_date("local"))))).filter("n <= 10")
+    pick = lambda df, kind: df.select("entity_id", "alert_id", F.struct(F.lit(kind).alias("kind"), "n").alias("at"))
+    both = pick(nights, 0).unionByName(pick(days, 1)).groupBy("entity_id", "alert_id").agg(F.min("at").alias("at"))
+    return finding("NS03", stats, "high", first_ids(both, "alert_id", None, [F.col("at")]))
 
 
 def ns04(t: Tables) -> DataFrame:
@@ -280,11 +297,12 @@ def ns08(t: Tables) -> DataFrame:
     """Months in which others report and the entity doesn't."""
     own = t.alert.select("entity_id", F.date_format("created_at", "yyyy-MM").alias("month")).distinct()
     months = own.select("month").distinct()
-    expected = months.agg(F.least(F.lit(6), F.count("*")).alias("expected"))
+    alone = own.agg(F.countDistinct("entity_id").alias("entities"))  # nobody to compare an only entity with
+    expected = months.agg(F.count("*").alias("months")).join(alone).select(F.when(F.col("entities") == 1, 6).otherwise(F.least(F.lit(6), "months")).alias("expected"))
     missing = own.select("entity_id").distinct().join(F.broadcast(months)).join(own, ["entity_id", "month"], "left_anti")
     stats = own.groupBy("entity_id").agg(F.count("*").alias("n")).join(F.broadcast(expected)).filter("n < expected").withColumn("hits", F.col("expected") - F.col("n"))
     stats = stats.withColumns({"population": F.lit(10), "distance": F.col("hits") / 2.0})
-    return finding("NS08", stats, "high", first_ids(missing, "month", 24))
+    return finding("NS08", stats, "high", first_ids(missing, "month", None))
 
 
 RULES = {f.__name__.upper(): f for f in (eg01, eg02, eg03, eg04, eg05, eg06, eg07, eg08, eg09, eg10, eg11, eg12, ns01, ns02, ns03, ns04, ns05, ns06, ns07, ns08)}

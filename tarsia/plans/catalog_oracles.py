@@ -28,6 +28,11 @@ p AS (SELECT *, lag(s) OVER (PARTITION BY conv_id ORDER BY turn, text NULLS FIRS
 ORACLES = {
     "submitted_tables": query("SELECT entity_id, tab, arg_max(completeness, pub_seq + CASE completeness WHEN 'rows' THEN 100 ELSE 0 END) AS completeness FROM sub GROUP BY 1, 2", SUB),
     "tables_for_period": query("SELECT entity_id, tab, count(*) AS n_batches FROM sub WHERE since IS NULL OR NOT (until <= DATE '2026-02-15' OR since >= DATE '2026-04-01') GROUP BY 1, 2", SUB),
+    "table_status_in_window": query(
+        "SELECT entity_id, tab AS \"table\", CASE WHEN EXISTS (SELECT 1 FROM rw WHERE rw.entity_id = g.entity_id AND rw.tab = g.tab) THEN 'present' WHEN NOT EXISTS (SELECT 1 FROM sub WHERE sub.entity_id = g.entity_id AND sub.tab = g.tab) THEN 'omitted' WHEN said = 'rejected' THEN 'rejected' WHEN said = 'declared_empty' OR EXISTS (SELECT 1 FROM sub WHERE sub.entity_id = g.entity_id AND sub.tab = g.tab AND (since IS NULL OR NOT (until <= DATE '2026-04-01' OR since >= DATE '2026-05-01'))) THEN 'declared_empty' ELSE 'stale' END AS state FROM g",
+        SUB, "rw AS (SELECT entity_id, 'alert' AS tab FROM alert WHERE created_at >= TIMESTAMP '2026-04-01' AND created_at < TIMESTAMP '2026-05-01' UNION SELECT entity_id, 'soc_case' FROM soc_case WHERE opened_at >= TIMESTAMP '2026-04-01' AND opened_at < TIMESTAMP '2026-05-01')",
+        "sd AS (SELECT entity_id, tab, arg_max(completeness, pub_seq + CASE completeness WHEN 'rows' THEN 100 ELSE 0 END) AS said FROM sub GROUP BY 1, 2)",
+        "g AS (SELECT e.entity_id, t.tab, said FROM entity e CROSS JOIN (SELECT unnest(['alert', 'soc_case', 'asset']) AS tab) t LEFT JOIN sd ON sd.entity_id = e.entity_id AND sd.tab = t.tab)"),
     "overlapping_batches": query("SELECT a.entity_id, a.tab AS tab_a, a.pub_seq AS seq_a, b.tab AS tab_b, b.pub_seq AS seq_b FROM sub a JOIN sub b ON a.entity_id = b.entity_id AND (a.tab < b.tab OR a.tab = b.tab AND a.pub_seq < b.pub_seq) AND a.since < b.until AND b.since < a.until", SUB),
     "content_hash": query("SELECT entity_id, count(*) AS n, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', alert_id, rule_id, severity_final, status)), 1, 15) AS BIGINT)) % 1152921504606846976 AS BIGINT) AS content_hash FROM alert GROUP BY 1"),
     "auto_register_entity": query("SELECT entity_id, sector, size_band, 'register' AS origin FROM entity WHERE CAST(substr(entity_id, 2) AS INT) % 5 <> 0 UNION ALL SELECT DISTINCT entity_id, 'unknown', 'unknown', 'data' FROM alert WHERE CAST(substr(entity_id, 2) AS INT) % 5 = 0"),

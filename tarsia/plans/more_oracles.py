@@ -21,8 +21,10 @@ MIN = "(epoch_us({0}) - epoch_us(created_at)) / 1e6"
 MONTHS = """mo AS (SELECT entity_id, strftime(created_at, '%Y-%m') AS month, CAST(date_trunc('month', created_at) AS DATE) AS m, count(*) AS alerts, count(*) FILTER (disposition = 'true_positive') AS tp, count(*) FILTER (closed_by_type = 'automation') AS auto FROM alert GROUP BY 1, 2, 3),
 sp AS (SELECT entity_id, min(created_at::DATE) AS d0, max(created_at::DATE) AS d1 FROM alert GROUP BY 1),
 ms AS (SELECT entity_id, month, alerts, alerts / (date_diff('day', greatest(m, d0), least(last_day(m), d1)) + 1)::DOUBLE AS per_day, CASE WHEN alerts >= 20 THEN tp / alerts::DOUBLE END AS tp_share, CASE WHEN alerts >= 20 THEN auto / alerts::DOUBLE END AS auto_share FROM mo JOIN sp USING (entity_id))"""
-BATCHES = """fb AS (SELECT entity_id, alert_id, severity_final, status, 1 AS pub_seq FROM alert),
-bt AS (SELECT * FROM fb UNION ALL SELECT entity_id, alert_id, severity_final, 'closed', CAST(1 + CAST(substr(alert_id, 2, 8) AS BIGINT) % 3 AS INT) FROM fb WHERE CAST(substr(alert_id, 2, 8) AS BIGINT) % 3 <> 0)"""
+BATCHES = """kb AS (SELECT *, CAST(substr(alert_id, 2, 8) AS BIGINT) AS k FROM alert),
+fb AS (SELECT CASE WHEN k % 2 = 0 THEN 'siem' ELSE 'desk' END AS source, entity_id, alert_id, severity_final, status, 1 AS pub_seq, k FROM kb),
+bt AS (SELECT source, entity_id, CASE WHEN k % 97 <> 0 THEN alert_id END AS alert_id, severity_final, status, pub_seq FROM (SELECT * FROM fb UNION ALL SELECT source, entity_id, alert_id, severity_final, 'closed', CAST(1 + k % 3 AS INT), k FROM fb WHERE k % 3 <> 0))"""
+CURRENT = "SELECT DISTINCT source, entity_id, alert_id, severity_final, status, pub_seq FROM (SELECT *, CASE WHEN alert_id IS NULL THEN row_number() OVER () END AS own FROM bt WHERE pub_seq <= {0}) QUALIFY rank() OVER (PARTITION BY source, entity_id, alert_id, own ORDER BY pub_seq DESC) = 1"
 BLANKS = ("rule_id", "category", "asset_id", "closed_by", "closed_by_type", "disposition", "status", "playbook_id", "severity_final")
 NAMES = ("alert", "soc_case", "escalation", "closure", "asset", "remediation", "external_report")
 DQ = """ru AS (SELECT entity_id, 'missing_required_field' AS "check", count(*) AS n FROM alert WHERE coalesce(alert_id, '') = '' OR created_at IS NULL OR coalesce(severity_final, '') = '' GROUP BY 1
@@ -34,10 +36,27 @@ DQ = """ru AS (SELECT entity_id, 'missing_required_field' AS "check", count(*) A
  UNION ALL SELECT entity_id, 'high_null_rate:' || c, n FROM (UNPIVOT (SELECT entity_id, count(*) AS total, count(*) FILTER (coalesce(rule_id, '') = '') AS rule_id, count(*) FILTER (coalesce(asset_id, '') = '') AS asset_id, count(*) FILTER (coalesce(closed_by, '') = '') AS closed_by, count(*) FILTER (coalesce(disposition, '') = '') AS disposition FROM alert GROUP BY 1) ON rule_id, asset_id, closed_by, disposition INTO NAME c VALUE n) WHERE n / total > 0.15
  UNION ALL SELECT entity_id, 'unrecognised_value', count(*) FROM alert WHERE 'unmapped' IN (disposition, status, severity_final) GROUP BY 1)"""
 
+# Patterns that are masked, in this order.
+MASKS = {
+    r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b": "EMAIL", r"\b(?:\d{1,3}\.){3}\d{1,3}\b": "IPV4", r"\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b": "IPV6",
+    r"\b[a-zA-Z0-9][-a-zA-Z0-9]{1,62}(?:\.[a-zA-Z0-9][-a-zA-Z0-9]{1,62})+\b": "HOST", r"\b\d{8,}\b": "NUM",
+}
+REDACTED = "x"
+for pattern, word in MASKS.items():
+    REDACTED = f"regexp_replace({REDACTED}, '{pattern}', '[REDACTED_{word}]', 'g')"
+COLUMNS = {
+    "entity": "entity_id name sector size_band soc_model soc_provider timezone declared_shift_hours", "alert": "entity_id alert_id rule_id category severity_orig severity_final asset_id created_at acknowledged_at first_touch_at closed_at closed_by closed_by_type playbook_id disposition status",
+    "workflow_event": "entity_id ref_type ref_id ts actor action note_len", "soc_case": "entity_id case_id severity status owner opened_at closed_at", "case_alert_link": "entity_id case_id alert_id",
+    "escalation": "entity_id esc_id ref_id escalated_at from_role to_role acknowledged_at outcome", "closure": "entity_id ref_id reason_code disposition comment_norm_hash comment_len",
+    "asset": "entity_id asset_id asset_type criticality monitored_flag in_service_from in_service_to", "log_source_daily": "entity_id asset_id source_type date event_count", "detection_rule": "entity_id rule_id category mitre_technique enabled",
+    "remediation": "entity_id ticket_id linked_asset_id linked_rule_id type created_at", "external_report": "entity_id incident_id reported_to reported_at", "declared_kpi": "entity_id period metric severity value", "sla_policy": "entity_id severity ack_minutes resolve_minutes",
+}
+ROWS = {n: "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in cs.split()) + ")" for n, cs in COLUMNS.items()}
+
 ORACLES = {
     "findings": f"SELECT * FROM ({FINDINGS})",
     "peer_cohorts": query("SELECT entity_id, level, count(*) AS n_peers, array_to_string(list(peer_id ORDER BY peer_id), ',') AS members, CASE WHEN count(*) >= 5 AND level < 4 THEN 'established' ELSE 'exploratory' END AS strength FROM peers GROUP BY 1, 2", PEERS),
-    "local_time_counts": query("SELECT entity_id, zone, strftime(lt, '%Y-%m') AS month, count(*) AS alerts, count(*) FILTER (hour(lt) < 8 OR hour(lt) >= 20) AS night, count(*) FILTER (dayofweek(lt) IN (0, 6)) AS weekend FROM loc GROUP BY 1, 2, 3", LOCAL),
+    "local_time_counts": query("SELECT entity_id, zone, strftime(created_at, '%Y-%m') AS month, count(*) AS alerts, count(*) FILTER (hour(lt) < 8 OR hour(lt) >= 20) AS night, count(*) FILTER (dayofweek(lt) IN (0, 6)) AS weekend FROM loc GROUP BY 1, 2, 3", LOCAL),
     "domain_scores": query("SELECT * FROM ds", DS),
     "entity_risk_index": query("SELECT entity_id, round_even(base, 4) AS base, n_rules, risk_index, ['low', 'moderate', 'high', 'critical'][greatest(CASE WHEN risk_index <= 25 THEN 0 WHEN risk_index <= 50 THEN 1 WHEN risk_index <= 75 THEN 2 ELSE 3 END, fl) + 1] AS band FROM ri", RI),
     "rank_controls": query("SELECT rule_id, count(DISTINCT entity_id) AS n_entities, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS max_severity, round_even(sum(score), 1) AS total FROM f GROUP BY 1", F),
@@ -65,12 +84,13 @@ ORACLES = {
         "lv AS (SELECT entity_id, median(per_day) AS level FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY month) AS n FROM ms) WHERE n <= 3 GROUP BY 1)", "zz AS (SELECT entity_id, month, (per_day - level) / greatest(0.1::DOUBLE * level, 0.01::DOUBLE) AS z FROM ms JOIN lv USING (entity_id))"),
     "blind_signals": query(f"SELECT a.*, declared, coalesce(escalations, 0) AS escalations, coalesce(silent, 0) AS silent, coalesce(escalations, 0) / nullif(serious, 0)::DOUBLE AS esc_share FROM (SELECT entity_id, count(*) AS alerts, median({MIN.format('closed_at')} / 60) AS mttr_min, 100.0::DOUBLE * avg(CAST(closed_by_type = 'automation' AS INT)) AS soar_pct, count(*) FILTER (severity_final IN ('high', 'critical')) AS serious FROM alert GROUP BY 1) a LEFT JOIN (SELECT entity_id, arg_max(value, severity) AS declared FROM declared_kpi WHERE metric = 'MTTR' GROUP BY 1) k ON k.entity_id = a.entity_id LEFT JOIN (SELECT entity_id, count(*) AS escalations FROM escalation GROUP BY 1) e ON e.entity_id = a.entity_id LEFT JOIN (SELECT entity_id, count(*) AS silent FROM asset s WHERE criticality >= 3 AND NOT EXISTS (SELECT 1 FROM log_source_daily l WHERE l.entity_id = s.entity_id AND l.asset_id = s.asset_id AND event_count > 0) GROUP BY 1) q ON q.entity_id = a.entity_id"),
     "reference_date": query("SELECT max(x) AS reference FROM (SELECT max(created_at) AS x FROM alert UNION ALL SELECT max(closed_at) FROM alert UNION ALL SELECT max(opened_at) FROM soc_case UNION ALL SELECT max(closed_at) FROM soc_case)"),
-    "current_version": query("SELECT DISTINCT entity_id, alert_id, severity_final, status, pub_seq FROM bt QUALIFY rank() OVER (PARTITION BY entity_id, alert_id ORDER BY pub_seq DESC) = 1", BATCHES),
-    "as_of_snapshot": query("SELECT DISTINCT entity_id, alert_id, severity_final, status, pub_seq FROM bt WHERE pub_seq <= 2 QUALIFY rank() OVER (PARTITION BY entity_id, alert_id ORDER BY pub_seq DESC) = 1", BATCHES),
+    "current_version": query(CURRENT.format(9), BATCHES),
+    "as_of_snapshot": query(CURRENT.format(2), BATCHES),
     "entity_merge_latest_nonnull": query("SELECT entity_id, sector, CASE WHEN size_band = 'small' THEN size_band ELSE upper(size_band) END AS size_band FROM entity"),
     "apply_window": query("SELECT entity_id, alert_id, CASE WHEN NOT late THEN closed_at END AS closed_at, CASE WHEN late THEN 'open' ELSE status END AS status, CASE WHEN acknowledged_at < TIMESTAMP '2026-04-01' THEN acknowledged_at END AS acknowledged_at, late AS was_masked FROM (SELECT *, coalesce(closed_at >= TIMESTAMP '2026-04-01', false) AS late FROM alert WHERE created_at >= TIMESTAMP '2026-01-01' AND created_at < TIMESTAMP '2026-04-01')"),
     "table_status": query("SELECT e.entity_id, t AS \"table\", CASE WHEN h.entity_id IS NULL THEN 'omitted' ELSE 'present' END AS state FROM entity e CROSS JOIN (SELECT unnest([" + ", ".join(f"'{n}'" for n in NAMES) + "]) AS t) g LEFT JOIN (" + " UNION ".join(f"SELECT entity_id, '{n}' AS tab FROM {n}" for n in NAMES) + ") h ON h.entity_id = e.entity_id AND tab = t"),
-    "redact_text": r"SELECT conv_id, turn, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}', '[EMAIL]', 'g'), '\b(?:\d{1,3}\.){3}\d{1,3}\b', '[IP]', 'g'), '\b(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}\b', '[IPV6]', 'g'), '\d{8,}', '[NUM]', 'g') AS masked FROM conversations",
+    "redact_text": "SELECT conv_id, turn, " + REDACTED + " AS masked FROM (SELECT conv_id, turn, CASE WHEN n % 3 = 0 THEN coalesce(text, '') ELSE concat_ws(' ', text, concat_ws('.', 10, n % 256, 7, n % 199), 'host' || n || '.example.org', 'x12345678 ' || (10000000 + n), 'mail' || n || '@example.com') END AS x FROM (SELECT *, conv_id * 31 + turn AS n FROM conversations))",
+    "data_fingerprint": query(" UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n, CAST(coalesce(sum(CAST('0x' || substr(md5({row}), 1, 15) AS BIGINT)), 0) % 1152921504606846976 AS BIGINT) AS hash FROM {n}" for n, row in ROWS.items())),
     "norm_hash": r"SELECT conv_id, turn, substr(sha256(regexp_replace(trim(lower(coalesce(text, ''))), '\s+', ' ', 'g')), 1, 16) AS hash, length(text) AS n FROM conversations",
     "entity_gate": query("SELECT entity_id, CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 13 = 0 THEN 'invalid' WHEN k % 17 = 0 THEN 'mismatch' ELSE 'accepted' END AS verdict, count(*) AS n FROM (SELECT entity_id, CAST(substr(alert_id, 2) AS BIGINT) AS k FROM alert) GROUP BY 1, 2"),
     "taxonomy_normalise": "SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'critical' ELSE CASE substr(o_orderpriority, 3) WHEN 'URGENT' THEN 'critical' WHEN 'HIGH' THEN 'high' WHEN 'MEDIUM' THEN 'medium' WHEN 'LOW' THEN 'low' ELSE 'unmapped' END END AS severity, count(*) AS n FROM orders GROUP BY 1",

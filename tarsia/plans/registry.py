@@ -48,11 +48,12 @@ TABLE_QUERIES = {
     "cusum": metrics.cusum_alarms,
     "blind_signals": metrics.blind_signals,
     "reference_date": rules.reference_date,
-    "current_version": lambda t: records.current_version(records.batches(t), ["entity_id", "alert_id"]),
-    "as_of_snapshot": lambda t: records.as_of(records.batches(t), 2, ["entity_id", "alert_id"]),
+    "current_version": lambda t: records.current_version(records.batches(t), ["source", "entity_id", "alert_id"]),
+    "as_of_snapshot": lambda t: records.as_of(records.batches(t), 2, ["source", "entity_id", "alert_id"]),
     "entity_merge_latest_nonnull": records.merged_entity,
     "apply_window": lambda t: records.windowed_alerts(t, "2026-01-01", "2026-04-01").select("entity_id", "alert_id", "closed_at", "status", "acknowledged_at", "was_masked"),
     "table_status": records.table_status,
+    "table_status_in_window": catalog.window_status,
     "data_fingerprint": records.fingerprint,
     "entity_gate": records.gate_counts,
     "dq_issues": records.dq_issues,
