@@ -46,7 +46,9 @@ def peer_pairs(t: Tables) -> DataFrame:
 
 
 def cohorts(t: Tables) -> DataFrame:
-    """entity_id, level, n_peers, strength, members (joined by commas)."""
+    """entity_id, level, n_peers, strength, members (joined by commas). An entity without any peer has none of them."""
     b = bridge(t).groupBy("entity_id", "level").agg(F.count("*").alias("n_peers"), F.array_join(F.sort_array(F.collect_list("peer_id")), ",").alias("members"))
     last = len(LEVELS) - 1
-    return b.withColumn("strength", F.when((F.col("n_peers") >= ESTABLISHED) & (F.col("level") < last), "established").otherwise("exploratory"))
+    rows = t.entity.select("entity_id").join(b, "entity_id", "left").withColumns({"n_peers": F.coalesce("n_peers", F.lit(0)), "members": F.coalesce("members", F.lit(""))})
+    strength = F.when(F.col("n_peers") == 0, "none").when((F.col("n_peers") >= ESTABLISHED) & (F.col("level") < last), "established").otherwise("exploratory")
+    return rows.withColumn("strength", strength)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarsia.functions.stats import benjamini_hochberg, median, seconds_between, share, wilson
+from tarsia.functions.stats import benjamini_hochberg, cusum, median, seconds_between, share, wilson
+from tarsia.operators.metrics import monthly
 from tarsia.operators.peers import bridge
 from tarsia.operators.rules import findings
 from tarsia.sources.projection import Tables
@@ -133,7 +134,43 @@ def systemic(t: Tables, least: int = 1, notable: float = 0.2) -> DataFrame:
     return q.select("provider", "rule_id", "affected", "clients", F.bround("p", 6).alias("p"), F.bround("q", 6).alias("q"), F.when(F.col("q") <= notable, "notable").otherwise("weak").alias("level"))
 
 
+#: Monthly series: whether they stand on a logarithmic scale, and the least spread they are measured by.
+SERIES = {"per_day": (True, 0.1), "tp_share": (False, 0.02), "auto_share": (False, 0.02)}
+REFERENCE, LEAST_MONTHS, SLACK, INTERVAL = 3, 5, 0.5, 4.0
+
+
+def time_shifts(t: Tables) -> DataFrame:
+    """Each monthly series of at least ``LEAST_MONTHS`` points against its first ``REFERENCE``: the peaks of two-sided
+    cumulative sums of what deviates from their median in units of their spread, the month in which one first leaves the
+    decision interval, the month in which it last rose from zero before that, and medians before and from then on."""
+    by = ["entity_id", "metric"]
+    rows = monthly(t).unpivot(["entity_id", "month"], list(SERIES), "metric", "v").filter("v is not null")
+    w = Window.partitionBy(*by).orderBy("month")
+    rows = rows.withColumns({"i": F.row_number().over(w), "points": F.count("*").over(Window.partitionBy(*by))}).filter(F.col("points") >= LEAST_MONTHS)
+    log = F.col("metric").isin(*[m for m, (l, _) in SERIES.items() if l])
+    floor = F.create_map(*[F.lit(x) for m, (_, f) in SERIES.items() for x in (m, f)])[F.col("metric")]
+    rows = rows.withColumn("x", F.when(log, F.log10(F.col("v") + 1)).otherwise(F.col("v")))
+    early = F.when(F.col("i") <= REFERENCE, F.col("x"))
+    med = rows.groupBy(*by).agg(median(early).alias("med"), median(F.when(F.col("i") <= REFERENCE, F.col("v"))).alias("before"))
+    rows = rows.join(med, by)
+    rows = rows.join(rows.groupBy(*by).agg(median(F.abs(early - F.col("med"))).alias("mad")), by)
+    z = rows.filter(F.col("i") > REFERENCE).withColumn("z", (F.col("x") - F.col("med")) / F.greatest(1.4826 * F.col("mad"), floor))
+    z = z.withColumn("series", F.concat_ws("|", *by))
+    chart = cusum(z, "series", "month", "z", SLACK, INTERVAL)
+    first = chart.groupBy(*by).agg(F.min(F.when(F.col("alarm"), F.col("i"))).alias("first"), F.max("up").alias("peak_up"), F.max("down").alias("peak_down"))
+    at = chart.join(first, by).withColumn("rises", F.max(F.when(F.col("i") == F.col("first"), F.col("up") > INTERVAL)).over(Window.partitionBy(*by)))
+    zero = F.when(F.col("rises"), F.col("up")).otherwise(F.col("down")) == 0
+    start = at.groupBy(*by).agg(F.max(F.when(zero & (F.col("i") < F.col("first")), F.col("i"))).alias("last_zero"))
+    found = first.join(start, by).withColumn("start", F.when(F.col("first").isNotNull(), F.coalesce("last_zero", F.lit(REFERENCE)) + 1))
+    whole = rows.join(found, by)
+    return whole.groupBy(*by).agg(
+        F.max("points").alias("points"), F.bround(F.max("peak_up"), 4).alias("peak_up"), F.bround(F.max("peak_down"), 4).alias("peak_down"), F.max(F.when(F.col("i") == F.col("first"), F.col("month"))).alias("alarm_month"),
+        F.max(F.when(F.col("i") == F.col("start"), F.col("month"))).alias("shift_from"), F.bround(F.max("before"), 6).alias("before"), F.bround(median(F.when(F.col("i") >= F.col("start"), F.col("v"))), 6).alias("after"),
+    )
+
+
 QUERIES = {
+    "time_shifts": time_shifts,
     "robust_z_score": robust_z_scores, "iqr_bounds": quartiles, "percentile_rank": percentile_ranks, "ewma": ewma_chart, "wilson_interval": wilson_intervals, "spearman": spearman, "cohens_kappa": kappas,
     "cluster_bootstrap": bootstrap_intervals, "systemic_correlation": systemic,
 }

@@ -10,8 +10,8 @@ from tarsia.plans.oracles import LOCAL, PEERS, RULES, query
 FINDINGS = "\nUNION ALL BY NAME ".join(f"SELECT * FROM ({q})" for q in RULES.values())
 DOMAIN = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{d}'" for r, d in DOMAINS.items()) + " END"
 WEIGHT = "CASE domain " + " ".join(f"WHEN '{d}' THEN {w}::DOUBLE" for d, w in DOMAIN_WEIGHTS.items()) + " END"
-F = f"f AS ({FINDINGS})"
-DS = f"""{F}, ds AS (SELECT e.entity_id, g.domain, round_even(100.0::DOUBLE * (1 - coalesce(miss, 1.0)), 1) AS score, coalesce(n, 0) AS n_findings
+F = f"f AS MATERIALIZED ({FINDINGS})"
+DS = f"""{F}, ds AS MATERIALIZED (SELECT e.entity_id, g.domain, round_even(100.0::DOUBLE * (1 - coalesce(miss, 1.0)), 1) AS score, coalesce(n, 0) AS n_findings
  FROM entity e CROSS JOIN (SELECT unnest([{', '.join(f"'{d}'" for d in DOMAIN_WEIGHTS)}]) AS domain) g
  LEFT JOIN (SELECT entity_id, {DOMAIN} AS domain, product(1 - score / 100.0::DOUBLE) AS miss, count(*) AS n FROM f GROUP BY 1, 2) x ON x.entity_id = e.entity_id AND x.domain = g.domain)"""
 RI = f"""{DS}, ri AS (SELECT b.entity_id, base, coalesce(n_rules, 0) AS n_rules, coalesce(fl, 0) AS fl, round_even((9.0::DOUBLE * base + least(100.0::DOUBLE, 10.0::DOUBLE * coalesce(n_rules, 0))) / 10.0::DOUBLE, 1) AS risk_index

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from tarsia.plans.more_oracles import F
+from tarsia.plans.more_oracles import MONTHS, F
 from tarsia.plans.oracles import PEERS, query
 
 RATES = "rates AS (SELECT entity_id, count(*) AS n, count(*) FILTER (disposition = 'false_positive') / count(*)::DOUBLE AS rate FROM alert GROUP BY 1)"
 LEVEL = "list_position(['low', 'medium', 'high', 'critical'], {0}) - 1"
 
 ORACLES = {
+    "time_shifts": query(
+        "SELECT se.entity_id, se.metric, any_value(points) AS points, round_even(any_value(peak_up), 4) AS peak_up, round_even(any_value(peak_down), 4) AS peak_down, max(month) FILTER (i = first_i) AS alarm_month, max(month) FILTER (i = start_i) AS shift_from, round_even(any_value(bm), 6) AS before, round_even(median(v) FILTER (i >= start_i), 6) AS after FROM se JOIN b1 USING (entity_id, metric) JOIN sx USING (entity_id, metric) GROUP BY 1, 2", MONTHS,
+        "un AS (SELECT entity_id, month, 'per_day' AS metric, per_day AS v, log10(per_day + 1) AS x, 0.1::DOUBLE AS floor_ FROM ms UNION ALL SELECT entity_id, month, 'tp_share', tp_share, tp_share, 0.02 FROM ms WHERE tp_share IS NOT NULL UNION ALL SELECT entity_id, month, 'auto_share', auto_share, auto_share, 0.02 FROM ms WHERE auto_share IS NOT NULL)",
+        "se AS (SELECT *, row_number() OVER (PARTITION BY entity_id, metric ORDER BY month) AS i, count(*) OVER (PARTITION BY entity_id, metric) AS points FROM un QUALIFY points >= 5)",
+        "b1 AS (SELECT entity_id, metric, median(x) FILTER (i <= 3) AS med, median(v) FILTER (i <= 3) AS bm FROM se GROUP BY 1, 2)",
+        "b2 AS (SELECT entity_id, metric, any_value(med) AS med, median(abs(x - med)) FILTER (i <= 3) AS mad FROM se JOIN b1 USING (entity_id, metric) GROUP BY 1, 2)",
+        "zz AS (SELECT se.entity_id, se.metric, i, (x - med) / greatest(1.4826::DOUBLE * mad, floor_) AS z FROM se JOIN b2 USING (entity_id, metric) WHERE i > 3)",
+        "cs AS (SELECT *, sum(z - 0.5::DOUBLE) OVER w AS u, sum(-z - 0.5::DOUBLE) OVER w AS d FROM zz WINDOW w AS (PARTITION BY entity_id, metric ORDER BY i))",
+        "ch AS (SELECT entity_id, metric, i, u - least(0, min(u) OVER w) AS up, d - least(0, min(d) OVER w) AS down FROM cs WINDOW w AS (PARTITION BY entity_id, metric ORDER BY i))",
+        "fi AS (SELECT entity_id, metric, min(i) FILTER (up > 4 OR down > 4) AS first_i, max(up) AS peak_up, max(down) AS peak_down FROM ch GROUP BY 1, 2)",
+        "sx AS (SELECT fi.entity_id, fi.metric, first_i, peak_up, peak_down, CASE WHEN first_i IS NOT NULL THEN coalesce((SELECT max(i) FROM ch c WHERE c.entity_id = fi.entity_id AND c.metric = fi.metric AND c.i < first_i AND CASE WHEN (SELECT up > 4 FROM ch y WHERE y.entity_id = fi.entity_id AND y.metric = fi.metric AND y.i = first_i) THEN c.up ELSE c.down END = 0), 3) + 1 END AS start_i FROM fi)"),
     "robust_z_score": query(
         "SELECT entity_id, day, n, round_even(CASE WHEN mad > 0 THEN 0.6745::DOUBLE * o / mad WHEN dev > 0 THEN 0.6745::DOUBLE * o / (1.2533::DOUBLE * dev) WHEN o = 0 THEN 0::DOUBLE ELSE sign(o) * 'inf'::DOUBLE END, 6) AS z FROM o JOIN s USING (entity_id)",
         "d AS (SELECT entity_id, created_at::DATE AS day, count(*) AS n FROM alert WHERE created_at IS NOT NULL GROUP BY 1, 2)",
