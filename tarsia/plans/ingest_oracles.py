@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tarsia.operators.records import KEY
 from tarsia.plans.catalog_oracles import HAVE, REQUIRED
-from tarsia.plans.more_oracles import BLANKS, DQ
+from tarsia.plans.more_oracles import BLANKS, DOMAIN, DQ, F
+from tarsia.plans.more_oracles import ORACLES as MORE
 from tarsia.plans.oracles import query
 
 SEV = "CASE substr(o_orderpriority, 3) WHEN 'URGENT' THEN 'critical' WHEN 'HIGH' THEN 'high' WHEN 'MEDIUM' THEN 'medium' WHEN 'LOW' THEN 'low' ELSE 'unmapped' END"
@@ -24,7 +25,16 @@ COLUMNS = "cn AS (SELECT * FROM (VALUES ('EG02', 'closed_by_type'), ('EG05', 'as
 USELESS = "us AS (" + " UNION ALL ".join(f"SELECT entity_id, '{c}' AS col FROM alert GROUP BY 1 HAVING count(*) FILTER (lower(trim({c})) NOT IN ('', 'unknown', 'unmapped', 'none', 'null')) = 0" for c in BLANKS) + ")"
 ORPHANS = "om AS (SELECT e.entity_id, nd.rule_id, nd.tab FROM entity e CROSS JOIN nd WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.entity_id = e.entity_id AND h.tab = nd.tab) AND nd.tab IN ('alert', 'soc_case', 'escalation', 'closure', 'asset', 'remediation', 'external_report'))"
 
+# The least sample of each rule.
+LEAST = "ls AS (SELECT * FROM (VALUES ('EG01', 10), ('EG02', 15), ('EG03', 5), ('EG04', 20), ('EG05', 10), ('EG06', 20), ('EG07', 20), ('EG08', 5), ('EG09', 10), ('EG10', 10), ('EG11', 200), ('EG12', 15), ('NS01', 1), ('NS02', 30), ('NS03', 30), ('NS04', 10), ('NS05', 20), ('NS06', 10), ('NS07', 1), ('NS08', 1)) v(rule_id, least))"
+STATES = (HAVE, NEED, ALL_RULES, COLUMNS, USELESS, ORPHANS, LEAST, F, """fs AS MATERIALIZED (SELECT e.entity_id, rs.rule_id, CASE WHEN EXISTS (SELECT 1 FROM om WHERE om.entity_id = e.entity_id AND om.rule_id = rs.rule_id) THEN 'not_assessed' WHEN EXISTS (SELECT 1 FROM f WHERE f.entity_id = e.entity_id AND f.rule_id = rs.rule_id) THEN 'finding'
+ WHEN EXISTS (SELECT 1 FROM cn JOIN us USING (col) WHERE cn.rule_id = rs.rule_id AND us.entity_id = e.entity_id) THEN 'degraded' WHEN (SELECT count(*) FROM alert a WHERE a.entity_id = e.entity_id) < least THEN 'small_population' ELSE 'assessed_clear' END AS state FROM entity e CROSS JOIN rs JOIN ls ON ls.rule_id = rs.rule_id)""")
+TOLD = "count(*) FILTER (state NOT IN ('not_assessed', 'small_population'))"
+
 ORACLES = {
+    "rule_result_state_full": query("SELECT * FROM fs", *STATES),
+    "covered_domain_scores": query(f"SELECT d.entity_id, d.domain, CASE WHEN told > 0 THEN score END AS score, round_even(told / rules::DOUBLE, 4) AS coverage, CASE WHEN told = 0 THEN 'none' WHEN told = rules THEN 'full' ELSE 'partial' END AS status FROM ({MORE['domain_scores']}) d JOIN (SELECT entity_id, {DOMAIN} AS domain, {TOLD} AS told, count(*) AS rules FROM fs GROUP BY 1, 2) t ON t.entity_id = d.entity_id AND t.domain = d.domain", *STATES),
+    "evidence_band": query(f"SELECT c.entity_id, round_even(coverage, 4) AS coverage, CASE WHEN coverage < 0.5 THEN 'insufficient_evidence' ELSE band END AS band, coalesce((SELECT array_to_string(list(DISTINCT tab ORDER BY tab), ',') FROM om WHERE om.entity_id = c.entity_id), '') AS requests FROM (SELECT entity_id, {TOLD} / count(*)::DOUBLE AS coverage FROM fs GROUP BY 1) c LEFT JOIN ({MORE['entity_risk_index']}) r ON r.entity_id = c.entity_id", *STATES),
     "scan_csv": f"SELECT o_orderkey AS order_id, o_orderstatus AS status, round(o_totalprice, 2) AS amount, {SEV} AS severity FROM orders WHERE o_orderkey % 23 <> 0",
     "scan_json": "SELECT CASE WHEN event_id % 40 = 0 THEN 'unreadable' ELSE event_type END AS kind, count(*) AS n, CAST(sum(CASE WHEN event_id % 40 <> 0 THEN CAST(value AS DECIMAL(18, 4)) END) AS DOUBLE) AS total FROM events GROUP BY 1",
     "scan_json_envelope": "SELECT o_custkey AS source, o_orderkey AS order_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 = 0",

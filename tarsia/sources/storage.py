@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 AT_A_TIME = 8  # jobs
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 _LOCKS: dict[tuple[str, str, str], RLock] = {}
+_OWN: dict[str, str | None] = {}  # folders of our own, by application
 _GUARD = Lock()
 
 
@@ -26,8 +27,9 @@ def shared_dir(spark: SparkSession) -> str | None:
     """spark.checkpoint.dir; where it is unset, a folder of our own if driver and executors are one process, else None."""
     there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not there and spark.sparkContext.master.startswith("local"):
-        there = "file://" + tempfile.mkdtemp(prefix="tarsia-tables-")
-        spark.conf.set("spark.checkpoint.dir", there)
+        with _GUARD:
+            there = _OWN.setdefault(spark.sparkContext.applicationId, None) or "file://" + tempfile.mkdtemp(prefix="tarsia-tables-")
+            _OWN[spark.sparkContext.applicationId] = there
     return there
 
 
