@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsia.functions.stats import wilson
-from tarsia.operators.assessment import carried_queue
+from tarsia.operators.assessment import carried_queue, covered_scores
 from tarsia.operators.records import PLANTED
 from tarsia.operators.rules import findings
-from tarsia.operators.scoring import review_queue, risk_index
+from tarsia.operators.scoring import DOMAIN_WEIGHTS, review_queue, risk_index
 from tarsia.sources.projection import Tables
 
 SHARE = 0.2  # by which thresholds are moved
@@ -141,8 +141,31 @@ def tuning_preview(t: Tables) -> DataFrame:
     return h.filter(before | after).select("entity_id", "rule_id", "hits", F.when(before & after, "same").when(after, "added").otherwise("removed").alias("change"))
 
 
+def average_rank(column: str) -> Column:
+    """The rank of a value, highest first, the mean of the places of equal ones."""
+    same = F.count("*").over(Window.partitionBy(column))
+    return F.rank().over(Window.orderBy(F.desc(column))) + (same - 1) / 2  # entities, one row each
+
+
+def weight_stability(t: Tables, share: float = SHARE) -> DataFrame:
+    """move, rho, stable: Spearman correlation of the entities' ranks with those under domain weights that are all higher or
+    lower by a share and sum to one again. Domains that can't be told count as 0 here."""
+    weights = F.create_map(*[F.lit(x) for d, w in DOMAIN_WEIGHTS.items() for x in (d, round(w * 1000))])
+    moves = F.explode(F.array(F.lit(1 - share), F.lit(1 + share)))
+    each = covered_scores(t).select("entity_id", "domain", F.coalesce("score", F.lit(0.0)).alias("score"), moves.alias("factor"))
+    parts = F.round(weights[F.col("domain")] * F.col("factor")).cast("long"), F.round(F.col("score") * 10).cast("long")
+    moved = each.groupBy("factor", "entity_id").agg(F.sum(parts[0] * parts[1]).alias("points"), F.sum(parts[0]).alias("w"))
+    risk = risk_index(t).select("entity_id", "n_rules", "risk_index")
+    index = F.bround((9.0 * (F.col("points") / 10.0 / F.col("w")) + F.least(F.lit(100.0), 10.0 * F.col("n_rules"))) / 10.0, 1)
+    both = moved.join(risk, "entity_id").select("entity_id", "risk_index", F.bround("factor", 1).alias("factor"), index.alias("moved"))
+    wide = both.groupBy("entity_id", "risk_index").pivot("factor", [0.8, 1.2]).agg(F.first("moved")).toDF("entity_id", "risk_index", "lower", "higher")
+    ranks = wide.select(*[average_rank(c).alias(c) for c in ("risk_index", "lower", "higher")])
+    rho = ranks.agg(*[F.bround(F.corr("risk_index", c), 4).alias(c) for c in ("lower", "higher")])
+    return rho.unpivot([], ["lower", "higher"], "move", "rho").withColumn("stable", F.col("rho") >= 0.85)
+
 
 QUERIES = {
+    "weight_stability": weight_stability,
     "entity_ranking_at_k": ranking_at_k, "precision_at_k_ties": precision_with_ties, "review_lift": review_lift, "shadow_pilot": shadow_pilot, "pilot_evaluation": pilot_arms, "naive_baselines": baselines,
     "family_ablation": family_ablation, "confounder_findings": confounders, "threshold_sensitivity": threshold_sensitivity, "tuning_preview": tuning_preview,
 }

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsia.operators import assessment, catalog, evaluation, ingest, metrics, peers, records, rules, scoring, statistics
-from tarsia.plans import assessment_oracles, catalog_oracles, evaluation_oracles, ingest_oracles, more_oracles, oracles, statistics_oracles
+from tarsia.operators import assessment, catalog, evaluation, ingest, mapping, metrics, peers, publishing, records, rules, scoring, statistics
+from tarsia.plans import assessment_oracles, catalog_oracles, evaluation_oracles, ingest_oracles, more_oracles, oracles, publishing_oracles, statistics_oracles
 from tarsia.sources.projection import Tables
 
 NAMES = {
@@ -73,7 +73,7 @@ TABLE_QUERIES = {
     "anomaly_scan": catalog.anomaly_scan,
     "seeded_entity_split": catalog.seeded_split,
 }
-MODULES = (statistics, assessment, evaluation, ingest)
+MODULES = (statistics, assessment, evaluation, ingest, mapping, publishing)
 for module in MODULES:
     TABLE_QUERIES |= module.QUERIES
 QUERIES |= {name: on_tables(f) for name, f in TABLE_QUERIES.items()}
@@ -91,3 +91,4 @@ ORACLES |= statistics_oracles.ORACLES
 ORACLES |= assessment_oracles.ORACLES
 ORACLES |= evaluation_oracles.ORACLES
 ORACLES |= ingest_oracles.ORACLES
+ORACLES |= publishing_oracles.ORACLES
