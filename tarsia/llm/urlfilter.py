@@ -4,14 +4,17 @@ A rule is a host (with all its subdomains) and a path prefix. The keys of a URL
 a dot joined with every prefix of its path that has the length of some rule's path; the universe is all keys of
 the corpus. Level 1 of a cascade encodes the listed keys, level 2 the keys of the universe that level 1 wrongly
 holds, level 3 the listed keys that level 2 wrongly holds, and so on until a level holds nothing wrongly. A key of
-the universe is listed exactly if the first level without it is an even one. Levels hold keys only, so they are
-as small as the list, whatever the size of the corpus.
+the universe is listed exactly if the first level without it is an even one. Level 1 has so many bits a key that it
+wrongly holds about as many keys of the universe as are listed, so further levels are no larger than the list. A list
+whose level would be larger than MAX_BYTES is split by hash into shards, each with a cascade of its own over its share
+of the universe; the shards are applied one after the other, so that tasks hold one cascade at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from .common import cut, read, renamed, restored
 #: (host, path, verdict), fixed by the query's contract.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 DEFAULT = "allow"  # what no rule fits
-BITS, HASHES, MAX_BYTES = 12, 5, 256 << 20  # bits and hashes of a key; a level that would be larger is refused
+BITS, MAX_BYTES = 12, 256 << 20  # least bits of a key; the size from which a list is split into shards
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -34,18 +37,19 @@ class Level:
 
     words: np.ndarray
     seed: int
+    hashes: int
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
-        at = positions(keys, self.seed, len(self.words) * 64)
+        at = positions(keys, self.seed, len(self.words) * 64, self.hashes)
         return ((self.words[at >> 6] >> (at & 63).astype("u8")) & np.uint64(1)).all(1)
 
 
-def positions(keys: np.ndarray, seed: int, bits: int) -> np.ndarray:
+def positions(keys: np.ndarray, seed: int, bits: int, hashes: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (keys.astype("u8") ^ np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
         a = x ^ (x >> np.uint64(29))
         b = (a * np.uint64(0xBF58476D1CE4E5B9)) | np.uint64(1)
-        return ((a[:, None] + np.arange(HASHES, dtype="u8") * (b ^ (b >> np.uint64(32)))[:, None]) % np.uint64(bits)).astype("i8")
+        return ((a[:, None] + np.arange(hashes, dtype="u8") * (b ^ (b >> np.uint64(32)))[:, None]) % np.uint64(bits)).astype("i8")
 
 
 def key_hash(key: Column) -> Column:
@@ -70,18 +74,21 @@ def keys_of(host: Column, path: Column, lengths: Column) -> Column:
     return F.sort_array(F.transform(F.array_distinct(pairs), lambda k: F.struct(F.length(k).alias("n"), F.instr(k, "/").alias("h"), k.alias("key"))), asc=False)["key"]
 
 
-def bloom(keys: DataFrame, seed: int) -> Level | None:
+def bits_a_key(n: int, others: int) -> int:
+    """Bits of each of n keys for a filter that wrongly holds at most about n of so many others."""
+    return max(BITS, ceil(log2(max(1.0, others / n)) / log(2))) if n else BITS
+
+
+def bloom(keys: DataFrame, seed: int, bits: int = BITS) -> Level | None:
     """The filter of a frame with the column h, set bit by bit on the executors; None if it has no key."""
     n = keys.count()
     if not n:
         return None
-    size = max(1, -(-n * BITS // 64))
-    if size * 8 > MAX_BYTES:
-        raise ValueError(f"{n} keys make a level of over {MAX_BYTES} bytes")
+    size, hashes = max(1, -(-n * bits // 64)), round(bits * log(2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = np.unique(positions(b.column(0).to_numpy(), seed, size * 64))
+            at = np.unique(positions(b.column(0).to_numpy(), seed, size * 64, hashes))
             word, first = np.unique(at >> 6, return_index=True)
             bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype("u8"), first) if at.size else np.empty(0, "u8")
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view("i8"))], names=["word", "bits"])
@@ -89,7 +96,7 @@ def bloom(keys: DataFrame, seed: int) -> Level | None:
     got = keys.select("h").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most size rows
     words = np.zeros(size, "u8")
     words[got.column("word").to_numpy()] = got.column("bits").to_numpy().view("u8")
-    return Level(words, seed)
+    return Level(words, seed, hashes)
 
 
 def held(keys: DataFrame, level: Level) -> DataFrame:
@@ -102,11 +109,11 @@ def held(keys: DataFrame, level: Level) -> DataFrame:
     return keys.select("h").mapInArrow(run, "h long")
 
 
-def cascade(listed: DataFrame, universe: DataFrame) -> list[Level]:
-    """Levels that tell the listed keys (column h) from all others of the universe (column h). Only keys that a
-    level holds wrongly move on, so the universe is read once and never joined."""
+def cascade(listed: DataFrame, universe: DataFrame, others: int = 0) -> list[Level]:
+    """Levels that tell the listed keys (column h) from all others of the universe (column h; about so many). Only keys
+    that a level holds wrongly move on, so the universe is read once and never joined."""
     inside = cut(listed.select("h").distinct())
-    first = bloom(inside, 1)
+    first = bloom(inside, 1, bits_a_key(inside.count(), others))
     if first is None:
         return []
     levels = [first]
@@ -134,7 +141,12 @@ def member(levels: list[Level], keys: np.ndarray) -> np.ndarray:
     return listed
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
+def shards_of(n: int, others: int, most: int = MAX_BYTES) -> int:
+    """Into how many shards a list of n keys is split, so that no level is larger than so many bytes."""
+    return max(1, -(-n * bits_a_key(n, others) // (8 * most)))
+
+
+def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Adds host, path, rule and verdict to pages (of them, url is read).
 
     rules: host, path (from its first slash), verdict; a rule fits its host and all subdomains if the path starts
@@ -148,32 +160,44 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFra
     split = frame.select("*", host_of(F.col(own["url"])).alias("host"), path_of(F.col(own["url"])).alias("path"))
     keyed = split.withColumn("keys", keys_of(F.col("host"), F.col("path"), F.array(*map(F.lit, lengths)).cast("array<int>")))
     keyed = keyed.withColumn("hashes", F.transform("keys", key_hash))
-    universe = keyed.select(F.explode("hashes").alias("h"))
-    verdicts = [r[0] for r in rules.select("verdict").distinct().sort("verdict").collect()]
-    of = {v: cascade(rules.filter(F.col("verdict") == v).select(key_hash(F.concat("host", "path")).alias("h")), universe) for v in verdicts}
-    shared = pages.sparkSession.sparkContext.broadcast(of)
-    keyed = keyed.select(*columns, "host", "path", "keys", "hashes")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema.fields[:-2])
+    others = keyed.agg(F.sum(F.size("hashes"))).first()[0] or 0  # keys of the corpus, repeated ones counted
+    ruled = rules.select("verdict", key_hash(F.concat("host", "path")).alias("h"))
+    sizes = {r["verdict"]: r["count"] for r in ruled.groupBy("verdict").count().sort("verdict").collect()}  # two verdicts
+    shards = shards_of(max(sizes.values(), default=0), others, max_bytes)
+    frame = keyed.select(*columns, "host", "path", "keys", "hashes", F.lit(None).cast("int").alias("place"), F.lit(default).alias("verdict"))
+    for k in range(shards):
+        own_part = F.pmod("h", F.lit(shards)) == k
+        universe = keyed.select(F.explode("hashes").alias("h")).filter(own_part)
+        of = {v: cascade(ruled.filter((F.col("verdict") == v) & own_part), universe, others // shards) for v in sizes}
+        frame = judged(frame, of, k, shards)
+        frame = cut(frame) if k + 1 < shards else frame
+    rule = F.get("keys", F.col("place"))
+    return frame.select(*restored(own), "host", "path", rule.alias("rule"), "verdict")
+
+
+def judged(frame: DataFrame, of: dict[str, list[Level]], shard: int, shards: int) -> DataFrame:
+    """place (in keys, from 0) and verdict of the first listed key of each row, where that comes before the one that
+    is there already. Only keys of the shard are looked up, the only ones that its cascades answer for."""
+    shared = frame.sparkSession.sparkContext.broadcast(of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("hashes")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype("i8")
             n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype("i8")
-            row, verdict = np.repeat(np.arange(len(n)), n), np.full(len(n), default, object)
-            within = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
-            first = np.full(len(n), np.iinfo("i8").max)  # the place of the longest listed key among a row's keys
+            row, within = np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            mine = np.flatnonzero(np.mod(flat, shards) == shard)
+            first = pc.fill_null(b.column("place"), np.iinfo("i4").max).to_numpy(zero_copy_only=False).astype("i8")
+            verdict = b.column("verdict").to_numpy(zero_copy_only=False).astype(object)
             for v, levels in shared.value.items():
-                hit = np.flatnonzero(member(levels, flat)) if len(flat) else np.empty(0, int)
+                hit = mine[member(levels, flat[mine])]
                 before = first.copy()
                 np.minimum.at(first, row[hit], within[hit])
                 verdict[first < before] = v
-            found = first < np.iinfo("i8").max
-            at = np.where(found, np.cumsum(n) - n + np.where(found, first, 0), 0)
-            rule = b.column("keys").flatten().take(pa.array(at, mask=~found)) if len(flat) else pa.nulls(len(n), pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], rule.cast(pa.string()), pa.array(verdict, pa.string())], names=[*b.schema.names[:-2], "rule", "verdict"])
+            place = pa.array(first.astype("i4"), mask=first == np.iinfo("i4").max)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], place, pa.array(verdict, pa.string())], names=b.schema.names)
 
-    return keyed.mapInArrow(run, f"{kind}, rule string, verdict string").select(*restored(own), *names)
+    return frame.mapInArrow(run, frame.schema)
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

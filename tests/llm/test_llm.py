@@ -362,3 +362,16 @@ def test_chat_odd_rows(spark):
     t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = chat.maximal_conversations(t).collect()
     assert sorted((str(r.conv_id), r.n_copies) for r in got) == [("2", 2), ("None", 1)]
+
+
+def test_url_rules_in_shards(spark, sf_dir):
+    """A list split into shards, and levels sized for a far larger universe, give the same rows as one small cascade."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(-1, None), (-2, "x"), (-3, "s://a.example.com/en/7")], "page_id long, url string"))
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    rows = lambda d: sorted(map(str, d.collect()))
+    assert urlfilter.shards_of(3, 1000, 1) > 2 and urlfilter.bits_a_key(5, 5 << 30) > 40
+    assert rows(urlfilter.judge(pages, rules)) == rows(urlfilter.judge(pages, rules, max_bytes=1))
+    keys = spark.range(4000).select(F.xxhash64("id").alias("h"), "id")
+    levels = urlfilter.cascade(keys.filter("id % 400 = 0"), keys, 1 << 30)
+    got = keys.sort("id").toPandas()
+    assert (urlfilter.member(levels, got.h.to_numpy()) == (got.id % 400 == 0)).all()
