@@ -155,7 +155,7 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, ids: np.ndarray, to
         d[q_ids[at : at + 256, None] == ids[None]] = np.inf
         k = min(top, len(x)) - 1
         limit = np.partition(d, k, axis=1)[:, k]
-        limit = limit + 1e-9 * (1 + np.abs(square).max())
+        limit = limit + 1e-9 * (1 + square.max() + (part * part).sum(1))
         for r in range(len(part)):
             near = np.flatnonzero((d[r] <= limit[r]) & np.isfinite(d[r]))
             exact = np.sqrt(((x[near] - part[r]) ** 2).sum(1))
