@@ -11,11 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsia.functions.stats import median
+from tarsia.operators import contracts
 from tarsia.operators.catalog import coverage
-from tarsia.operators.ingest import dependency_issues, rule_inputs
 from tarsia.operators.metrics import kpi_reconciliation
 from tarsia.operators.peers import bridge, cohorts
-from tarsia.operators.rules import WEIGHTS, findings
+from tarsia.operators.rules import findings
 from tarsia.operators.scoring import domain_scores, review_queue, risk_index, with_domain
 from tarsia.sources.projection import Tables
 
@@ -189,38 +189,20 @@ def trend(t: Tables) -> DataFrame:
     return s.withColumn("before", before).withColumn("warning", F.coalesce((F.col("before") > 0) & (F.col("total") <= 0.9 * F.col("before")), F.lit(False)))
 
 
-def full_states(t: Tables) -> DataFrame:
-    """entity_id, rule_id, state: not_assessed (a table is lacking), finding, degraded (a column is useless), small_population
-    (fewer alerts than the rule's least sample), assessed_clear."""
-    key = ["entity_id", "rule_id"]
-    found = findings(t).select(*key).distinct().withColumn("found", F.lit(True))
-    size = t.alert.groupBy("entity_id").agg(F.count("*").alias("alerts"))
-    least = F.create_map(*[F.lit(x) for r, (_, n) in WEIGHTS.items() for x in (r, n)])[F.col("rule_id")]
-    rows = rule_inputs(t).join(found, key, "left").join(size, "entity_id", "left")
-    state = F.when(F.col("state") == "not_assessed", F.col("state")).when(F.col("found"), "finding").when(F.col("state") == "degraded", F.col("state"))
-    return rows.select(*key, state.when(F.coalesce("alerts", F.lit(0)) < least, "small_population").otherwise("assessed_clear").alias("state"))
-
-
 def covered_scores(t: Tables) -> DataFrame:
-    """Domain scores that say nothing where nothing was looked at: null where no rule of the domain could be told, with the
-    share of its rules that could."""
-    told = with_domain(full_states(t)).groupBy("entity_id", "domain").agg(F.count_if(~F.col("state").isin("not_assessed", "small_population")).alias("told"), F.count("*").alias("rules"))
-    rows = domain_scores(t).join(told, ["entity_id", "domain"])
-    status = F.when(F.col("told") == 0, "none").when(F.col("told") == F.col("rules"), "full").otherwise("partial")
-    return rows.select("entity_id", "domain", F.when(F.col("told") > 0, F.col("score")).alias("score"), F.bround(F.col("told") / F.col("rules"), 4).alias("coverage"), status.alias("status"))
+    """Domain scores that say nothing where nothing was looked at, with the share of the domain's rules that could be assessed."""
+    share = F.when(F.col("applicable") > 0, F.bround(F.col("assessed") / F.col("applicable"), 4)).otherwise(0.0)
+    return domain_scores(t).select("entity_id", "domain", "score", share.alias("coverage"), "status")
 
 
-def evidence_band(t: Tables, least: float = 0.5) -> DataFrame:
-    """The band of the risk index, or insufficient_evidence where less than a share of all rules could be told, with the
-    tables to ask for."""
-    told = full_states(t).groupBy("entity_id").agg((F.count_if(~F.col("state").isin("not_assessed", "small_population")) / F.count("*")).alias("coverage"))
-    ask = dependency_issues(t).groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("table")), ",").alias("requests"))
-    rows = told.join(risk_index(t).select("entity_id", "band"), "entity_id", "left").join(ask, "entity_id", "left")
-    return rows.select("entity_id", F.bround("coverage", 4).alias("coverage"), F.when(F.col("coverage") < least, "insufficient_evidence").otherwise(F.col("band")).alias("band"), F.coalesce("requests", F.lit("")).alias("requests"))
+def evidence_band(t: Tables) -> DataFrame:
+    """The band of the risk index, which lacking evidence may leave open, and the inputs to ask for."""
+    rows = contracts.coverage(t).select("entity_id", "coverage", "level", "requests")
+    return rows.join(risk_index(t).select("entity_id", "band"), "entity_id").select("entity_id", "coverage", "level", "band", "requests")
 
 
 QUERIES = {
-    "rule_result_state_full": full_states, "covered_domain_scores": covered_scores, "evidence_band": evidence_band,
+    "rule_result_state_full": contracts.results, "covered_domain_scores": covered_scores, "evidence_band": evidence_band,
     "run_compare": run_compare, "remediation_evidence": remediation_evidence, "apply_exception": with_exceptions, "decisions_in_force": decisions_in_force, "peer_median_domain_scores": peer_medians,
     "entity_league": league, "league_filter_sort": league_page, "entity_profile": profile, "attention": attention, "blind_concordance": concordance, "queue_carry_decisions": carried_queue,
     "queue_list": queue_list, "queue_evidence_cards": evidence_cards, "finding_cards": finding_cards, "blind_sample_draw": blind_sample, "trend_series": trend,

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarsia.functions.stats import micros
+from tarsia.operators import contracts
+from tarsia.operators.contracts import results
 from tarsia.operators.peers import bridge
-from tarsia.operators.records import SEVERITY, table_status, taxonomy
-from tarsia.operators.rules import RULES, findings
+from tarsia.operators.records import SEVERITY, taxonomy
 from tarsia.sources.projection import Tables
 
 CUTS, SHINGLE, KEPT, SEED = 4, 3, 10, 42
@@ -190,28 +191,13 @@ def turn_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # States of rules and outliers
 
-# Tables without which a rule can't be told.
-REQUIRED = {
-    "EG03": ["escalation"], "EG04": ["closure"], "EG05": ["remediation"], "EG08": ["escalation"], "EG09": ["soc_case"], "NS01": ["asset"], "NS04": ["soc_case"], "NS06": ["asset"], "NS07": ["soc_case", "external_report"],
-}
-
-
 def rule_states(t: Tables) -> DataFrame:
-    """entity_id, rule_id, state: insufficient where a needed table was not submitted, else finding or assessed_clear."""
-    needs = F.create_map(*[x for r in RULES for x in (F.lit(r), F.array(*map(F.lit, ["alert", *REQUIRED.get(r, [])])))])
-    grid = t.entity.select("entity_id", F.explode(F.array(*map(F.lit, RULES))).alias("rule_id"))
-    omitted = table_status(t).filter("state = 'omitted'").select("entity_id", "table")
-    lacking = grid.withColumn("table", F.explode(needs[F.col("rule_id")])).join(omitted, ["entity_id", "table"], "left_semi").select("entity_id", "rule_id").distinct().withColumn("lacks", F.lit(True))
-    found = findings(t).select("entity_id", "rule_id").distinct().withColumn("found", F.lit(True))
-    state = F.when(F.col("lacks"), "insufficient").when(F.col("found"), "finding").otherwise("assessed_clear")
-    return grid.join(lacking, ["entity_id", "rule_id"], "left").join(found, ["entity_id", "rule_id"], "left").select("entity_id", "rule_id", state.alias("state"))
+    return results(t).select("entity_id", "rule_id", "state")
 
 
 def coverage(t: Tables) -> DataFrame:
-    """Share of rules that could be told, and what it makes of an entity."""
-    n = rule_states(t).groupBy("entity_id").agg(F.count_if(F.col("state") != "insufficient").alias("assessed"), F.count("*").alias("applicable"))
-    n = n.withColumn("coverage", F.bround(F.col("assessed") / F.col("applicable"), 4))
-    return n.withColumn("level", F.when(F.col("coverage") < 0.25, "insufficient").when(F.col("coverage") >= 0.9, "assessable").otherwise("partial"))
+    """Share of rules that could be assessed, and what it makes of an entity."""
+    return contracts.coverage(t).select("entity_id", "assessed", "applicable", "coverage", "level")
 
 
 #: Least scale of a share and of a logarithm, least population, least |z|, and how many are kept.

@@ -10,10 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarsia.operators.catalog import REQUIRED, first_filled, read_number
-from tarsia.operators.metrics import usable
-from tarsia.operators.records import SEVERITY, dq_issues, norm_hash, pseudonym, read_time, table_status, taxonomy
-from tarsia.operators.rules import RULES
+from tarsia.operators.catalog import first_filled, read_number
+from tarsia.operators.contracts import inputs
+from tarsia.operators.records import SEVERITY, dq_issues, norm_hash, pseudonym, read_time, taxonomy
 from tarsia.sources.projection import Tables
 from tarsia.sources.storage import shared_dir
 
@@ -24,14 +23,16 @@ ALIASES = {
     "amount": ("total_price", "amount", "price"),
     "severity": ("priority", "urgency"),
 }
-#: Checks that keep a submission from being published: hold for review, or reject.
-BLOCKING = {"id_sequence_gap": "hold", "orphan_asset": "hold", "close_before_create": "reject", "duplicate_primary_keys": "reject"}
-#: Columns of alerts without which a rule says less.
-COLUMNS = {"EG02": ["closed_by_type"], "EG05": ["asset_id", "rule_id"], "EG06": ["closed_by"], "EG11": ["disposition"], "NS02": ["category"], "NS04": ["disposition"], "NS05": ["rule_id"], "EG07": ["closed_by"], "EG01": ["closed_by_type", "severity_final"]}
+# Checks that keep a submission from being published, since its records can't be read reliably. What the others
+# find is evidence: blocking it would let a submitter correct the signal away.
+BLOCKING = ("missing_required_field", "duplicate_primary_keys", "unrecognised_value")
 
 
 def fresh(t: Tables, name: str) -> str:
-    return f"{(shared_dir(t.spark) or t.sf_dir).rstrip('/')}/tarsia-{name}-{uuid.uuid4().hex}"
+    there = shared_dir(t.spark)
+    if not there:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{there.rstrip('/')}/tarsia-{name}-{uuid.uuid4().hex}"
 
 
 def header_key(name: Column) -> Column:
@@ -175,14 +176,8 @@ def invalid_times(t: Tables) -> DataFrame:
 def rule_inputs(t: Tables) -> DataFrame:
     """entity_id, rule_id, state: not_assessed where a table is lacking, degraded where a column of alerts is useless, else
     assessed."""
-    needs = lambda of: F.create_map(*[x for r in RULES for x in (F.lit(r), F.array(*map(F.lit, of.get(r, []))).cast("array<string>"))])
-    grid = t.entity.select("entity_id", F.explode(F.array(*map(F.lit, RULES))).alias("rule_id"))
-    key = ["entity_id", "rule_id"]
-    omitted = table_status(t).filter("state = 'omitted'").select("entity_id", F.col("table").alias("need"))
-    useless = usable(t).filter("n_usable = 0").select("entity_id", F.col("column").alias("need"))
-    lacks = grid.withColumn("need", F.explode(needs(REQUIRED)[F.col("rule_id")])).join(omitted, ["entity_id", "need"], "left_semi").select(*key).distinct().withColumn("lacks", F.lit(True))
-    weak = grid.withColumn("need", F.explode(needs(COLUMNS)[F.col("rule_id")])).join(useless, ["entity_id", "need"], "left_semi").select(*key).distinct().withColumn("weak", F.lit(True))
-    return grid.join(lacks, key, "left").join(weak, key, "left").select(*key, F.when(F.col("lacks"), "not_assessed").when(F.col("weak"), "degraded").otherwise("assessed").alias("state"))
+    state = F.when(F.size("missing") > 0, "not_assessed").when(F.size("blind") > 0, "degraded").otherwise("assessed")
+    return inputs(t).select("entity_id", "rule_id", state.alias("state"))
 
 
 def rule_input_coverage(t: Tables) -> DataFrame:
@@ -191,18 +186,43 @@ def rule_input_coverage(t: Tables) -> DataFrame:
 
 
 def dependency_issues(t: Tables) -> DataFrame:
-    """Tables that an entity lacks and the rules that can't be told for it."""
-    need = t.spark.createDataFrame([(r, n) for r, ns in REQUIRED.items() for n in ns], "rule_id string, table string")
-    omitted = table_status(t).filter("state = 'omitted'")
-    return omitted.join(F.broadcast(need), "table").groupBy("entity_id", "table").agg(F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules"))
+    """entity_id, check, need, rules: tables that an entity lacks (rule_table_missing) and columns of its alerts that say nothing
+    (rule_input_missing), with the rules that can't be told or can't fire for it."""
+    rows = inputs(t)
+    of = lambda c, check, name: rows.select("entity_id", F.lit(check).alias("check"), F.explode(c).alias("need"), "rule_id").withColumn("need", name(F.col("need")))
+    both = of("missing", "rule_table_missing", lambda n: n).unionByName(of("blind", "rule_input_missing", lambda n: F.concat(F.lit("alert."), n)))
+    return both.groupBy("entity_id", "check", "need").agg(F.array_join(F.sort_array(F.collect_set("rule_id")), ",").alias("rules"))
+
+
+def with_faults(t: Tables) -> Tables:
+    """The tables with alerts as careless submitters send them: of every fifth entity some twice, of the next with words that
+    nobody knows, of the next without severity; others are as they were."""
+    e, k = F.substring("entity_id", 2, 2).cast("int") % 5, F.substring("alert_id", 2, 8).cast("long")
+    a = t.alert.withColumns({
+        "disposition": F.when((e == 2) & (k % 40 == 0), "unmapped").otherwise(F.col("disposition")),
+        "severity_final": F.when((e == 3) & (k % 50 == 0), " ").otherwise(F.col("severity_final")),
+    })
+    out = Tables(t.spark, t.sf_dir)
+    for n in ("entity", "asset", "soc_case", "case_alert_link"):
+        setattr(out, n, getattr(t, n))
+    out.alert = a.withColumn("copy", F.explode(F.when((e == 1) & (k % 60 == 0), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))).drop("copy")
+    return out
 
 
 def blocking(t: Tables) -> DataFrame:
-    """What becomes of each entity's submission: rejected, held or published, and the checks that say so."""
-    by = F.create_map(*[F.lit(x) for kv in BLOCKING.items() for x in kv])[F.col("check")]
-    found = dq_issues(t).select("entity_id", "check", by.alias("does")).filter("does is not null")
-    each = found.groupBy("entity_id").agg(F.max("does").alias("does"), F.array_join(F.sort_array(F.collect_set("check")), ",").alias("checks"))
-    return t.entity.select("entity_id").join(each, "entity_id", "left").select("entity_id", F.coalesce("does", F.lit("publish")).alias("decision"), F.coalesce("checks", F.lit("")).alias("checks"))
+    """entity_id, blocking and reported (checks that find something, joined by commas), and what becomes of the submission by the
+    way it comes: an upload with a blocking problem is held, one by the interface rejected, others are published."""
+    found = dq_issues(t).select("entity_id", F.split_part("check", F.lit(":"), F.lit(1)).alias("check")).distinct()
+    stops = F.col("check").isin(*BLOCKING)
+    names = lambda c: F.array_join(F.sort_array(F.collect_set(F.when(c, F.col("check")))), ",")
+    each = found.groupBy("entity_id").agg(names(stops).alias("blocking"), names(~stops).alias("reported"))
+    rows = t.entity.select("entity_id").join(each, "entity_id", "left").fillna("", ["blocking", "reported"])
+    by = lambda word: F.when(F.col("blocking") != "", word).otherwise("published")
+    return rows.select("entity_id", "blocking", "reported", by("held").alias("upload"), by("rejected").alias("interface"), F.lit("published").alias("automatic"))
+
+
+def blocking_of_faulty(t: Tables) -> DataFrame:
+    return blocking(with_faults(t))
 
 
 def csv_safe(text: Column) -> Column:
@@ -228,5 +248,5 @@ def flat_mapping(t: Tables) -> DataFrame:
 
 QUERIES = {
     "scan_csv": orders_csv, "scan_json": events_json, "scan_json_envelope": envelopes, "header_normalise": headers, "row_hygiene": hygiene, "comment_hygiene": comment_hygiene, "period_bounds": periods,
-    "hash_chain_verify": chain_verify, "invalid_timestamp": invalid_times, "rule_input_coverage": rule_input_coverage, "dependency_issues": dependency_issues, "blocking_decision": blocking, "export_csv": exported, "flat_mapping": flat_mapping,
+    "hash_chain_verify": chain_verify, "invalid_timestamp": invalid_times, "rule_input_coverage": rule_input_coverage, "dependency_issues": dependency_issues, "blocking_decision": blocking_of_faulty, "export_csv": exported, "flat_mapping": flat_mapping,
 }

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsia.sources.projection import Tables
@@ -31,18 +29,43 @@ def bridge(t: Tables) -> DataFrame:
     return t.once("bridge", lambda: peer_pairs(t))
 
 
+def scope(ident: str = "entity_id") -> Column:
+    """What an id names behind an @: the scope within which entities are compared."""
+    return F.regexp_extract(ident, "@(.*)$", 1)
+
+
+def key(attributes: tuple[str, ...]) -> Column:
+    """One text for the scope and some attributes; null is a value of its own."""
+    return F.concat_ws("\x1f", scope(), *[F.coalesce(F.concat(F.lit("="), c), F.lit("")) for c in attributes])
+
+
+def chosen_levels(t: Tables) -> DataFrame:
+    """entity_id, level, key: the first level at which an entity has enough peers. Sizes are counts by key, no pairs are made."""
+    e = profiles(t)
+    keys = F.array(*[F.struct(F.lit(k).alias("level"), key(attrs).alias("key"), F.lit(least).alias("least")) for k, (attrs, least) in enumerate(LEVELS)])
+    keyed = e.select("entity_id", F.inline(keys))
+    sizes = keyed.groupBy("level", "key").agg((F.count("*") - 1).alias("others"))
+    fit = keyed.join(sizes, ["level", "key"]).filter("others >= least")
+    return fit.groupBy("entity_id").agg(F.min(F.struct("level", "key")).alias("c")).select("entity_id", "c.level", "c.key")
+
+
 def peer_pairs(t: Tables) -> DataFrame:
-    """Entities are few; pairs of records are never made."""
+    """Each entity with those that share its key; pairs of others are never made."""
+    e = profiles(t)
+    members = e.select(F.col("entity_id").alias("peer_id"), F.inline(F.array(*[F.struct(F.lit(k).alias("level"), key(attrs).alias("key")) for k, (attrs, _) in enumerate(LEVELS)])))
+    return chosen_levels(t).join(members, ["level", "key"]).filter("entity_id <> peer_id").select("entity_id", "peer_id", "level")
+
+
+def exclusions(t: Tables) -> DataFrame:
+    """entity_id, level, attribute, n: the entities left out of each one's cohort, by the first attribute in which they differ: those
+    that share the attributes before it, less those that share it too."""
     e = profiles(t)
-    p = e.select(*[F.col(c).alias(f"p_{c}") for c in e.columns])
-    pairs = e.join(F.broadcast(p), F.col("entity_id") != F.col("p_entity_id"))
-    same = [reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"p_{c}")) for c in attrs], F.lit(True)) for attrs, _ in LEVELS]
-    flags = pairs.select("entity_id", F.col("p_entity_id").alias("peer_id"), *[s.alias(f"l{k}") for k, s in enumerate(same)])
-    sizes = flags.groupBy("entity_id").agg(*[F.count_if(f"l{k}").alias(f"n{k}") for k in range(len(LEVELS))])
-    level = F.coalesce(*[F.when(F.col(f"n{k}") >= least, k) for k, (_, least) in enumerate(LEVELS)])
-    chosen = flags.join(F.broadcast(sizes.select("entity_id", level.alias("level"))), "entity_id")
-    hit = F.element_at(F.array(*[F.col(f"l{k}") for k in range(len(LEVELS))]), F.col("level") + 1)
-    return chosen.filter(hit).select("entity_id", "peer_id", "level")
+    prefixes = [F.struct(F.lit(k).alias("level"), F.lit(n).alias("n"), F.lit(attrs[n - 1] if n else "").alias("attribute"), key(attrs[:n]).alias("key")) for k, (attrs, _) in enumerate(LEVELS) for n in range(len(attrs) + 1)]
+    keyed = e.select("entity_id", F.inline(F.array(*prefixes)))
+    size = keyed.groupBy("level", "n", "key").agg(F.count("*").alias("size"))
+    own = chosen_levels(t).select("entity_id", "level").join(keyed, ["entity_id", "level"]).join(size, ["level", "n", "key"])
+    before = F.lag("size").over(Window.partitionBy("entity_id").orderBy("n"))
+    return own.withColumn("out", before - F.col("size")).filter("out > 0").select("entity_id", "level", "attribute", F.col("out").alias("n"))
 
 
 def cohorts(t: Tables) -> DataFrame:

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarsia.operators.assessment import full_states
-from tarsia.operators.ingest import blocking, fresh, header_key, scan_json
+from tarsia.operators.contracts import results as rule_results
+from tarsia.operators.ingest import blocking, fresh, header_key, scan_json, with_faults
 from tarsia.operators.rules import findings
 from tarsia.operators.scoring import domain_scores, review_queue, risk_index
 from tarsia.sources.projection import Tables
@@ -87,7 +87,8 @@ def publish(t: Tables) -> DataFrame:
     """policy, entity_id, status, n_problems, n_rows: what becomes of an entity's alerts under each policy, and the rows that
     readers then see. auto publishes, strict rejects a submission with problems, if_clean holds it, preview stores
     nothing. Rows are written first, the batch last: readers see rows of published batches only."""
-    found = blocking(t).select("entity_id", F.size(F.filter(F.split("checks", ","), lambda c: c != "")).alias("n_problems"))
+    t = with_faults(t)
+    found = blocking(t).select("entity_id", F.size(F.filter(F.split("blocking", ","), lambda c: c != "")).alias("n_problems"))
     grid = found.withColumn("policy", F.explode(F.array(*map(F.lit, POLICIES))))
     clean = F.col("n_problems") == 0
     status = F.when(F.col("policy") == "preview", "preview").when(clean | (F.col("policy") == "auto"), "published").when(F.col("policy") == "strict", "rejected").otherwise("held")
@@ -105,7 +106,7 @@ def persist_run(t: Tables, runs: tuple[str, ...] = ("R1", "R2", "R2")) -> DataFr
     """tab, run_id, entity_id, n: the results of a run, each table partitioned by run. A run that is stored again replaces
     itself and leaves others alone."""
     results = {
-        "finding": findings(t), "domain_score": domain_scores(t), "entity_score": risk_index(t), "rule_result": full_states(t),
+        "finding": findings(t), "domain_score": domain_scores(t), "entity_score": risk_index(t), "rule_result": rule_results(t),
         "evidence": findings(t).filter("evidence is not null").select("entity_id", "rule_id", F.explode(F.split("evidence", ",")).alias("record_id")), "queue": review_queue(t),
     }
     path, out = fresh(t, "runs"), []

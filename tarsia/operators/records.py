@@ -172,10 +172,10 @@ def read_time(text: Column) -> Column:
 def dq_issues(t: Tables) -> DataFrame:
     """entity_id, check, n of all checks that find something."""
     a = t.alert
-    blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
     count = lambda df, name: df.groupBy("entity_id").agg(F.count("*").alias("n")).select("entity_id", F.lit(name).alias("check"), "n")
     out = [count(a.filter(blank("alert_id") | blank("created_at") | blank("severity_final")), "missing_required_field"), count(a.filter("closed_at < created_at"), "close_before_create")]
-    out.append(count(a.groupBy("entity_id", "alert_id").count().filter("count > 1"), "duplicate_primary_keys"))
+    out.append(count(a.filter(~blank("alert_id")).groupBy("entity_id", "alert_id").count().filter("count > 1"), "duplicate_primary_keys"))
     number = a.select("entity_id", F.regexp_extract("alert_id", r"(\d+)$", 1).try_cast("long").alias("k")).distinct()
     steps = number.withColumn("gap", F.col("k") - F.lag("k").over(Window.partitionBy("entity_id").orderBy("k")))
     out.append(count(steps.filter("gap > 50"), "id_sequence_gap"))

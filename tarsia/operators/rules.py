@@ -2,6 +2,9 @@
 
 A rule returns a row for every entity in which it fires: entity_id, rule_id, hits, population, distance, confidence,
 score, severity and evidence (the first record ids, joined by commas).
+
+Entities whose id ends in @ and a name belong to the scope of that name: they are compared with entities of it only, and its
+own dates count. So several windows of time are judged by one run of the rules.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsia.functions.stats import micros, median_mad, robust_z, seconds_between, share
-from tarsia.operators.peers import bridge
+from tarsia.operators.peers import bridge, scope
 from tarsia.sources.projection import Tables
 
 HIGH = ("high", "critical")
@@ -162,16 +165,23 @@ def eg08(t: Tables) -> DataFrame:
     return counted("EG08", t.escalation, t.escalation.filter("acknowledged_at is null"), "esc_id", 3.0, 3, "high", 5)
 
 
+def references(t: Tables) -> DataFrame:
+    """scope and reference: the latest creation or closing of alerts and cases of each scope, or the time that is given for it."""
+    if t.moments:
+        return t.spark.createDataFrame([(k, str(v)) for k, v in t.moments.items()], "scope string, at string").select("scope", F.col("at").cast("timestamp_ntz").alias("reference"))
+    a = t.alert.groupBy(scope().alias("scope")).agg(F.greatest(F.max("created_at"), F.max("closed_at")).alias("at"))
+    c = t.soc_case.groupBy(scope().alias("scope")).agg(F.greatest(F.max("opened_at"), F.max("closed_at")).alias("at"))
+    return a.unionAll(c).groupBy("scope").agg(F.max("at").alias("reference"))
+
+
 def reference_date(t: Tables) -> DataFrame:
-    """One row: the latest creation or closing of alerts and cases."""
-    a = t.alert.agg(F.greatest(F.max("created_at"), F.max("closed_at")).alias("at"))
-    c = t.soc_case.agg(F.greatest(F.max("opened_at"), F.max("closed_at")).alias("at"))
-    return a.unionAll(c).agg(F.max("at").alias("reference"))
+    """One row: the latest of all."""
+    return references(t).agg(F.max("reference").alias("reference"))
 
 
 def eg09(t: Tables) -> DataFrame:
     """Cases still open two weeks before the reference date."""
-    old = t.soc_case.filter("closed_at is null").join(F.broadcast(reference_date(t))).filter((micros(F.col("reference")) - micros(F.col("opened_at"))) > F.lit(14 * 86_400_000_000))
+    old = t.soc_case.filter("closed_at is null").withColumn("scope", scope()).join(F.broadcast(references(t)), "scope").filter((micros(F.col("reference")) - micros(F.col("opened_at"))) > F.lit(14 * 86_400_000_000))
     return counted("EG09", t.soc_case, old, "case_id", 3.0, 3, "medium", 5, [F.col("opened_at")])
 
 
@@ -279,8 +289,8 @@ def ns05(t: Tables) -> DataFrame:
 
 def ns06(t: Tables) -> DataFrame:
     """Assets in service that neither alert nor send telemetry."""
-    span = t.log_source_daily.agg(F.min("date").alias("since"), F.max("date").alias("until"))
-    base = t.asset.join(F.broadcast(span)).filter("(in_service_from is null or in_service_from <= until) and (in_service_to is null or in_service_to >= since)")
+    span = t.log_source_daily.groupBy(scope().alias("scope")).agg(F.min("date").alias("since"), F.max("date").alias("until"))
+    base = t.asset.withColumn("scope", scope()).join(F.broadcast(span), "scope").filter("(in_service_from is null or in_service_from <= until) and (in_service_to is null or in_service_to >= since)")
     heard = t.log_source_daily.filter("event_count > 0").select("entity_id", "asset_id").distinct()
     ghosts = base.join(heard, ["entity_id", "asset_id"], "left_anti").join(t.alert.select("entity_id", "asset_id").distinct(), ["entity_id", "asset_id"], "left_anti")
     return counted("NS06", base, ghosts, "asset_id", 2.0, 2, "high", None)
@@ -295,12 +305,12 @@ def ns07(t: Tables) -> DataFrame:
 
 def ns08(t: Tables) -> DataFrame:
     """Months in which others report and the entity doesn't."""
-    own = t.alert.select("entity_id", F.date_format("created_at", "yyyy-MM").alias("month")).distinct()
-    months = own.select("month").distinct()
-    alone = own.agg(F.countDistinct("entity_id").alias("entities"))  # nobody to compare an only entity with
-    expected = months.agg(F.count("*").alias("months")).join(alone).select(F.when(F.col("entities") == 1, 6).otherwise(F.least(F.lit(6), "months")).alias("expected"))
-    missing = own.select("entity_id").distinct().join(F.broadcast(months)).join(own, ["entity_id", "month"], "left_anti")
-    stats = own.groupBy("entity_id").agg(F.count("*").alias("n")).join(F.broadcast(expected)).filter("n < expected").withColumn("hits", F.col("expected") - F.col("n"))
+    own = t.alert.select(scope().alias("scope"), "entity_id", F.date_format("created_at", "yyyy-MM").alias("month")).distinct()
+    months = own.select("scope", "month").distinct()
+    alone = own.groupBy("scope").agg(F.countDistinct("entity_id").alias("entities"))  # nobody to compare an only entity with
+    expected = months.groupBy("scope").agg(F.count("*").alias("months")).join(alone, "scope").select("scope", F.when(F.col("entities") == 1, 6).otherwise(F.least(F.lit(6), "months")).alias("expected"))
+    missing = own.select("scope", "entity_id").distinct().join(F.broadcast(months), "scope").join(own.select("entity_id", "month"), ["entity_id", "month"], "left_anti")
+    stats = own.groupBy("scope", "entity_id").agg(F.count("*").alias("n")).join(F.broadcast(expected), "scope").filter("n < expected").withColumn("hits", F.col("expected") - F.col("n"))
     stats = stats.withColumns({"population": F.lit(10), "distance": F.col("hits") / 2.0})
     return finding("NS08", stats, "high", first_ids(missing, "month", None))
 

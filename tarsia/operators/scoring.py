@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsia.functions.stats import median
+from tarsia.operators.contracts import ASSESSED, coverage, results
 from tarsia.operators.rules import DOMAINS, findings
 from tarsia.sources.projection import Tables
 
@@ -22,27 +23,37 @@ def with_domain(f: DataFrame) -> DataFrame:
     return f.withColumn("domain", F.create_map(*[F.lit(x) for kv in DOMAINS.items() for x in kv])[F.col("rule_id")])
 
 
-def domain_scores(t: Tables) -> DataFrame:
-    """entity_id, domain, score (noisy-or of the findings' scores, 0 without one), n_findings for all eight domains."""
-    grid = t.entity.select("entity_id").withColumn("domain", F.explode(F.array(*map(F.lit, DOMAIN_WEIGHTS))))
-    hit = with_domain(findings(t)).groupBy("entity_id", "domain").agg(F.product(1 - F.col("score") / 100.0).alias("miss"), F.count("*").alias("n"))
-    out = grid.join(hit, ["entity_id", "domain"], "left")
-    return out.select("entity_id", "domain", F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), 100.0 * (1 - F.coalesce("miss", F.lit(1.0))))), 1).alias("score"), F.coalesce("n", F.lit(0)).alias("n_findings"))
+def domain_scores(t: Tables, decisions: DataFrame | None = None) -> DataFrame:
+    """entity_id, domain, score, n_findings, applicable, assessed, status for all eight domains: noisy-or of the findings' scores;
+    without one 0, or null where no rule of the domain could be assessed (status unknown)."""
+    states = results(t, decisions).groupBy("entity_id", "domain").agg(F.count_if(F.col("state") != "not_applicable").alias("applicable"), F.count_if(F.col("state").isin(*ASSESSED)).alias("assessed"))
+    hit = with_domain(findings(t)).groupBy("entity_id", "domain").agg(F.product(1 - F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") / 100.0))).alias("miss"), F.count("*").alias("n"))
+    out = states.join(hit, ["entity_id", "domain"], "left")
+    score = F.when(F.col("miss").isNotNull() | (F.col("assessed") > 0), F.bround(100.0 * (1 - F.coalesce("miss", F.lit(1.0))), 1))
+    status = F.when(F.col("assessed") == 0, "unknown").when(F.col("assessed") == F.col("applicable"), "assessed").otherwise("partial")
+    return out.select("entity_id", "domain", score.alias("score"), F.coalesce("n", F.lit(0)).alias("n_findings"), "applicable", "assessed", status.alias("status"))
 
 
-def risk_index(t: Tables) -> DataFrame:
-    """entity_id, base (weighted mean of known domains), n_rules, risk_index and band, raised to the floor that the
-    severest finding with a confidence of 0.5 or more sets."""
+LEVELS = ("low", "moderate", "high", "critical")
+
+
+def risk_index(t: Tables, decisions: DataFrame | None = None) -> DataFrame:
+    """entity_id, base (weighted mean of the known domains, 0 without any), n_rules, risk_index and band: that of the index, raised
+    to the floor that the severest finding with a confidence of 0.5 or more sets; where too little could be assessed,
+    the floor alone, else insufficient_evidence."""
     weights = F.create_map(*[F.lit(x) for kv in DOMAIN_WEIGHTS.items() for x in kv])
-    base = domain_scores(t).filter("score is not null").withColumn("w", weights[F.col("domain")]).groupBy("entity_id").agg(
+    base = domain_scores(t, decisions).filter("score is not null").withColumn("w", weights[F.col("domain")]).groupBy("entity_id").agg(
         F.sum(F.round(F.col("w") * 1000).cast("long") * F.round(F.col("score") * 10).cast("long")).alias("points"), F.sum(F.round(F.col("w") * 1000).cast("long")).alias("w")
     )
     base = base.withColumn("base", F.col("points") / 10.0 / F.col("w"))  # whole numbers up to here, so the order of rows doesn't matter
-    rules = findings(t).groupBy("entity_id").agg(F.countDistinct("rule_id").alias("n_rules"), F.max(F.when(F.col("confidence") >= 0.5, F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "high", 1).otherwise(0))).alias("floor"))
-    out = base.join(rules, "entity_id", "left").withColumns({"n_rules": F.coalesce("n_rules", F.lit(0)), "floor": F.coalesce("floor", F.lit(0))})
+    rules = findings(t).groupBy("entity_id").agg(F.countDistinct("rule_id").alias("n_rules"), F.max(F.when(F.col("confidence") >= 0.5, F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "high", 1).otherwise(-1))).alias("floor"))
+    out = t.entity.select("entity_id").join(base, "entity_id", "left").join(rules, "entity_id", "left").join(coverage(t, decisions).select("entity_id", F.col("level").alias("known")), "entity_id", "left")
+    out = out.withColumns({"base": F.coalesce("base", F.lit(0.0)), "n_rules": F.coalesce("n_rules", F.lit(0)), "floor": F.coalesce("floor", F.lit(-1))})
     out = out.withColumn("risk_index", F.bround((9.0 * F.col("base") + F.least(F.lit(100.0), 10.0 * F.col("n_rules"))) / 10.0, 1))
     level = F.when(F.col("risk_index") <= 25, 0).when(F.col("risk_index") <= 50, 1).when(F.col("risk_index") <= 75, 2).otherwise(3)
-    return out.select("entity_id", F.bround("base", 4).alias("base"), "n_rules", "risk_index", F.element_at(F.array(*map(F.lit, ("low", "moderate", "high", "critical"))), F.greatest(level, F.col("floor")) + 1).alias("band"))
+    named = lambda k: F.try_element_at(F.array(*map(F.lit, LEVELS)), k + 1)
+    band = F.when(F.col("known") != "insufficient", named(F.greatest(level, F.col("floor")))).when(F.col("floor") >= 0, named(F.col("floor"))).otherwise("insufficient_evidence")
+    return out.select("entity_id", F.bround("base", 4).alias("base"), "n_rules", "risk_index", band.alias("band"))
 
 
 def rank_controls(t: Tables) -> DataFrame:

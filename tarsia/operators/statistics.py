@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsia.functions.stats import benjamini_hochberg, cusum, median, seconds_between, share, wilson
+from tarsia.operators.contracts import ASSESSED, results
 from tarsia.operators.metrics import monthly
 from tarsia.operators.peers import bridge
 from tarsia.operators.rules import findings
@@ -120,18 +121,33 @@ def hypergeom_tail(k: Column, n: Column, successes: Column, population: Column)
     return F.when((population <= 0) | (n <= 0), 1.0).when(low > high, F.when(k > high, 0.0).otherwise(1.0)).otherwise(tail)
 
 
-def systemic(t: Tables, least: int = 1, notable: float = 0.2) -> DataFrame:
-    """Rules that fire at clients of one provider more often than at all entities: p of the tail, q over all tests."""
-    clients = t.entity.select("entity_id", F.col("soc_provider").alias("provider"))
-    hit = findings(t).select("entity_id", "rule_id").distinct()
-    of_rule = hit.groupBy("rule_id").agg(F.count("*").alias("successes"))
-    sizes = clients.filter("provider <> 'internal'").groupBy("provider").agg(F.count("*").alias("clients"))
-    pool = t.entity.agg(F.count("*").alias("pool"))
-    met = hit.join(clients, "entity_id").filter("provider <> 'internal'").groupBy("provider", "rule_id").agg(F.count("*").alias("affected")).filter(F.col("affected") >= least)
-    rows = met.join(of_rule, "rule_id").join(sizes, "provider").join(F.broadcast(pool))
-    rows = rows.withColumn("p", hypergeom_tail(F.col("affected"), F.col("clients"), F.col("successes"), F.col("pool")))
-    q = benjamini_hochberg(rows, "p")
-    return q.select("provider", "rule_id", "affected", "clients", F.bround("p", 6).alias("p"), F.bround("q", 6).alias("q"), F.when(F.col("q") <= notable, "notable").otherwise("weak").alias("level"))
+def systemic(t: Tables, provider: Column | None = None, least: int = 3, notable: float = 0.2) -> DataFrame:
+    """Rules that fire at clients of one provider more often than at other entities. A pair of provider and rule is tested where
+    it fires at a least number of the provider's clients; the pool are the entities for which the rule could be assessed.
+    p: of the tail, q: over all tested pairs, severity: the highest that the rule has anywhere."""
+    clients = t.entity.select("entity_id", F.coalesce(F.col("soc_provider") if provider is None else provider, F.lit("internal")).alias("provider"))
+    rank = F.when(F.col("severity") == "critical", 3).when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
+    hit = findings(t).groupBy("entity_id", "rule_id").agg(F.max(rank).alias("rank"), F.lit(True).alias("hit"))
+    told = results(t).filter(F.col("state").isin(*ASSESSED)).select("entity_id", "rule_id")
+    pool = told.join(hit, ["entity_id", "rule_id"], "full_outer").join(clients, "entity_id").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    of_rule = pool.groupBy("rule_id").agg(F.count_if("hit").alias("successes"), F.count("*").alias("pool"), F.max("rank").alias("rank"))
+    met = pool.filter("provider <> 'internal'").groupBy("provider", "rule_id").agg(F.count_if("hit").alias("affected"), F.count("*").alias("assessable"))
+    rows = met.filter("affected > 0").join(of_rule, "rule_id").join(clients.groupBy("provider").agg(F.count("*").alias("clients")), "provider")
+    rows = rows.withColumn("tested", F.col("affected") >= least)
+    p = hypergeom_tail(F.col("affected"), F.col("assessable"), F.col("successes"), F.col("pool"))
+    tested = benjamini_hochberg(rows.filter("tested").withColumn("p", p), "p").select("provider", "rule_id", "p", "q")
+    out = rows.join(tested, ["provider", "rule_id"], "left")
+    level = F.when(~F.col("tested"), "not_tested").when(F.col("q") <= notable, "notable").otherwise("weak")
+    severity = F.element_at(F.array(*map(F.lit, ("low", "medium", "high", "critical"))), F.col("rank") + 1)
+    return out.select(
+        "provider", "rule_id", "affected", "assessable", "clients", (F.col("successes") - F.col("affected")).alias("others_affected"), (F.col("pool") - F.col("assessable")).alias("others_assessable"),
+        F.bround("p", 6).alias("p"), F.bround("q", 6).alias("q"), level.alias("level"), severity.alias("severity"),
+    )
+
+
+def systemic_of_models(t: Tables) -> DataFrame:
+    """The same over the models by which entities run their operations, tested from two entities on."""
+    return systemic(t, F.when(F.col("soc_model") == "inhouse", "internal").otherwise(F.col("soc_model")), least=2)
 
 
 #: Monthly series: whether they stand on a logarithmic scale, and the least spread they are measured by.
@@ -172,5 +188,5 @@ def time_shifts(t: Tables) -> DataFrame:
 QUERIES = {
     "time_shifts": time_shifts,
     "robust_z_score": robust_z_scores, "iqr_bounds": quartiles, "percentile_rank": percentile_ranks, "ewma": ewma_chart, "wilson_interval": wilson_intervals, "spearman": spearman, "cohens_kappa": kappas,
-    "cluster_bootstrap": bootstrap_intervals, "systemic_correlation": systemic,
+    "cluster_bootstrap": bootstrap_intervals, "systemic_correlation": systemic, "systemic_correlation_models": systemic_of_models,
 }

@@ -14,7 +14,7 @@ DOMAINS = f"ds AS MATERIALIZED (SELECT * FROM ({MORE['domain_scores']}))"
 COVER = f"cv AS MATERIALIZED (SELECT * FROM ({CATALOG['coverage_classification']}))"
 QUEUE = f"q AS MATERIALIZED (SELECT * FROM ({MORE['review_queue']}))"
 EXCEPTIONS = f"x AS (SELECT entity_id, rule_id, CASE WHEN {N} % 4 = 0 THEN DATE '2026-12-31' ELSE DATE '2026-03-31' END AS until FROM f WHERE {N} % 2 = 0)"
-MEDIANS = "pm AS (SELECT p.entity_id, d.domain, count(*) AS n_peers, median(d.score) AS m FROM peers p JOIN ds d ON d.entity_id = p.peer_id GROUP BY 1, 2)"
+MEDIANS = "pm AS (SELECT p.entity_id, d.domain, count(d.score) AS n_peers, median(d.score) AS m FROM peers p JOIN ds d ON d.entity_id = p.peer_id GROUP BY 1, 2)"
 TIER = "CASE WHEN band IS NULL THEN 'insufficient' WHEN band IN ('critical', 'high') THEN 'critical' WHEN band = 'moderate' THEN 'moderate' ELSE 'low' END"
 LEAGUE = f"lg AS (SELECT e.entity_id, e.name, e.sector, e.size_band, r.risk_index, r.band, r.n_rules, cv.coverage, cv.level, {TIER} AS tier FROM entity e LEFT JOIN r ON r.entity_id = e.entity_id LEFT JOIN cv ON cv.entity_id = e.entity_id)"
 EACH = "each AS (SELECT entity_id, rule_id, severity, score, unnest(string_split(evidence, ',')) AS id FROM f)"

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from tarsia.operators.catalog import REQUIRED
-from tarsia.operators.rules import RULES
-from tarsia.plans.more_oracles import NAMES, F
+from tarsia.plans.contract_oracles import COVERAGE, RESULTS, F
 from tarsia.plans.oracles import PEERS, query
 
 SUB = """sub AS (SELECT entity_id, tab, seq AS pub_seq, CASE n % 5 WHEN 0 THEN 'rejected' WHEN 1 THEN 'declared_empty' ELSE 'rows' END AS completeness, CASE WHEN seq <> 6 THEN m END AS since, CASE WHEN seq <> 6 THEN CAST(m + INTERVAL 1 MONTH AS DATE) END AS until
  FROM (SELECT entity_id, tab, CAST(date_trunc('month', began) AS DATE) AS m, CAST(month(began) AS INT) AS seq, count(*) AS n FROM (SELECT entity_id, 'alert' AS tab, created_at AS began FROM alert UNION ALL SELECT entity_id, 'soc_case', opened_at FROM soc_case) GROUP BY ALL))"""
 MAPPED = """mp AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 'filtered' WHEN o_orderkey % 29 = 0 THEN 'rejected' WHEN sev IS NULL THEN 'rejected' ELSE 'stored' END AS outcome
  FROM (SELECT *, CASE substr(o_orderpriority, 3) WHEN 'URGENT' THEN 'critical' WHEN 'HIGH' THEN 'high' WHEN 'MEDIUM' THEN 'medium' WHEN 'LOW' THEN 'low' ELSE 'unmapped' END AS sev, CASE WHEN o_orderkey % 2 = 0 THEN 'c' || CAST(o_orderkey % 7 AS VARCHAR) ELSE 'nobody' END AS owner FROM orders))"""
-STATES = f"""{F}, st AS (SELECT e.entity_id, r.rule_id, CASE WHEN EXISTS (SELECT 1 FROM need n WHERE n.rule_id = r.rule_id AND NOT EXISTS (SELECT 1 FROM have h WHERE h.entity_id = e.entity_id AND h.tab = n.tab)) THEN 'insufficient' WHEN EXISTS (SELECT 1 FROM f WHERE f.entity_id = e.entity_id AND f.rule_id = r.rule_id) THEN 'finding' ELSE 'assessed_clear' END AS state
- FROM entity e CROSS JOIN (SELECT DISTINCT rule_id FROM need) r)"""
-NEED = "need AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{x}')" for r in RULES for x in ["alert", *REQUIRED.get(r, [])]) + ") v(rule_id, tab))"
-HAVE = "have AS (" + " UNION ".join(f"SELECT entity_id, '{n}' AS tab FROM {n}" for n in NAMES) + ")"
 OUTLIERS = """mt AS (SELECT entity_id, metric, v FROM (UNPIVOT (SELECT entity_id, count(*) AS n, log10(count(*) + 1) AS log_alerts, avg(CAST(disposition = 'false_positive' AS INT)) AS fp_share, avg(CAST(disposition = 'benign' AS INT)) AS benign_share, count(*) FILTER (closed_by_type = 'automation') / count(*)::DOUBLE AS auto_share, avg(CAST(status = 'open' AS INT)) AS open_share, avg(CAST(severity_final = 'critical' AS INT)) AS critical_share, avg(CAST(acknowledged_at IS NULL AS INT)) AS unacked_share FROM alert GROUP BY 1) ON COLUMNS(* EXCLUDE (entity_id, n)) INTO NAME metric VALUE v) WHERE n >= 30),
 nr AS (SELECT p.entity_id, metric, v FROM peers p JOIN mt ON mt.entity_id = p.peer_id),
 md AS (SELECT entity_id, metric, median(v) AS med, count(*) AS n_peers FROM nr GROUP BY 1, 2),
@@ -41,8 +35,8 @@ ORACLES = {
     "mapping_coverage": query("SELECT *, CASE WHEN rejected = 0 THEN 'none' WHEN rejected * 2 >= n_read THEN 'error' ELSE 'warning' END AS level FROM (SELECT o_orderpriority AS file, count(*) AS n_read, count(*) FILTER (outcome = 'filtered') AS filtered, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'stored') AS stored, count(*) FILTER (outcome = 'stored' AND owner <> 'nobody') AS owned FROM mp GROUP BY 1)", MAPPED),
     "parse_values": "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 2 THEN round(c_acctbal::DOUBLE, 2) END AS number, CASE c_custkey % 4 WHEN 0 THEN true WHEN 1 THEN false END AS flag FROM customer",
     "word_shingles": SHINGLES + " SELECT conv_id, turn, CAST(len(s) AS INT) AS n_shingles, array_to_string(list_transform(s[1:10], lambda x: substr(sha256(x), 1, 12)), ',') AS head, round_even(CASE WHEN p IS NULL THEN NULL WHEN len(s) = 0 AND len(p) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect(s, p)) / (list_unique(s) + list_unique(p) - len(list_intersect(s, p)))::DOUBLE END, 6) AS similarity FROM p",
-    "rule_result_state": query("SELECT * FROM st", NEED, HAVE, STATES),
-    "coverage_classification": query("SELECT *, CASE WHEN coverage < 0.25 THEN 'insufficient' WHEN coverage >= 0.9 THEN 'assessable' ELSE 'partial' END AS level FROM (SELECT entity_id, count(*) FILTER (state <> 'insufficient') AS assessed, count(*) AS applicable, round_even(count(*) FILTER (state <> 'insufficient') / count(*)::DOUBLE, 4) AS coverage FROM st GROUP BY 1)", NEED, HAVE, STATES),
+    "rule_result_state": query("SELECT entity_id, rule_id, state FROM rr", F, RESULTS),
+    "coverage_classification": query("SELECT entity_id, assessed, applicable, coverage, level FROM co", F, RESULTS, COVERAGE),
     "peer_outliers": query("SELECT * FROM ot", PEERS, OUTLIERS),
     "anomaly_scan": query("SELECT entity_id, CAST(rank AS INT) AS rank, metric, z, suppressed FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY abs(z) DESC, metric) AS rank, greatest(0, count(*) OVER (PARTITION BY entity_id) - 10) AS suppressed FROM ot) WHERE rank <= 10", PEERS, OUTLIERS),
     "seeded_entity_split": query("SELECT entity_id, CASE WHEN row_number() OVER (ORDER BY sha256('42:' || entity_id)) <= (SELECT round_even(0.4::DOUBLE * count(*), 0) FROM entity) THEN 'calibration' ELSE 'holdout' END AS part FROM entity"),

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from tarsia.operators.records import KEY
-from tarsia.plans.catalog_oracles import HAVE, REQUIRED
-from tarsia.plans.more_oracles import BLANKS, DOMAIN, DQ, F
+from tarsia.plans.contract_oracles import COVERAGE, INPUTS, RESULTS, F
+from tarsia.plans.more_oracles import DQ, DS
 from tarsia.plans.more_oracles import ORACLES as MORE
 from tarsia.plans.oracles import query
 
@@ -19,22 +19,17 @@ def hmac(value: str) -> str:
     return f"CASE WHEN {value} <> '' THEN 'U_' || substr(sha256({blob(0x5C)} || unhex(sha256({blob(0x36)} || encode({value})))), 1, 16) END"
 
 
-NEED = "nd AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{x}')" for r, xs in REQUIRED.items() for x in xs) + ") v(rule_id, tab))"
-ALL_RULES = "rs AS (SELECT unnest([" + ", ".join(f"'{f}{k:02d}'" for f, n in (("EG", 12), ("NS", 8)) for k in range(1, n + 1)) + "]) AS rule_id)"
-COLUMNS = "cn AS (SELECT * FROM (VALUES ('EG02', 'closed_by_type'), ('EG05', 'asset_id'), ('EG05', 'rule_id'), ('EG06', 'closed_by'), ('EG11', 'disposition'), ('NS02', 'category'), ('NS04', 'disposition'), ('NS05', 'rule_id'), ('EG07', 'closed_by'), ('EG01', 'closed_by_type'), ('EG01', 'severity_final')) v(rule_id, col))"
-USELESS = "us AS (" + " UNION ALL ".join(f"SELECT entity_id, '{c}' AS col FROM alert GROUP BY 1 HAVING count(*) FILTER (lower(trim({c})) NOT IN ('', 'unknown', 'unmapped', 'none', 'null')) = 0" for c in BLANKS) + ")"
-ORPHANS = "om AS (SELECT e.entity_id, nd.rule_id, nd.tab FROM entity e CROSS JOIN nd WHERE NOT EXISTS (SELECT 1 FROM have h WHERE h.entity_id = e.entity_id AND h.tab = nd.tab) AND nd.tab IN ('alert', 'soc_case', 'escalation', 'closure', 'asset', 'remediation', 'external_report'))"
-
-# The least sample of each rule.
-LEAST = "ls AS (SELECT * FROM (VALUES ('EG01', 10), ('EG02', 15), ('EG03', 5), ('EG04', 20), ('EG05', 10), ('EG06', 20), ('EG07', 20), ('EG08', 5), ('EG09', 10), ('EG10', 10), ('EG11', 200), ('EG12', 15), ('NS01', 1), ('NS02', 30), ('NS03', 30), ('NS04', 10), ('NS05', 20), ('NS06', 10), ('NS07', 1), ('NS08', 1)) v(rule_id, least))"
-STATES = (HAVE, NEED, ALL_RULES, COLUMNS, USELESS, ORPHANS, LEAST, F, """fs AS MATERIALIZED (SELECT e.entity_id, rs.rule_id, CASE WHEN EXISTS (SELECT 1 FROM om WHERE om.entity_id = e.entity_id AND om.rule_id = rs.rule_id) THEN 'not_assessed' WHEN EXISTS (SELECT 1 FROM f WHERE f.entity_id = e.entity_id AND f.rule_id = rs.rule_id) THEN 'finding'
- WHEN EXISTS (SELECT 1 FROM cn JOIN us USING (col) WHERE cn.rule_id = rs.rule_id AND us.entity_id = e.entity_id) THEN 'degraded' WHEN (SELECT count(*) FROM alert a WHERE a.entity_id = e.entity_id) < least THEN 'small_population' ELSE 'assessed_clear' END AS state FROM entity e CROSS JOIN rs JOIN ls ON ls.rule_id = rs.rule_id)""")
-TOLD = "count(*) FILTER (state NOT IN ('not_assessed', 'small_population'))"
+# Alerts as careless submitters send them, and what the checks find in them.
+FAULTY = """fa AS (SELECT * REPLACE (CASE WHEN e = 2 AND k % 40 = 0 THEN 'unmapped' ELSE disposition END AS disposition, CASE WHEN e = 3 AND k % 50 = 0 THEN ' ' ELSE severity_final END AS severity_final) FROM (SELECT *, CAST(substr(entity_id, 2, 2) AS INT) % 5 AS e, CAST(substr(alert_id, 2) AS BIGINT) AS k FROM alert)),
+fb AS (SELECT * FROM fa UNION ALL SELECT * FROM fa WHERE e = 1 AND k % 60 = 0)"""
+FAULTS = FAULTY + ", " + DQ.replace("FROM alert", "FROM fb")
+BLOCKED = """bd AS MATERIALIZED (SELECT e.entity_id, coalesce(array_to_string(list(DISTINCT c ORDER BY c) FILTER (stops), ','), '') AS blocking, coalesce(array_to_string(list(DISTINCT c ORDER BY c) FILTER (NOT stops), ','), '') AS reported
+ FROM entity e LEFT JOIN (SELECT entity_id, split_part("check", ':', 1) AS c, split_part("check", ':', 1) IN ('missing_required_field', 'duplicate_primary_keys', 'unrecognised_value') AS stops FROM ru) d ON d.entity_id = e.entity_id GROUP BY 1)"""
 
 ORACLES = {
-    "rule_result_state_full": query("SELECT * FROM fs", *STATES),
-    "covered_domain_scores": query(f"SELECT d.entity_id, d.domain, CASE WHEN told > 0 THEN score END AS score, round_even(told / rules::DOUBLE, 4) AS coverage, CASE WHEN told = 0 THEN 'none' WHEN told = rules THEN 'full' ELSE 'partial' END AS status FROM ({MORE['domain_scores']}) d JOIN (SELECT entity_id, {DOMAIN} AS domain, {TOLD} AS told, count(*) AS rules FROM fs GROUP BY 1, 2) t ON t.entity_id = d.entity_id AND t.domain = d.domain", *STATES),
-    "evidence_band": query(f"SELECT c.entity_id, round_even(coverage, 4) AS coverage, CASE WHEN coverage < 0.5 THEN 'insufficient_evidence' ELSE band END AS band, coalesce((SELECT array_to_string(list(DISTINCT tab ORDER BY tab), ',') FROM om WHERE om.entity_id = c.entity_id), '') AS requests FROM (SELECT entity_id, {TOLD} / count(*)::DOUBLE AS coverage FROM fs GROUP BY 1) c LEFT JOIN ({MORE['entity_risk_index']}) r ON r.entity_id = c.entity_id", *STATES),
+    "rule_result_state_full": query("SELECT * FROM rr", F, RESULTS),
+    "covered_domain_scores": query("SELECT entity_id, domain, score, CASE WHEN applicable > 0 THEN round_even(assessed / applicable::DOUBLE, 4) ELSE 0 END AS coverage, status FROM ds", DS),
+    "evidence_band": query(f"SELECT r.entity_id, co.coverage, co.level, r.band, co.requests FROM ({MORE['entity_risk_index']}) r JOIN co ON co.entity_id = r.entity_id", F, RESULTS, COVERAGE),
     "scan_csv": f"SELECT o_orderkey AS order_id, o_orderstatus AS status, round(o_totalprice, 2) AS amount, {SEV} AS severity FROM orders WHERE o_orderkey % 23 <> 0",
     "scan_json": "SELECT CASE WHEN event_id % 40 = 0 THEN 'unreadable' ELSE event_type END AS kind, count(*) AS n, CAST(sum(CASE WHEN event_id % 40 <> 0 THEN CAST(value AS DECIMAL(18, 4)) END) AS DOUBLE) AS total FROM events GROUP BY 1",
     "scan_json_envelope": "SELECT o_custkey AS source, o_orderkey AS order_id, o_orderstatus AS status FROM orders WHERE o_orderkey % 5 = 0",
@@ -45,9 +40,9 @@ ORACLES = {
     "period_bounds": query("SELECT label, count(*) AS n, s AS start, CAST(s + to_months(m) AS DATE) AS end FROM (SELECT strftime(created_at, '%Y') AS label, date_trunc('year', created_at)::DATE AS s, 12 AS m FROM alert UNION ALL SELECT strftime(created_at, '%Y') || '-Q' || quarter(created_at), date_trunc('quarter', created_at)::DATE, 3 FROM alert UNION ALL SELECT strftime(created_at, '%Y') || '-H' || CASE WHEN month(created_at) < 7 THEN 1 ELSE 2 END, make_date(year(created_at), CASE WHEN month(created_at) < 7 THEN 1 ELSE 7 END, 1), 6 FROM alert UNION ALL SELECT strftime(created_at, '%Y-%m'), date_trunc('month', created_at)::DATE, 1 FROM alert UNION ALL SELECT 'last year', NULL, NULL FROM alert) GROUP BY 1, 3, m"),
     "hash_chain_verify": query("SELECT entity_id, count(*) AS n, count(*) FILTER (bad) AS broken, min(case_id) FILTER (bad) AS first_break FROM (SELECT entity_id, case_id, CAST(substr(case_id, 2, 8) AS BIGINT) % 101 = 0 AND severity <> 'low' AS bad FROM soc_case) GROUP BY 1"),
     "invalid_timestamp": "SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 7 IN (0, 2)) AS invalid FROM events GROUP BY 1 HAVING count(*) FILTER (event_id % 7 IN (0, 2)) > 0",
-    "rule_input_coverage": query("SELECT entity_id, count(*) FILTER (s = 'assessed') AS assessed, count(*) FILTER (s = 'degraded') AS degraded, count(*) FILTER (s = 'not_assessed') AS not_assessed FROM (SELECT e.entity_id, CASE WHEN EXISTS (SELECT 1 FROM om WHERE om.entity_id = e.entity_id AND om.rule_id = rs.rule_id) THEN 'not_assessed' WHEN EXISTS (SELECT 1 FROM cn JOIN us USING (col) WHERE cn.rule_id = rs.rule_id AND us.entity_id = e.entity_id) THEN 'degraded' ELSE 'assessed' END AS s FROM entity e CROSS JOIN rs) GROUP BY 1", HAVE, NEED, ALL_RULES, COLUMNS, USELESS, ORPHANS),
-    "dependency_issues": query("SELECT entity_id, tab AS \"table\", array_to_string(list(DISTINCT rule_id ORDER BY rule_id), ',') AS rules FROM om GROUP BY 1, 2", HAVE, NEED, ORPHANS),
-    "blocking_decision": query("SELECT e.entity_id, CASE WHEN bool_or(\"check\" IN ('close_before_create', 'duplicate_primary_keys')) THEN 'reject' WHEN count(\"check\") > 0 THEN 'hold' ELSE 'publish' END AS decision, coalesce(array_to_string(list(DISTINCT \"check\" ORDER BY \"check\") FILTER (\"check\" IS NOT NULL), ','), '') AS checks FROM entity e LEFT JOIN (SELECT * FROM ru WHERE \"check\" IN ('id_sequence_gap', 'orphan_asset', 'close_before_create', 'duplicate_primary_keys')) d ON d.entity_id = e.entity_id GROUP BY 1", DQ),
+    "rule_input_coverage": query("SELECT entity_id, count(*) FILTER (len(missing) = 0 AND len(blind) = 0) AS assessed, count(*) FILTER (len(missing) = 0 AND len(blind) > 0) AS degraded, count(*) FILTER (len(missing) > 0) AS not_assessed FROM inp GROUP BY 1", INPUTS),
+    "dependency_issues": query("SELECT entity_id, \"check\", need, array_to_string(list(DISTINCT rule_id ORDER BY rule_id), ',') AS rules FROM (SELECT entity_id, rule_id, 'rule_table_missing' AS \"check\", unnest(missing) AS need FROM inp UNION ALL SELECT entity_id, rule_id, 'rule_input_missing', 'alert.' || unnest(blind) FROM inp) GROUP BY 1, 2, 3", INPUTS),
+    "blocking_decision": query("SELECT *, CASE WHEN blocking <> '' THEN 'held' ELSE 'published' END AS upload, CASE WHEN blocking <> '' THEN 'rejected' ELSE 'published' END AS interface, 'published' AS automatic FROM bd", FAULTS, BLOCKED),
     "export_csv": "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '''=' WHEN 1 THEN '''@' WHEN 2 THEN '''-' ELSE '' END || c_name AS name, c_mktsegment AS segment FROM customer",
     "flat_mapping": f"SELECT CASE o_orderstatus WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' END AS state, {SEV} AS severity_orig, {SEV} AS severity_final, count(*) AS n FROM orders GROUP BY 1, 2, 3",
 }

@@ -5,18 +5,19 @@ from __future__ import annotations
 from tarsia.operators.records import PLANTED
 from tarsia.operators.rules import DOMAINS
 from tarsia.operators.scoring import DOMAIN_WEIGHTS
-from tarsia.plans.oracles import LOCAL, PEERS, RULES, query
+from tarsia.plans.contract_oracles import COVERAGE, FINDINGS, RESULTS, F
+from tarsia.plans.oracles import LOCAL, PEERS, query
 
-FINDINGS = "\nUNION ALL BY NAME ".join(f"SELECT * FROM ({q})" for q in RULES.values())
 DOMAIN = "CASE rule_id " + " ".join(f"WHEN '{r}' THEN '{d}'" for r, d in DOMAINS.items()) + " END"
 WEIGHT = "CASE domain " + " ".join(f"WHEN '{d}' THEN {w}::DOUBLE" for d, w in DOMAIN_WEIGHTS.items()) + " END"
-F = f"f AS MATERIALIZED ({FINDINGS})"
-DS = f"""{F}, ds AS MATERIALIZED (SELECT e.entity_id, g.domain, round_even(100.0::DOUBLE * (1 - coalesce(miss, 1.0)), 1) AS score, coalesce(n, 0) AS n_findings
- FROM entity e CROSS JOIN (SELECT unnest([{', '.join(f"'{d}'" for d in DOMAIN_WEIGHTS)}]) AS domain) g
- LEFT JOIN (SELECT entity_id, {DOMAIN} AS domain, product(1 - score / 100.0::DOUBLE) AS miss, count(*) AS n FROM f GROUP BY 1, 2) x ON x.entity_id = e.entity_id AND x.domain = g.domain)"""
-RI = f"""{DS}, ri AS (SELECT b.entity_id, base, coalesce(n_rules, 0) AS n_rules, coalesce(fl, 0) AS fl, round_even((9.0::DOUBLE * base + least(100.0::DOUBLE, 10.0::DOUBLE * coalesce(n_rules, 0))) / 10.0::DOUBLE, 1) AS risk_index
- FROM (SELECT entity_id, CAST(sum(CAST(round({WEIGHT} * 1000) AS BIGINT) * CAST(round(score * 10) AS BIGINT)) AS DOUBLE) / 10.0::DOUBLE / CAST(sum(CAST(round({WEIGHT} * 1000) AS BIGINT)) AS DOUBLE) AS base FROM ds GROUP BY 1) b
- LEFT JOIN (SELECT entity_id, count(DISTINCT rule_id) AS n_rules, max(CASE WHEN confidence >= 0.5 THEN CASE severity WHEN 'critical' THEN 2 WHEN 'high' THEN 1 ELSE 0 END END) AS fl FROM f GROUP BY 1) r ON r.entity_id = b.entity_id)"""
+DS = f"""{F}, {RESULTS}, ds AS MATERIALIZED (SELECT g.entity_id, g.domain, CASE WHEN miss IS NOT NULL OR assessed > 0 THEN round_even(100.0::DOUBLE * (1 - coalesce(miss, 1.0)), 1) END AS score, coalesce(n, 0) AS n_findings, applicable, assessed,
+ CASE WHEN assessed = 0 THEN 'unknown' WHEN assessed = applicable THEN 'assessed' ELSE 'partial' END AS status
+ FROM (SELECT entity_id, domain, count(*) AS applicable, count(*) FILTER (state IN ('finding', 'assessed_clear')) AS assessed FROM rr GROUP BY 1, 2) g
+ LEFT JOIN (SELECT entity_id, {DOMAIN} AS domain, product(1 - score / 100.0::DOUBLE) AS miss, count(*) AS n FROM f GROUP BY 1, 2) x ON x.entity_id = g.entity_id AND x.domain = g.domain)"""
+RI = f"""{DS}, {COVERAGE}, ri AS (SELECT e.entity_id, coalesce(base, 0.0) AS base, coalesce(n_rules, 0) AS n_rules, coalesce(fl, -1) AS fl, level, round_even((9.0::DOUBLE * coalesce(base, 0.0) + least(100.0::DOUBLE, 10.0::DOUBLE * coalesce(n_rules, 0))) / 10.0::DOUBLE, 1) AS risk_index
+ FROM entity e LEFT JOIN (SELECT entity_id, CAST(sum(CAST(round({WEIGHT} * 1000) AS BIGINT) * CAST(round(score * 10) AS BIGINT)) AS DOUBLE) / 10.0::DOUBLE / CAST(sum(CAST(round({WEIGHT} * 1000) AS BIGINT)) AS DOUBLE) AS base FROM ds WHERE score IS NOT NULL GROUP BY 1) b ON b.entity_id = e.entity_id
+ LEFT JOIN (SELECT entity_id, count(DISTINCT rule_id) AS n_rules, max(CASE WHEN confidence >= 0.5 THEN CASE severity WHEN 'critical' THEN 2 WHEN 'high' THEN 1 ELSE -1 END END) AS fl FROM f GROUP BY 1) r ON r.entity_id = e.entity_id LEFT JOIN co ON co.entity_id = e.entity_id)"""
+BAND = "CASE WHEN level <> 'insufficient' THEN ['low', 'moderate', 'high', 'critical'][greatest(CASE WHEN risk_index <= 25 THEN 0 WHEN risk_index <= 50 THEN 1 WHEN risk_index <= 75 THEN 2 ELSE 3 END, fl) + 1] WHEN fl >= 0 THEN ['low', 'moderate', 'high', 'critical'][fl + 1] ELSE 'insufficient_evidence' END"
 MIN = "(epoch_us({0}) - epoch_us(created_at)) / 1e6"
 MONTHS = """mo AS (SELECT entity_id, strftime(created_at, '%Y-%m') AS month, CAST(date_trunc('month', created_at) AS DATE) AS m, count(*) AS alerts, count(*) FILTER (disposition = 'true_positive') AS tp, count(*) FILTER (closed_by_type = 'automation') AS auto FROM alert GROUP BY 1, 2, 3),
 sp AS (SELECT entity_id, min(created_at::DATE) AS d0, max(created_at::DATE) AS d1 FROM alert GROUP BY 1),
@@ -27,7 +28,7 @@ bt AS (SELECT source, entity_id, CASE WHEN k % 97 <> 0 THEN alert_id END AS aler
 CURRENT = "SELECT DISTINCT source, entity_id, alert_id, severity_final, status, pub_seq FROM (SELECT *, CASE WHEN alert_id IS NULL THEN row_number() OVER () END AS own FROM bt WHERE pub_seq <= {0}) QUALIFY rank() OVER (PARTITION BY source, entity_id, alert_id, own ORDER BY pub_seq DESC) = 1"
 BLANKS = ("rule_id", "category", "asset_id", "closed_by", "closed_by_type", "disposition", "status", "playbook_id", "severity_final")
 NAMES = ("alert", "soc_case", "escalation", "closure", "asset", "remediation", "external_report")
-DQ = """ru AS (SELECT entity_id, 'missing_required_field' AS "check", count(*) AS n FROM alert WHERE coalesce(alert_id, '') = '' OR created_at IS NULL OR coalesce(severity_final, '') = '' GROUP BY 1
+DQ = """ru AS (SELECT entity_id, 'missing_required_field' AS "check", count(*) AS n FROM alert WHERE trim(coalesce(alert_id, '')) = '' OR created_at IS NULL OR trim(coalesce(severity_final, '')) = '' GROUP BY 1
  UNION ALL SELECT entity_id, 'close_before_create', count(*) FROM alert WHERE closed_at < created_at GROUP BY 1
  UNION ALL SELECT entity_id, 'duplicate_primary_keys', count(*) FROM (SELECT entity_id, alert_id FROM alert GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY 1
  UNION ALL SELECT entity_id, 'id_sequence_gap', count(*) FROM (SELECT entity_id, k - lag(k) OVER (PARTITION BY entity_id ORDER BY k) AS gap FROM (SELECT DISTINCT entity_id, CAST(substr(alert_id, 2) AS BIGINT) AS k FROM alert)) WHERE gap > 50 GROUP BY 1
@@ -56,9 +57,10 @@ ROWS = {n: "concat_ws('|', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')"
 ORACLES = {
     "findings": f"SELECT * FROM ({FINDINGS})",
     "peer_cohorts": query("SELECT entity_id, level, count(*) AS n_peers, array_to_string(list(peer_id ORDER BY peer_id), ',') AS members, CASE WHEN count(*) >= 5 AND level < 4 THEN 'established' ELSE 'exploratory' END AS strength FROM peers GROUP BY 1, 2", PEERS),
+    "peer_exclusions": query("SELECT entity_id, level, attribute, count(*) AS n FROM (SELECT entity_id, level, CASE WHEN level IN (0, 1, 2) AND NOT s THEN 'sector' WHEN level IN (0, 1, 3) AND NOT z THEN 'size_band' WHEN level = 0 AND NOT m THEN 'soc_model' WHEN level = 0 AND NOT h THEN 'schedule' END AS attribute FROM lv JOIN pick USING (entity_id)) WHERE attribute IS NOT NULL GROUP BY ALL", PEERS),
     "local_time_counts": query("SELECT entity_id, zone, strftime(created_at, '%Y-%m') AS month, count(*) AS alerts, count(*) FILTER (hour(lt) < 8 OR hour(lt) >= 20) AS night, count(*) FILTER (dayofweek(lt) IN (0, 6)) AS weekend FROM loc GROUP BY 1, 2, 3", LOCAL),
     "domain_scores": query("SELECT * FROM ds", DS),
-    "entity_risk_index": query("SELECT entity_id, round_even(base, 4) AS base, n_rules, risk_index, ['low', 'moderate', 'high', 'critical'][greatest(CASE WHEN risk_index <= 25 THEN 0 WHEN risk_index <= 50 THEN 1 WHEN risk_index <= 75 THEN 2 ELSE 3 END, fl) + 1] AS band FROM ri", RI),
+    "entity_risk_index": query(f"SELECT entity_id, round_even(base, 4) AS base, n_rules, risk_index, {BAND} AS band FROM ri", RI),
     "rank_controls": query("SELECT rule_id, count(DISTINCT entity_id) AS n_entities, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS max_severity, round_even(sum(score), 1) AS total FROM f GROUP BY 1", F),
     "rank_processes": query("SELECT domain, count(*) FILTER (score >= 50) AS n_weak, median(score) AS median_score, max(score) AS max_score FROM ds GROUP BY 1", DS),
     "domain_heatmap": query("SELECT entity_id, " + ", ".join(f"max(score) FILTER (domain = '{d}') AS {d.lower().replace(' ', '_')}" for d in DOMAIN_WEIGHTS) + " FROM ds GROUP BY 1", DS),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tarsia.operators.scoring import DOMAIN_WEIGHTS
 from tarsia.plans.assessment_oracles import FOUND, QUEUE, RISK
+from tarsia.plans.ingest_oracles import BLOCKED, FAULTS
 from tarsia.plans.ingest_oracles import ORACLES as INGEST
 from tarsia.plans.oracles import query
 
@@ -14,7 +15,7 @@ OWNER = "coalesce(CASE WHEN c_custkey % 6 <> 0 THEN c_name END, 'nobody')"
 FROM = "FROM orders LEFT JOIN customer ON c_custkey = o_custkey"
 ALERTS = f"al AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus NOT IN ('O', 'F') THEN 'filtered' WHEN {LEVEL} IS NULL THEN 'missing severity' ELSE 'stored' END AS outcome, {OWNER} AS owner, {LEVEL} AS severity, CASE o_orderstatus WHEN 'O' THEN 'true' ELSE 'false' END AS open {FROM})"
 CLOSURES = f"cl AS (SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'stored' ELSE 'filtered' END AS outcome, length(o_orderpriority)::VARCHAR AS comment_len, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN {LEVEL} END AS severity FROM orders)"
-CHECKS = f"bl AS (SELECT entity_id, CASE checks WHEN '' THEN 0 ELSE len(string_split(checks, ',')) END AS n_problems FROM ({INGEST['blocking_decision']}))"
+CHECKS = f"{FAULTS}, {BLOCKED}, bl AS (SELECT entity_id, CASE blocking WHEN '' THEN 0 ELSE len(string_split(blocking, ',')) END AS n_problems FROM bd)"
 COVERED = f"cs AS (SELECT * FROM ({INGEST['covered_domain_scores']}))"
 FILES = "ef AS (SELECT CAST(user_id % 20 AS INT) AS part, count(*) AS n, count(*) FILTER (user_id % 20 = 7 OR user_id % 20 % 3 = 0 AND event_id % 40 = 0) AS bad FROM events GROUP BY 1)"
 POINTS = "CASE domain " + " ".join(f"WHEN '{d}' THEN {round(w * 1000)}" for d, w in DOMAIN_WEIGHTS.items()) + " END"
@@ -36,7 +37,7 @@ ORACLES = {
     "recognise_table": f"SELECT c_custkey, {KINDS}[c_custkey % 24 + 1] AS tab FROM customer",
     "empty_declares": "SELECT n_nationkey AS nation, 'alert' AS tab, CASE WHEN count(o_orderkey) > 0 THEN 'rows' ELSE 'declared_empty' END AS completeness, count(o_orderkey) AS n FROM nation LEFT JOIN (SELECT c_nationkey, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 4 <> 0) ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 3 GROUP BY 1",
     "scan_parquet_published": "SELECT pub_seq, first_customer, o_orderkey AS order_id, o_orderstatus AS status, CASE WHEN pub_seq > 3 THEN o_orderpriority END AS priority FROM (SELECT *, CAST(year(o_orderdate) - 1991 AS INT) AS pub_seq, min(o_custkey) OVER (PARTITION BY year(o_orderdate)) AS first_customer FROM orders) WHERE pub_seq % 3 <> 0",
-    "publish_batch": query("SELECT policy, bl.entity_id, status, n_problems, CASE WHEN status = 'published' THEN coalesce(n, 0) ELSE 0 END AS n_rows FROM (SELECT bl.*, policy, CASE WHEN policy = 'preview' THEN 'preview' WHEN policy = 'auto' OR n_problems = 0 THEN 'published' WHEN policy = 'strict' THEN 'rejected' ELSE 'held' END AS status FROM bl, (SELECT unnest(['auto', 'strict', 'if_clean', 'preview']) AS policy)) bl LEFT JOIN (SELECT entity_id, count(*) AS n FROM alert GROUP BY 1) a ON a.entity_id = bl.entity_id", CHECKS),
+    "publish_batch": query("SELECT policy, bl.entity_id, status, n_problems, CASE WHEN status = 'published' THEN coalesce(n, 0) ELSE 0 END AS n_rows FROM (SELECT bl.*, policy, CASE WHEN policy = 'preview' THEN 'preview' WHEN policy = 'auto' OR n_problems = 0 THEN 'published' WHEN policy = 'strict' THEN 'rejected' ELSE 'held' END AS status FROM bl, (SELECT unnest(['auto', 'strict', 'if_clean', 'preview']) AS policy)) bl LEFT JOIN (SELECT entity_id, count(*) AS n FROM fb GROUP BY 1) a ON a.entity_id = bl.entity_id", CHECKS),
     "persist_run": query(" UNION ALL ".join([counted("finding", "f"), counted("evidence", "(SELECT entity_id, unnest(string_split(evidence, ',')) AS id FROM f)"), counted("queue", "q"),
         *[counted(tab, f"(SELECT entity_id, unnest(range({n})) FROM entity)") for tab, n in (("domain_score", 8), ("entity_score", 1), ("rule_result", 20))]]), FOUND, QUEUE),
     "file_issues": f"WITH {FILES} SELECT * FROM (SELECT CASE part WHEN 11 THEN 'misc_' WHEN 13 THEN 'cases_' ELSE 'notable_' END || part AS file, CASE WHEN bad = n THEN 'file_unreadable' WHEN part = 11 THEN 'file_not_recognised' WHEN part = 13 THEN 'file_not_mapped' WHEN bad > 0 THEN 'file_partly_read' END AS \"check\", CASE WHEN bad = n THEN 'error' ELSE 'warning' END AS severity, CASE WHEN bad < n AND bad > 0 AND part NOT IN (11, 13) THEN bad ELSE 1 END AS n FROM ef) WHERE \"check\" IS NOT NULL",

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsia.operators import assessment, catalog, evaluation, ingest, mapping, metrics, peers, publishing, records, rules, scoring, statistics
-from tarsia.plans import assessment_oracles, catalog_oracles, evaluation_oracles, ingest_oracles, more_oracles, oracles, publishing_oracles, statistics_oracles
+from tarsia.operators import assessment, catalog, evaluation, ingest, mapping, metrics, peers, publishing, records, rules, scoring, selection, statistics
+from tarsia.plans import assessment_oracles, catalog_oracles, evaluation_oracles, ingest_oracles, more_oracles, oracles, publishing_oracles, selection_oracles, statistics_oracles
 from tarsia.sources.projection import Tables
 
 NAMES = {
@@ -27,6 +27,7 @@ ORACLES: dict[str, str] = {f"{r.lower()}_{NAMES[r]}": q for r, q in oracles.RULE
 
 TABLE_QUERIES = {
     "peer_cohorts": peers.cohorts,
+    "peer_exclusions": peers.exclusions,
     "local_time_counts": rules.local_counts,
     "domain_scores": scoring.domain_scores,
     "entity_risk_index": scoring.risk_index,
@@ -73,7 +74,7 @@ TABLE_QUERIES = {
     "anomaly_scan": catalog.anomaly_scan,
     "seeded_entity_split": catalog.seeded_split,
 }
-MODULES = (statistics, assessment, evaluation, ingest, mapping, publishing)
+MODULES = (statistics, assessment, evaluation, ingest, mapping, publishing, selection)
 for module in MODULES:
     TABLE_QUERIES |= module.QUERIES
 QUERIES |= {name: on_tables(f) for name, f in TABLE_QUERIES.items()}
@@ -92,3 +93,4 @@ ORACLES |= assessment_oracles.ORACLES
 ORACLES |= evaluation_oracles.ORACLES
 ORACLES |= ingest_oracles.ORACLES
 ORACLES |= publishing_oracles.ORACLES
+ORACLES |= selection_oracles.ORACLES

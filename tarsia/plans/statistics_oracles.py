@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from tarsia.plans.more_oracles import MONTHS, F
+from tarsia.plans.contract_oracles import RESULTS, F
+from tarsia.plans.more_oracles import MONTHS
 from tarsia.plans.oracles import PEERS, query
 
 RATES = "rates AS (SELECT entity_id, count(*) AS n, count(*) FILTER (disposition = 'false_positive') / count(*)::DOUBLE AS rate FROM alert GROUP BY 1)"
 LEVEL = "list_position(['low', 'medium', 'high', 'critical'], {0}) - 1"
 
+def systemic(provider: str, least: int) -> str:
+    return query(
+        "SELECT met.provider, met.rule_id, affected, assessable, clients, successes - affected AS others_affected, pop - assessable AS others_assessable, round_even(p, 6) AS p, round_even((SELECT min(least(1, b.p * b.m / b.r)) FROM pv b WHERE b.r >= pv.r), 6) AS q,"
+        f" CASE WHEN affected < {least} THEN 'not_tested' WHEN (SELECT min(least(1, b.p * b.m / b.r)) FROM pv b WHERE b.r >= pv.r) <= 0.2 THEN 'notable' ELSE 'weak' END AS level, ['low', 'medium', 'high', 'critical'][rank] AS severity FROM met LEFT JOIN pv ON pv.provider = met.provider AND pv.rule_id = met.rule_id", F, RESULTS,
+        f"cl AS (SELECT entity_id, {provider} AS provider FROM entity)", "po AS (SELECT cl.entity_id, provider, rule_id, EXISTS (SELECT 1 FROM f WHERE f.entity_id = rr.entity_id AND f.rule_id = rr.rule_id) AS hit FROM rr JOIN cl USING (entity_id) WHERE state IN ('finding', 'assessed_clear') OR EXISTS (SELECT 1 FROM f WHERE f.entity_id = rr.entity_id AND f.rule_id = rr.rule_id))",
+        "met AS (SELECT *, (SELECT count(*) FROM po x WHERE x.rule_id = po.rule_id AND x.hit) AS successes, (SELECT count(*) FROM po x WHERE x.rule_id = po.rule_id) AS pop, (SELECT count(*) FROM cl WHERE cl.provider = po.provider) AS clients, (SELECT max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) FROM f WHERE f.rule_id = po.rule_id) AS rank FROM (SELECT provider, rule_id, count(*) FILTER (hit) AS affected, count(*) AS assessable FROM po WHERE provider <> 'internal' GROUP BY 1, 2) po WHERE affected > 0)",
+        "lf AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS v FROM range(0, 1000) x(i))",
+        f"pr AS (SELECT provider, rule_id, least(1, sum(exp(a.v - b.v - c.v + d.v - e.v - g.v - h.v + j.v + l.v))) AS p FROM met, range(0, 1000) x(k), lf a, lf b, lf c, lf d, lf e, lf g, lf h, lf j, lf l WHERE affected >= {least} AND k >= affected AND k <= least(assessable, successes) AND assessable - k <= pop - successes AND a.i = successes AND b.i = k AND c.i = successes - k AND d.i = pop - successes AND e.i = assessable - k AND g.i = pop - successes - assessable + k AND h.i = pop AND j.i = assessable AND l.i = pop - assessable GROUP BY 1, 2)",
+        "pv AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM pr)")
+
+
 ORACLES = {
     "time_shifts": query(
         "SELECT se.entity_id, se.metric, any_value(points) AS points, round_even(any_value(peak_up), 4) AS peak_up, round_even(any_value(peak_down), 4) AS peak_down, max(month) FILTER (i = first_i) AS alarm_month, max(month) FILTER (i = start_i) AS shift_from, round_even(any_value(bm), 6) AS before, round_even(median(v) FILTER (i >= start_i), 6) AS after FROM se JOIN b1 USING (entity_id, metric) JOIN sx USING (entity_id, metric) GROUP BY 1, 2", MONTHS,
@@ -50,11 +62,6 @@ ORACLES = {
         "sz AS (SELECT severity_final, count(*) AS m, sum(n) AS an, sum(k) AS ak FROM en GROUP BY 1 HAVING count(*) >= 2)",
         "dr AS (SELECT severity_final, r, CAST('0x' || substr(md5('42:' || severity_final || ':' || r || ':' || d), 1, 8) AS BIGINT) % m AS ix FROM sz, range(2000) a(r), range(1000) b(d) WHERE d < m)",
         "rr AS (SELECT *, row_number() OVER (PARTITION BY severity_final ORDER BY rate, r) AS i FROM (SELECT severity_final, r, sum(k) / sum(n)::DOUBLE AS rate FROM dr JOIN en USING (severity_final, ix) GROUP BY 1, 2))"),
-    "systemic_correlation": query(
-        "SELECT provider, rule_id, affected, clients, round_even(p, 6) AS p, round_even(q, 6) AS q, CASE WHEN q <= 0.2 THEN 'notable' ELSE 'weak' END AS level FROM (SELECT a.*, (SELECT min(least(1, b.p * b.m / b.r)) FROM pv b WHERE b.r >= a.r) AS q FROM pv a)", F,
-        "hit AS (SELECT DISTINCT entity_id, rule_id FROM f)", "cl AS (SELECT entity_id, soc_provider AS provider FROM entity)",
-        "met AS (SELECT provider, rule_id, count(*) AS affected, (SELECT count(*) FROM hit h WHERE h.rule_id = hit.rule_id) AS s, (SELECT count(*) FROM cl c WHERE c.provider = cl.provider) AS clients, (SELECT count(*) FROM entity) AS pop FROM hit JOIN cl USING (entity_id) WHERE provider <> 'internal' GROUP BY 1, 2)",
-        "lf AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS v FROM range(0, 1000) x(i))",
-        "pr AS (SELECT provider, rule_id, affected, clients, least(1, sum(exp(a.v - b.v - c.v + d.v - e.v - g.v - h.v + j.v + l.v))) AS p FROM met, range(0, 1000) x(k), lf a, lf b, lf c, lf d, lf e, lf g, lf h, lf j, lf l WHERE k >= affected AND k <= least(clients, s) AND clients - k <= pop - s AND a.i = s AND b.i = k AND c.i = s - k AND d.i = pop - s AND e.i = clients - k AND g.i = pop - s - clients + k AND h.i = pop AND j.i = clients AND l.i = pop - clients GROUP BY 1, 2, 3, 4)",
-        "pv AS (SELECT *, row_number() OVER (ORDER BY p) AS r, count(*) OVER () AS m FROM pr)"),
+    "systemic_correlation": systemic("coalesce(soc_provider, 'internal')", 3),
+    "systemic_correlation_models": systemic("CASE soc_model WHEN 'inhouse' THEN 'internal' ELSE soc_model END", 2),
 }

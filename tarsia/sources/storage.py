@@ -1,7 +1,8 @@
 """Frames that are written once a session to the folder that driver and executors share, and read from there.
 
-The canonical tables and the findings over them are asked for again and again; what is derived once stays valid as long as
-the given tables stay as they are. After a change of these, ``forget`` drops what was kept.
+The canonical tables and the findings over them are asked for again and again. What is derived is kept under the state of
+the given tables (``state``: path, length and time of change of their files), so after a change of these it is derived anew.
+Frames are written when a query is built.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from functools import reduce
 from threading import Lock, RLock
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 AT_A_TIME = 8  # jobs
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
-_LOCKS: dict[tuple[str, str, str], RLock] = {}
+Key = tuple[str, str, str]
+_KEPT: dict[Key, tuple[str, DataFrame]] = {}
+_LOCKS: dict[Key, RLock] = {}
 _OWN: dict[str, str | None] = {}  # folders of our own, by application
 _GUARD = Lock()
 
@@ -33,45 +36,59 @@ def shared_dir(spark: SparkSession) -> str | None:
     return there
 
 
-def kept(spark: SparkSession, folder: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
-    """The frame of that name over a data folder, written at its first use. Without a shared folder it stays a view."""
+def state(spark: SparkSession, folder: str, tables: tuple[str, ...]) -> tuple[str, int]:
+    """A hash over the files of some tables (path, length, time of change), and their bytes. Only the listing is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{folder}/{{{','.join(tables)}}}.parquet")
+    row = files.select("path", "length", "modificationTime").agg(F.count("*"), F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return f"{row[0]}-{row[1]}", row[2]
+
+
+def once(spark: SparkSession, folder: str, version: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The frame of that name over a data folder in that state, made at its first use; older ones are dropped."""
     key = (spark.sparkContext.applicationId, folder, name)
     with _GUARD:
         lock = _LOCKS.setdefault(key, RLock())
     with lock:
-        if key not in _KEPT:
-            frame, there = make(), shared_dir(spark)
-            if there:
-                path = f"{there.rstrip('/')}/tarsia-{name}-{uuid.uuid4().hex}"
-                # Round robin, so that a table that comes from one file is read by all tasks.
-                frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).write.parquet(path)
-                frame = spark.read.schema(frame.schema).parquet(path)
-            _KEPT[key] = frame
-        return _KEPT[key]
-
-
-def kept_parts(spark: SparkSession, folder: str, name: str, makes: list[Callable[[], DataFrame]]) -> DataFrame:
+        if key not in _KEPT or _KEPT[key][0] != version:
+            _KEPT[key] = (version, make())
+        return _KEPT[key][1]
+
+
+def kept(spark: SparkSession, folder: str, version: str, name: str, make: Callable[[], DataFrame], spread: bool) -> DataFrame:
+    """Likewise, written. Without a shared folder it stays a view. spread: the given tables have too few splits for the
+    tasks there are, so rows are dealt out to all of them."""
+
+    def write() -> DataFrame:
+        frame, there = make(), shared_dir(spark)
+        if not there:
+            return frame
+        path = f"{there.rstrip('/')}/tarsia-{name}-{uuid.uuid4().hex}"
+        (frame.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if spread else frame).write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
+    return once(spark, folder, version, name, write)
+
+
+def kept_parts(spark: SparkSession, folder: str, version: str, name: str, makes: list[Callable[[], DataFrame]]) -> DataFrame:
     """The union of small frames of one schema, kept likewise. Each is a job of its own, several run at a time: their
     stages are short and leave most of a cluster idle one after the other."""
-    there = shared_dir(spark)
-    if not there:
-        return reduce(DataFrame.unionByName, [make() for make in makes])
-    key = (spark.sparkContext.applicationId, folder, name)
-    with _GUARD:
-        lock = _LOCKS.setdefault(key, RLock())
-    with lock:
-        if key not in _KEPT:
-            path = f"{there.rstrip('/')}/tarsia-{name}-{uuid.uuid4().hex}"
-
-            def write(k: int) -> StructType:
-                frame = makes[k]()
-                frame.coalesce(1).write.parquet(f"{path}/part={k}")
-                return frame.schema
-
-            with ThreadPoolExecutor(AT_A_TIME) as pool:
-                schemas = list(pool.map(write, range(len(makes))))
-            _KEPT[key] = spark.read.schema(schemas[0]).parquet(*[f"{path}/part={k}" for k in range(len(makes))])
-        return _KEPT[key]
+
+    def write_all() -> DataFrame:
+        there = shared_dir(spark)
+        if not there:
+            return reduce(DataFrame.unionByName, [make() for make in makes])
+        path = f"{there.rstrip('/')}/tarsia-{name}-{uuid.uuid4().hex}"
+
+        def write(k: int) -> StructType:
+            frame = makes[k]()
+            frame.write.parquet(f"{path}/part={k}")
+            return frame.schema
+
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            schemas = list(pool.map(write, range(len(makes))))
+        return spark.read.schema(schemas[0]).parquet(*[f"{path}/part={k}" for k in range(len(makes))])
+
+    return once(spark, folder, version, name, write_all)
 
 
 def forget(folder: str | None = None) -> None:
