@@ -19,6 +19,7 @@ def spark():
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no stack is looked up for each column
         .config("spark.driver.memory", "4g")
         .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-test-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-wh-"))

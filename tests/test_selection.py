@@ -98,5 +98,5 @@ def test_a_domain_that_nobody_could_look_at_is_left_out(spark, sf_dir, monkeypat
     assert score["E1", "Investigation"] == (50.0, "assessed") and score["E1", "Escalation"] == (None, "unknown") and score["E1", "Cyber Resilience"] == (0.0, "assessed")
     assert score["E3", "Investigation"] == (10.0, "partial") and score["E2", "Investigation"] == (None, "unknown")
     index = {r.entity_id: r for r in scoring.risk_index(t).collect()}
-    assert (index["E1"].base, index["E1"].risk_index, index["E1"].band) == (round(0.15 * 50 / 0.85, 4), 8.9, "high")
-    assert (index["E2"].base, index["E2"].band) == (0.0, "insufficient_evidence") and (index["E3"].base, index["E3"].band) == (10.0, "critical")
+    assert (index["E1"].base, index["E1"].risk_index, index["E1"].band) == (round(0.15 * 50 / 0.85, 4), 8.9, "moderate")
+    assert (index["E2"].base, index["E2"].band) == (0.0, "insufficient_evidence") and (index["E3"].base, index["E3"].band) == (10.0, "high")
