@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read
+from .common import cut, read, renamed, restored
 from .urlfilter import host_of
 
 # Names of elements and words in class or id attributes, from the HTML standard and common usage.
@@ -216,6 +216,7 @@ KIND, KEY, OPTIONAL, REPEATED, TEXT, CHARS, PAGES, SEEN, MAIN, OFF = range(10)
 OPEN, CLOSE, WORDS = range(3)
 SAMPLE, NEARLY = 32, 0.9  # of a text's distinct pages the smallest hashes are kept: the same sample for all texts
 FAIR, MOST = 0.3, 0.7  # of the varying text: what a named region holds at least, and an unnamed one
+RARE = 64  # of so many pages of a host one has a group whose name says nothing
 
 
 def stream(root: Element, page: list[int]) -> list[list]:
@@ -358,6 +359,35 @@ def aligned(a: list[list], b: list[list], repeat: bool = False) -> list[list]:
     return out
 
 
+def condensed(wrapper: list[list], longest: int) -> list[list]:
+    """The wrapper as it is, or, once it is over twice as long as the longest stream that went into it, with the groups that only
+    one page in ``RARE`` (or one alone) has made one group of any content for each level: names that each page makes up
+    itself tell nothing about the host, and a wrapper stays as large as its layout. Content of main elements is kept apart."""
+    if len(wrapper) <= 2 * longest + 512:
+        return wrapper
+    few, end = max(1, wrapper[0][PAGES] // RARE), group_ends(wrapper)
+    out: list[list] = []
+    rests: list[dict[str, int]] = []  # of open groups: characters by the key of what stands for left out groups
+    k = 0
+    while k < len(wrapper):
+        x = wrapper[k]
+        if x[KIND] == OPEN and rests and (x[OPTIONAL] or x[KEY][0] == "*") and x[PAGES] <= few:
+            key = x[KEY] if x[KEY][0] == "*" else "*main" if x[MAIN] else "*"
+            if not x[OFF]:
+                rests[-1][key] = rests[-1].get(key, 0) + sum(y[CHARS] for y in wrapper[k : end[k]] if y[KIND] == WORDS)
+            k = end[k]
+            continue
+        if x[KIND] == OPEN:
+            rests.append({})
+        elif x[KIND] == CLOSE:
+            for key, chars in sorted(rests.pop().items()):
+                main = key == "*main"
+                out += [[OPEN, key, True, True, None, 0, 1, [], main, False], [WORDS, "#text", True, True, VARIES, chars, 1, [], False, False], [CLOSE, key, True, True, None, 0, 1, [], False, False]]
+        out.append(x)
+        k += 1
+    return out
+
+
 def place_of(key: str, holder: int) -> int:
     """The hash of the path of keys to an element."""
     return zlib.crc32(key.encode("utf-8", "surrogatepass"), holder)
@@ -402,7 +432,7 @@ def region(wrapper: list[list]) -> dict:
     if best and best.varying >= FAIR * total:
         return {"path": best.path, "fixed": []}
     while best := max(node.within, key=lambda n: n.varying, default=None):
-        if not total or best.varying < MOST * total or best.repeated or best.key.split(".")[0] == "p":
+        if not total or best.varying < MOST * total or best.repeated or best.key[0] == "*" or best.key.split(".")[0] == "p":
             break
         node = best
     return {"path": node.path, "fixed": sorted(fixed)}
@@ -472,7 +502,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, held = TaskContext.get().partitionId(), {}
+        part, held, longest = TaskContext.get().partitionId(), {}, {}
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(list(held)), pa.array([part % 64] * len(held), pa.int32()), pa.array([json.dumps(w) for w in held.values()])], names=["host", "salt", "wrapper"])
@@ -481,17 +511,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
             for host, page in zip(b.column(0).to_pylist(), b.column(1)):
                 text = page.as_py() or ""
                 w = stream(parse(text), [zlib.crc32(text.encode("utf-8", "surrogatepass"))] if text else [])
-                held[host] = aligned(held[host], w) if host in held else w
+                longest[host] = max(longest.get(host, 0), len(w))
+                held[host] = condensed(aligned(held[host], w), longest[host]) if host in held else w
                 if len(held) >= 5000:
                     yield out()
-                    held = {}
+                    held, longest = {}, {}
         if held:
             yield out()
 
     def merge(table: pa.Table) -> pa.Table:
-        whole = None
-        for w in sorted(table.column("wrapper").to_pylist()):
-            whole = json.loads(w) if whole is None else aligned(whole, json.loads(w))
+        whole, longest = None, 0
+        for w in map(json.loads, sorted(table.column("wrapper").to_pylist())):
+            longest = max(longest, len(w))
+            whole = w if whole is None else condensed(aligned(whole, w), longest)
         return pa.table([table.column("host")[:1], pa.array([json.dumps(whole)])], names=["host", "wrapper"])
 
     def finish(table: pa.Table) -> pa.Table:
@@ -504,21 +536,23 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """Adds text and n_chars (its code points) to pages (url, html and any other columns).
+    """Adds text and n_chars (its code points) to pages (url, html and any other columns), of which html goes.
 
     A null or empty html has the text "". Pages whose url is null or has no host share one wrapper. Repeated
-    rows stay; clashing columns text, n_chars, host and region are replaced."""
-    columns = [c for c in pages.columns if c not in ("text", "n_chars", "host", "region")]
-    hosted = pages.select(*columns, host_of(F.col("url")).alias("host"))
-    found = cut(wrappers(hosted))
+    rows stay; columns of pages that have the names of added ones, in any case, are replaced."""
+    frame, own = renamed(pages, ["text", "n_chars"])
+    html = own["html"]
+    hosted = frame.withColumn("host", host_of(F.col(own["url"])))
+    found = cut(wrappers(hosted.select("host", F.col(html).alias("html"))))
     if found.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
         joined = hosted.join(F.broadcast(found), "host", "left")
     else:  # a host may hold a third of the pages: its pages are dealt over salts
         salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(31))))
-        joined = hosted.withColumn("salt", F.pmod(F.hash("html"), F.lit(32))).join(salted, ["host", "salt"], "left")
-    joined = joined.select(*columns, "region")
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields if f.name not in ("region", "html"))
-    kept = [c for c in columns if c != "html"]
+        joined = hosted.withColumn("salt", F.pmod(F.hash(html), F.lit(32))).join(salted, ["host", "salt"], "left")
+    joined = joined.select(*own.values(), "region")
+    kept = {c: n for c, n in own.items() if n != html}
+    names = list(kept.values())
+    kind = "".join(f"`{n}` {joined.schema[n].dataType.simpleString()}, " for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str | None, dict | None] = {}
@@ -526,14 +560,14 @@ def extract(pages: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 texts = []
-                for page, r in zip(b.column("html"), b.column("region").to_pylist()):
+                for page, r in zip(b.column(html), b.column("region").to_pylist()):
                     if r not in known:
                         known = {} if len(known) > 10_000 else known
                         known[r] = json.loads(r) if r else None
                     texts.append(main_text(page.as_py(), known[r]))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*kept, "text", "n_chars"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=[*names, "text", "n_chars"])
 
-    return joined.mapInArrow(run, f"{kind}, text string, n_chars long")
+    return joined.mapInArrow(run, f"{kind}text string, n_chars long").select(*restored(kept), "text", "n_chars")
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read, small, written
+from .common import read, renamed, restored, small, written
 
 SHINGLE, PERCENT, FAMILIES = 5, 80, 6
 BAND = 1.6  # ratio of the ends of a size band
@@ -379,13 +379,13 @@ def grouped(rows: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame
     return rows.join(of_class, "fp", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def with_fp(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """Adds _fp, the hash of the shingle set (null for an empty one), to docs."""
+def with_fp(docs: DataFrame, text: str, size: int = SHINGLE) -> DataFrame:
+    """Adds _fp, the hash of the shingle set (null for an empty one) of the column text, to docs."""
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = (shingle_set(t.as_py(), size) for t in b.column("text"))
+            sets = (shingle_set(t.as_py(), size) for t in b.column(text))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([set_hash(s) if s.size else None for s in sets], pa.int64())], names=[*b.schema.names, "_fp"])
 
     return docs.mapInArrow(run, f"{kind}, _fp long")
@@ -402,11 +402,13 @@ def deduplicated(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
     best = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("_id"), F.col("fp").alias("_set")))
     keep = small(written(with_component(classes, labels).groupBy("comp").agg(best.alias("k")).select("k._id", "k._set")), BROADCAST_ROWS)
-    marked = with_fp(docs, size)
-    full = marked.join(keep, (marked["_fp"] == keep["_set"]) & marked["doc_id"].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["_fp"])
+    frame, own = renamed(docs, [])
+    doc_id, text = own["doc_id"], own["text"]
+    marked = with_fp(frame, text, size)
+    full = marked.join(keep, (marked["_fp"] == keep["_set"]) & marked[doc_id].eqNullSafe(keep["_id"]), "left_semi").dropDuplicates(["_fp"])
     empty = marked.filter("_fp is null")
-    parts = [full, empty.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]), empty.filter("doc_id is null")]
-    return reduce(DataFrame.unionByName, parts).select(*docs.columns)
+    parts = [full, empty.filter(F.col(doc_id).isNotNull()).dropDuplicates([doc_id, text]), empty.filter(F.col(doc_id).isNull())]
+    return reduce(DataFrame.unionByName, parts).select(*restored(own))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

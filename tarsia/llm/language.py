@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, renamed, restored
 
 BITS = 12  # of hashed features
 SAMPLE, LEAST = 2000, 20  # labelled rows to fit on, shared by the languages in equal parts; of one language at least
@@ -158,22 +158,27 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Adds lang_pred and score to docs (of them, text is read). A null text and one without a letter is
     ``und`` with score 0, as is every text if the model knows no language. Repeated rows stay."""
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    frame = docs.select(*columns)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    frame, own = renamed(docs, ["lang_pred", "score"])
+    return predicted(frame, own["text"], model).select(*restored(own), "lang_pred", "score")
+
+
+def predicted(frame: DataFrame, text: str, model: Model) -> DataFrame:
+    """frame, none of whose columns has one of these names, with lang_pred and score of the column text."""
+    shared = frame.sparkSession.sparkContext.broadcast(model)
+    names = frame.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                texts = b.column("text").to_pylist()
+                texts = b.column(text).to_pylist()
                 rows = [k for k, t in enumerate(texts) if has_letter(t)]
                 lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 if rows:
                     for k, name, p in zip(rows, *model.predict(np.stack([features(texts[k]) for k in rows]))):
                         lang[k], score[k] = name, float(p)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], names=[*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang), pa.array(score)], names=[*names, "lang_pred", "score"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
     return frame.mapInArrow(run, f"{kind}, lang_pred string, score double")
@@ -181,7 +186,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of docs that have a language: those identified as ``und`` go."""
-    return identify(docs, fit(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    frame, own = renamed(docs, [])
+    return predicted(frame, own["text"], fit(docs)).filter(F.col("lang_pred") != UNKNOWN).select(*restored(own))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, renamed, restored
 
 FRAME, SIDE, TIMESCALE, CHUNK = 64, 8, 25, 1024  # bytes and pixels of a frame, frames a second, frames of a chunk
 CODEC = b"raw "
@@ -100,23 +100,25 @@ class Track:
 def tracks(data: memoryview) -> list[Track]:
     found: list[Track] = []
 
-    def into(start: int, end: int) -> None:
-        for kind, a, b in walk(data, start, end):
-            if kind == b"trak":
-                found.append(Track())
-            if kind in CONTAINERS:
-                into(a, b)
-            elif found and kind == b"mdhd":
-                at, fmt = (a + 20, ">IQ") if data[a] == 1 else (a + 12, ">II")
-                found[-1].timescale, found[-1].duration = struct.unpack_from(fmt, data, at)
-            elif found and kind == b"hdlr":
-                found[-1].handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
-            elif found and kind == b"stsd" and b - a >= 16:
-                found[-1].codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
-            elif found and kind[:3] in (b"stt", b"sts", b"stz", b"stc", b"co6"):
-                found[-1].tables[kind] = (a, b)
-
-    into(0, len(data))
+    open_ = [walk(data, 0, len(data))]  # boxes that are being walked, outermost first: nesting may be of any depth
+    while open_:
+        kind, a, b = next(open_[-1], (b"", 0, 0))
+        if not kind:
+            open_.pop()
+            continue
+        if kind == b"trak":
+            found.append(Track())
+        if kind in CONTAINERS:
+            open_.append(walk(data, a, b))
+        elif found and kind == b"mdhd":
+            at, fmt = (a + 20, ">IQ") if data[a] == 1 else (a + 12, ">II")
+            found[-1].timescale, found[-1].duration = struct.unpack_from(fmt, data, at)
+        elif found and kind == b"hdlr":
+            found[-1].handler = bytes(data[a + 8 : a + 12]).decode("latin-1")
+        elif found and kind == b"stsd" and b - a >= 16:
+            found[-1].codec = bytes(data[a + 12 : a + 16]).decode("latin-1")
+        elif found and kind[:3] in (b"stt", b"sts", b"stz", b"stc", b"co6"):
+            found[-1].tables[kind] = (a, b)
     return found
 
 
@@ -130,6 +132,8 @@ def samples(data: memoryview, track: Track) -> tuple[np.ndarray, np.ndarray, np.
     count = lambda kind, skip=4: struct.unpack_from(">I", data, t[kind][0] + skip)[0]
     if b"stsz" in t:
         same, n = struct.unpack_from(">II", data, t[b"stsz"][0] + 4)
+        if same * n > len(data):
+            raise ValueError(f"{n} samples of {same} bytes in {len(data)}")
         size = np.full(n, same, "i8") if same else numbers(data, t[b"stsz"][0] + 12, n, ">u4")
     elif b"stz2" in t:
         bits, n = data[t[b"stz2"][0] + 7], count(b"stz2", 8)
@@ -187,32 +191,34 @@ def describe(data: bytes | None) -> tuple:
 def with_media(docs: DataFrame) -> DataFrame:
     """Adds media, the container of the text's UTF-8 bytes (null as empty), and n_bytes, their number. Other
     columns stay; equal texts give equal media."""
-    columns = [c for c in docs.columns if c not in ("media", "n_bytes")]
-    frame = docs.select(*columns)
+    frame, own = renamed(docs, ["media", "n_bytes"])
+    text, names = own["text"], list(own.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                raw = [(t.as_py() or "").encode() for t in b.column("text")]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([store(padded(r)) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=[*columns, "media", "n_bytes"])
+                raw = [(t.as_py() or "").encode() for t in b.column(text)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([store(padded(r)) for r in raw], pa.binary()), pa.array([len(r) for r in raw], pa.int64())], names=[*names, "media", "n_bytes"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields)
-    return frame.mapInArrow(run, f"{kind}, media binary, n_bytes long")
+    return frame.mapInArrow(run, f"{kind}, media binary, n_bytes long").select(*restored(own), "media", "n_bytes")
 
 
 def probe(frame: DataFrame, column: str = "media") -> DataFrame:
     """Replaces a binary column by codec, duration, n_samples, keyframes and error."""
-    columns = [c for c in frame.columns if c != column and c not in dict(PROBE)]
+    media, own = renamed(frame, [n for n, _ in PROBE if n != column])
+    names = [n for c, n in own.items() if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [describe(m.as_py()) for m in b.column(column)]
+            rows = [describe(m.as_py()) for m in b.column(own[column])]
             more = [pa.array([r[k] if n != "keyframes" or r[k] is None else [{"start": s, "length": x} for s, x in r[k]] for r in rows], t) for k, (n, t) in enumerate(PROBE)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), *more], names=[*columns, *dict(PROBE)])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *more], names=[*names, *dict(PROBE)])
 
-    kind = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in columns)
-    return frame.select(*columns, column).mapInArrow(run, f"{kind}{', ' if kind else ''}{PROBE_DDL}")
+    kind = "".join(f"`{n}` {media.schema[n].dataType.simpleString()}, " for n in names)
+    out = media.select(*names, own[column]).mapInArrow(run, f"{kind}{PROBE_DDL}")
+    return out.select(*restored({c: n for c, n in own.items() if c != column}), *dict(PROBE))
 
 
 DIGEST = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
