@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsia.operators import assessment, catalog, evaluation, ingest, mapping, metrics, peers, publishing, reading, records, rules, scoring, selection, statistics
-from tarsia.plans import assessment_oracles, catalog_oracles, evaluation_oracles, ingest_oracles, more_oracles, oracles, publishing_oracles, reading_oracles, selection_oracles, statistics_oracles
+from tarsia.operators import assessment, catalog, evaluation, ingest, mapping, metrics, peers, publishing, quality, reading, records, rules, scoring, selection, statistics
+from tarsia.plans import assessment_oracles, catalog_oracles, evaluation_oracles, ingest_oracles, more_oracles, oracles, publishing_oracles, quality_oracles, reading_oracles, selection_oracles, statistics_oracles
 from tarsia.sources.projection import Tables
 
 NAMES = {
@@ -74,7 +74,7 @@ TABLE_QUERIES = {
     "anomaly_scan": catalog.anomaly_scan,
     "seeded_entity_split": catalog.seeded_split,
 }
-MODULES = (statistics, assessment, evaluation, ingest, mapping, publishing, selection, reading)
+MODULES = (statistics, assessment, evaluation, ingest, mapping, publishing, selection, reading, quality)
 for module in MODULES:
     TABLE_QUERIES |= module.QUERIES
 QUERIES |= {name: on_tables(f) for name, f in TABLE_QUERIES.items()}
@@ -95,3 +95,4 @@ ORACLES |= ingest_oracles.ORACLES
 ORACLES |= publishing_oracles.ORACLES
 ORACLES |= selection_oracles.ORACLES
 ORACLES |= reading_oracles.ORACLES
+ORACLES |= quality_oracles.ORACLES
