@@ -62,8 +62,8 @@ def human_closed(t: Tables) -> DataFrame:
     return t.alert.filter("closed_by_type = 'human' and closed_at is not null")
 
 
-def eg01(t: Tables) -> DataFrame:
-    """Human-closed high and critical alerts closed faster than the 5th percentile of the pooled peers, with at
+def fast_rows(t: Tables) -> DataFrame:
+    """Human-closed high and critical alerts, fast: closed faster than the 5th percentile of the pooled peers, with at
     most one workflow event. Peers' durations are pooled as a histogram, so the pool stays small."""
     closed = human_closed(t).filter(F.col("severity_final").isin(*HIGH) & (F.col("closed_at") >= F.col("created_at")))
     closed = closed.select("entity_id", "alert_id", seconds_between(F.col("closed_at"), F.col("created_at")).alias("sec"))
@@ -73,17 +73,27 @@ def eg01(t: Tables) -> DataFrame:
     events = t.workflow_event.filter("ref_type = 'alert'").groupBy("entity_id", F.col("ref_id").alias("alert_id")).agg(F.count("*").alias("n_events"))
     rows = closed.join(events, ["entity_id", "alert_id"], "left").join(F.broadcast(p5), "entity_id", "left")
     fast = (F.col("sec") < F.coalesce(F.nullif("p5", F.lit(0.0)), F.lit(900.0))) & (F.coalesce("n_events", F.lit(0)) <= 1)
-    rows = rows.withColumn("fast", fast)
+    return rows.withColumn("fast", fast)
+
+
+def eg01(t: Tables) -> DataFrame:
+    """Too many of them closed fast."""
+    rows = fast_rows(t)
     stats = rows.groupBy("entity_id").agg(F.count_if("fast").alias("hits"), F.count("*").alias("population")).withColumn("distance", share(F.col("hits"), F.col("population")) / 0.15)
     return finding("EG01", stats.filter("hits >= 5 and hits / population > 0.15"), over(70, "high", "medium"), first_ids(rows.filter("fast"), "alert_id", 10))
 
 
-def eg02(t: Tables) -> DataFrame:
-    """Closed by people without an investigation step and with a short comment."""
+def unlooked_rows(t: Tables) -> DataFrame:
+    """Alerts closed by people, bad: without an investigation step and with a short comment."""
     looked = t.workflow_event.filter("ref_type = 'alert' and action = 'investigate'").select("entity_id", F.col("ref_id").alias("alert_id")).distinct().withColumn("looked", F.lit(True))
     comments = t.closure.select("entity_id", F.col("ref_id").alias("alert_id"), "comment_len").distinct()
     key = ["entity_id", "alert_id"]
-    rows = human_closed(t).select(*key).join(looked, key, "left").join(comments, key, "left").withColumn("bad", F.col("looked").isNull() & (F.coalesce("comment_len", F.lit(0)) < 25))
+    return human_closed(t).select(*key).join(looked, key, "left").join(comments, key, "left").withColumn("bad", F.col("looked").isNull() & (F.coalesce("comment_len", F.lit(0)) < 25))
+
+
+def eg02(t: Tables) -> DataFrame:
+    """Too many of them."""
+    rows = unlooked_rows(t)
     stats = rows.groupBy("entity_id").agg(F.count_if("bad").alias("hits"), F.count("*").alias("population")).withColumn("distance", share(F.col("hits"), F.col("population")) / 0.15)
     return finding("EG02", stats.filter("hits >= 5 and hits / population > 0.15"), over(70, "high", "medium"), first_ids(rows.filter("bad"), "alert_id", 10))
 
@@ -102,23 +112,31 @@ def eg03(t: Tables) -> DataFrame:
     return counted("EG03", base, base.join(done, ["entity_id", "alert_id"], "left_anti"), "alert_id", 2.0, 1, "critical", None)
 
 
-def eg04(t: Tables) -> DataFrame:
-    """Alerts closed with one of the comments that are used ten times or more."""
+def comment_groups(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Alerts closed by people, and the comments they were closed with: n and the first alert of each."""
     closed = human_closed(t).select("entity_id", "alert_id")
     notes = t.closure.select("entity_id", F.col("ref_id").alias("alert_id"), F.col("comment_norm_hash").alias("note")).filter("note is not null")
-    groups = closed.join(notes, ["entity_id", "alert_id"]).groupBy("entity_id", "note").agg(F.count("*").alias("n"), F.min("alert_id").alias("alert_id")).filter("n >= 10")
+    groups = closed.join(notes, ["entity_id", "alert_id"]).groupBy("entity_id", "note").agg(F.count("*").alias("n"), F.min("alert_id").alias("alert_id"))
+    return closed, groups
+
+
+def eg04(t: Tables) -> DataFrame:
+    """Alerts closed with one of the comments that are used ten times or more."""
+    closed, groups = comment_groups(t)
+    groups = groups.filter("n >= 10")
     stats = closed.groupBy("entity_id").agg(F.count("*").alias("population")).join(groups.groupBy("entity_id").agg(F.sum("n").alias("hits")), "entity_id")
     stats = stats.withColumn("distance", share(F.col("hits"), F.col("population")) / 0.25).filter("hits / population > 0.25")
     return finding("EG04", stats, lambda s: F.when(s < 70, "medium").otherwise("high"), first_ids(groups, "alert_id", 10, [F.desc("n")]))
 
 
-def chance_floor(n: Column, pairs: Column, most: float = 0.5, cap: int = 16) -> Column:
+def chance_floor(n: Column, pairs: Column, most: float | Column = 0.5, limit: int | Column = 16) -> Column:
     """The least count that chance alone rarely reaches, for n alerts spread over so many pairs: the smallest
-    k < cap with pairs * P(Poisson(n / pairs) >= k) below most, else cap."""
+    k < limit with pairs * P(Poisson(n / pairs) >= k) below most, else limit."""
+    cap = F.lit(limit) if isinstance(limit, int) else limit
     mean = n / pairs.cast("double")
     step = F.aggregate(
-        F.sequence(F.lit(1), F.lit(cap - 1)),
-        F.struct(F.exp(-mean).alias("p"), F.lit(1.0).alias("tail"), F.lit(cap).alias("k")),
+        F.sequence(F.lit(1), cap - 1),
+        F.struct(F.exp(-mean).alias("p"), F.lit(1.0).alias("tail"), cap.alias("k")),
         lambda s, k: F.struct(
             (s["p"] * mean / k).alias("p"),
             (s["tail"] - s["p"]).alias("tail"),
@@ -128,15 +146,20 @@ def chance_floor(n: Column, pairs: Column, most: float = 0.5, cap: int = 16) ->
     return F.when((n <= 0) | (pairs <= 0), 1).otherwise(step["k"])
 
 
-def eg05(t: Tables) -> DataFrame:
-    """Asset and rule pairs that fire again and again, never for a true reason and without remediation."""
+def repeated_pairs(t: Tables) -> DataFrame:
+    """Asset and rule pairs that never fire for a true reason and have no remediation: n, with the entity's alerts and the space of
+    its pairs."""
     key = ["entity_id", "asset_id", "rule_id"]
     a = t.alert.filter("asset_id is not null and rule_id is not null")
     pairs = a.groupBy(*key).agg(F.count("*").alias("n"), F.count_if(~F.coalesce(F.col("disposition").isin("false_positive", "benign"), F.lit(False))).alias("other"))
     size = a.groupBy("entity_id").agg(F.count("*").alias("alerts"), (F.countDistinct("asset_id") * F.countDistinct("rule_id")).alias("space"))
     fixed = t.remediation.select("entity_id", F.col("linked_asset_id").alias("asset_id"), F.col("linked_rule_id").alias("rule_id"))
-    hits = pairs.filter("other = 0").join(fixed, key, "left_anti").join(F.broadcast(size), "entity_id")
-    hits = hits.filter(F.col("n") >= F.greatest(F.lit(8), chance_floor(F.col("alerts"), F.col("space")))).withColumn("id", F.concat_ws("::", "asset_id", "rule_id"))
+    return pairs.filter("other = 0").join(fixed, key, "left_anti").join(F.broadcast(size), "entity_id")
+
+
+def eg05(t: Tables) -> DataFrame:
+    """Such pairs that fire again and again."""
+    hits = repeated_pairs(t).filter(F.col("n") >= F.greatest(F.lit(8), chance_floor(F.col("alerts"), F.col("space")))).withColumn("id", F.concat_ws("::", "asset_id", "rule_id"))
     stats = hits.groupBy("entity_id").agg(F.count("*").alias("hits"), F.sum("n").alias("population")).filter("hits >= 2").withColumn("distance", F.col("hits") / 2.0)
     return finding("EG05", stats, "medium", first_ids(hits, "id", 5, [F.desc("n")]))
 
@@ -185,15 +208,24 @@ def eg09(t: Tables) -> DataFrame:
     return counted("EG09", t.soc_case, old, "case_id", 3.0, 3, "medium", 5, [F.col("opened_at")])
 
 
-def eg10(t: Tables) -> DataFrame:
-    """Measured times to resolve are longer than declared ones."""
+def kpi_rows(t: Tables) -> DataFrame:
+    """Measured times to resolve beside declared ones."""
     closed = t.alert.filter(F.col("severity_final").isin(*HIGH) & F.col("closed_at").isNotNull() & (F.col("closed_at") >= F.col("created_at")))
     own = closed.groupBy("entity_id", F.col("severity_final").alias("severity")).agg(F.count("*").alias("n"), F.sum(micros(F.col("closed_at")) - micros(F.col("created_at"))).alias("us"))
     declared = t.declared_kpi.filter("metric = 'MTTR'").select("entity_id", "period", "severity", "value")
-    both = own.join(F.broadcast(declared), ["entity_id", "severity"]).withColumn("id", F.concat_ws(":", F.lit("MTTR"), "severity", "period"))
-    stats = both.groupBy("entity_id").agg(F.sum("n").alias("population"), (F.sum("us") / 60e6 / F.sum("n")).alias("found"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("said"), F.count("*").alias("hits"))
-    stats = stats.withColumn("gap", (F.col("found") - F.col("said")) / F.greatest("said", F.lit(1.0))).filter("gap > 0.6 and found <> 0 and said <> 0").withColumn("distance", F.col("gap") / 0.5)
-    return finding("EG10", stats, "critical", first_ids(both, "id", 10))
+    return own.join(F.broadcast(declared), ["entity_id", "severity"]).withColumn("id", F.concat_ws(":", F.lit("MTTR"), "severity", "period"))
+
+
+def kpi_gaps(t: Tables) -> DataFrame:
+    """By how much measured times exceed declared ones, each by the number of alerts."""
+    stats = kpi_rows(t).groupBy("entity_id").agg(F.sum("n").alias("population"), (F.sum("us") / 60e6 / F.sum("n")).alias("found"), (F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("said"), F.count("*").alias("hits"))
+    return stats.withColumn("gap", (F.col("found") - F.col("said")) / F.greatest("said", F.lit(1.0)))
+
+
+def eg10(t: Tables) -> DataFrame:
+    """Measured times to resolve are longer than declared ones."""
+    stats = kpi_gaps(t).filter("gap > 0.6 and found <> 0 and said <> 0").withColumn("distance", F.col("gap") / 0.5)
+    return finding("EG10", stats, "critical", first_ids(kpi_rows(t), "id", 10))
 
 
 def eg11(t: Tables) -> DataFrame:
@@ -213,24 +245,36 @@ def eg12(t: Tables) -> DataFrame:
     return counted("EG12", base, base.join(done, ["entity_id", "case_id"], "left_anti"), "case_id", 2.0, 2, "high", None)
 
 
-def ns01(t: Tables) -> DataFrame:
-    """Monitored critical assets without telemetry for three days or more while in service."""
-    assets = t.asset.filter("monitored_flag and criticality >= 3")
+def silent_days(t: Tables) -> DataFrame:
+    """entity_id, asset_id, criticality, days: monitored assets and their days without telemetry while in service."""
+    assets = t.asset.filter("monitored_flag")
     days = t.log_source_daily.groupBy("entity_id", "asset_id", "date").agg(F.sum("event_count").alias("n")).filter("n = 0")
     silent = days.join(assets, ["entity_id", "asset_id"]).filter("(in_service_from is null or date >= in_service_from) and (in_service_to is null or date <= in_service_to)")
-    silent = silent.groupBy("entity_id", "asset_id").agg(F.count("*").alias("days")).filter("days >= 3")
+    return silent.groupBy("entity_id", "asset_id", "criticality").agg(F.count("*").alias("days"))
+
+
+def ns01(t: Tables) -> DataFrame:
+    """Monitored critical assets without telemetry for three days or more while in service."""
+    silent = silent_days(t).filter("criticality >= 3 and days >= 3")
     stats = silent.groupBy("entity_id").agg(F.count("*").alias("hits"), F.count("*").alias("population"), (F.max("days") / 3.0).alias("distance"))
     return finding("NS01", stats, "critical", first_ids(silent, "asset_id", None))
 
 
-def ns02(t: Tables) -> DataFrame:
-    """Alert categories that three peers in five report and the entity doesn't."""
+def peer_categories(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """entity_id, category, n and peers: how many of the entity's reporting peers report a category; and what each entity reports."""
     have = t.alert.filter("category is not null").select("entity_id", "category").distinct()
     totals = t.alert.groupBy("entity_id").agg(F.count("*").alias("population"))
     peers = bridge(t).join(totals.select(F.col("entity_id").alias("peer_id")), "peer_id", "left_semi").join(totals.select("entity_id"), "entity_id", "left_semi")
     size = peers.groupBy("entity_id").agg(F.count("*").alias("peers"))
     common = peers.join(have.withColumnRenamed("entity_id", "peer_id"), "peer_id").groupBy("entity_id", "category").agg(F.count("*").alias("n"))
-    missing = common.join(size, "entity_id").filter(F.col("n") >= F.greatest(F.lit(1), F.ceil(0.6 * F.col("peers") - 1e-9))).join(have, ["entity_id", "category"], "left_anti")
+    return common.join(size, "entity_id"), have
+
+
+def ns02(t: Tables) -> DataFrame:
+    """Alert categories that three peers in five report and the entity doesn't."""
+    common, have = peer_categories(t)
+    totals = t.alert.groupBy("entity_id").agg(F.count("*").alias("population"))
+    missing = common.filter(F.col("n") >= F.greatest(F.lit(1), F.ceil(0.6 * F.col("peers") - 1e-9))).join(have, ["entity_id", "category"], "left_anti")
     stats = totals.join(missing.groupBy("entity_id").agg(F.count("*").alias("hits")), "entity_id").withColumn("distance", F.col("hits") / 1.5)
     return finding("NS02", stats, "high", first_ids(missing, "category", None))
 
@@ -287,13 +331,17 @@ def ns05(t: Tables) -> DataFrame:
     return finding("NS05", stats, "medium", first_ids(dormant, "rule_id", 10))
 
 
-def ns06(t: Tables) -> DataFrame:
-    """Assets in service that neither alert nor send telemetry."""
+def ghosts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Assets in service, and those of them that neither alert nor send telemetry."""
     span = t.log_source_daily.groupBy(scope().alias("scope")).agg(F.min("date").alias("since"), F.max("date").alias("until"))
     base = t.asset.withColumn("scope", scope()).join(F.broadcast(span), "scope").filter("(in_service_from is null or in_service_from <= until) and (in_service_to is null or in_service_to >= since)")
     heard = t.log_source_daily.filter("event_count > 0").select("entity_id", "asset_id").distinct()
-    ghosts = base.join(heard, ["entity_id", "asset_id"], "left_anti").join(t.alert.select("entity_id", "asset_id").distinct(), ["entity_id", "asset_id"], "left_anti")
-    return counted("NS06", base, ghosts, "asset_id", 2.0, 2, "high", None)
+    return base, base.join(heard, ["entity_id", "asset_id"], "left_anti").join(t.alert.select("entity_id", "asset_id").distinct(), ["entity_id", "asset_id"], "left_anti")
+
+
+def ns06(t: Tables) -> DataFrame:
+    """Assets in service that neither alert nor send telemetry."""
+    return counted("NS06", *ghosts(t), "asset_id", 2.0, 2, "high", None)
 
 
 def ns07(t: Tables) -> DataFrame:
@@ -315,6 +363,17 @@ def ns08(t: Tables) -> DataFrame:
     return finding("NS08", stats, "high", first_ids(missing, "month", None))
 
 
+def hits(t: Tables) -> dict[str, DataFrame]:
+    """The records that rules count: entity_id and more, for the rules that fire at a number of them."""
+    key = ["entity_id", "alert_id"]
+    serious = t.alert.filter(F.col("severity_final").isin(*HIGH) & (F.col("disposition") == "true_positive"))
+    contained = t.workflow_event.filter("ref_type = 'case' and action = 'contain'").select("entity_id", F.col("ref_id").alias("case_id"))
+    return {
+        "EG08": t.escalation.filter("acknowledged_at is null"), "EG12": t.soc_case.filter("severity = 'critical'").join(contained, ["entity_id", "case_id"], "left_anti"),
+        "NS04": serious.join(t.case_alert_link, key, "left_anti"), "NS05": t.detection_rule.filter("enabled").join(t.alert.select("entity_id", "rule_id").distinct(), ["entity_id", "rule_id"], "left_anti"), "NS06": ghosts(t)[1],
+    }
+
+
 RULES = {f.__name__.upper(): f for f in (eg01, eg02, eg03, eg04, eg05, eg06, eg07, eg08, eg09, eg10, eg11, eg12, ns01, ns02, ns03, ns04, ns05, ns06, ns07, ns08)}
 
 
