@@ -334,7 +334,7 @@ def ns05(t: Tables) -> DataFrame:
 def ghosts(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Assets in service, and those of them that neither alert nor send telemetry."""
     span = t.log_source_daily.groupBy(scope().alias("scope")).agg(F.min("date").alias("since"), F.max("date").alias("until"))
-    base = t.asset.withColumn("scope", scope()).join(F.broadcast(span), "scope").filter("(in_service_from is null or in_service_from <= until) and (in_service_to is null or in_service_to >= since)")
+    base = t.asset.withColumn("scope", scope()).join(F.broadcast(span), "scope", "left").filter("(in_service_from is null or in_service_from <= until) and (in_service_to is null or in_service_to >= since)")
     heard = t.log_source_daily.filter("event_count > 0").select("entity_id", "asset_id").distinct()
     return base, base.join(heard, ["entity_id", "asset_id"], "left_anti").join(t.alert.select("entity_id", "asset_id").distinct(), ["entity_id", "asset_id"], "left_anti")
 
