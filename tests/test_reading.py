@@ -71,6 +71,20 @@ def test_json_shapes(spark, tmp_path, text, ids, bad):
     assert sorted(r.id for r in rows if not r.lost) == ids and sum(r.bad is not None for r in rows) == bad
 
 
+def test_json_values_one_after_another(spark, tmp_path):
+    """Objects over many lines, several a file, with cut ones between them; and more files than the driver should hear of."""
+    (tmp_path / "many").mkdir()
+    (tmp_path / "x.json").write_text('{\n "id": 1,\n "tags": [{"a": 1},\n {"a": 2}]\n}\n{\n "id": 2\n}\n\n {"id": 3}\n{\n "id": 4,\n{"id": 5}\n')
+    (tmp_path / "y.json").write_text('[\n{"id": 6}\n,\n{"id": 7}\n]\n[{"id": 8}]\nnote\n')
+    for k in range(40):
+        (tmp_path / "many" / f"{k}.json").write_text(f'{{\n "id": {100 + k}\n}}')
+    df = reading.json_records(spark, str(tmp_path))
+    rows = df.select("bad", reading.value_at("record", "id").cast("long").alias("id")).collect()
+    assert sorted(r.id for r in rows if r.bad is None) == [1, 2, 3, 5, 6, 7, 8] + list(range(100, 140))
+    assert sorted(r.bad.strip() for r in rows if r.bad is not None) == ['"id": 4,', "note", "{"]
+    assert ".json" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_paths(spark):
     rows = spark.sql("""SELECT parse_json('{"a": {"b": 1}, "a.b": null, "c": " ", "d": {"e": "x"}, "x.y": "dot", "x": {"y": "deep"}}') AS v""")
     one = rows.select(reading.value_at("v", "a.b").alias("p"), reading.value_at("v", "c", "d.e").alias("q"), reading.value_at("v", "x.y").alias("r"), reading.value_at("v", "no.such").alias("s")).first()
