@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarsia.operators import contracts
+from tarsia.operators import contracts, rules
 from tarsia.operators.ingest import period_bounds
 from tarsia.operators.rules import findings
 from tarsia.operators.scoring import domain_scores, risk_index
@@ -62,7 +62,7 @@ def selected(t: Tables, windows: tuple[Span, ...], tag: str = "", moments: dict[
     closure: its parent is selected and closed. workflow_event, escalation: before the end, and in the window or about a selected alert or
     case. remediation: open in the window. external_report: before the end. log_source_daily: days in the window. declared_kpi: its period
     overlaps the window or names none. Other tables: whole."""
-    out = Tables(t.spark, t.sf_dir, tag or "window-" + "-".join(f"{w.name}_{w.start}_{w.end}" for w in windows).replace(" ", "T").replace(":", "") + "-", lambda name: picked(t, out, name, windows), moments)
+    out = Tables(t.spark, t.sf_dir, tag or "window-" + "-".join(f"{w.name}_{w.start}_{w.end}" for w in windows).replace(" ", "T").replace(":", "") + "-", lambda name: picked(t, out, name, windows), moments, ("closure", "log_source_daily", "workflow_event"))
     return out
 
 
@@ -87,14 +87,30 @@ def masked(rows: DataFrame, name: str) -> DataFrame:
 
 def parents(out: Tables, closed: bool = False) -> DataFrame:
     """entity_id (with the window) and ref_id of selected alerts and cases; closed: of those closed inside."""
+    return all_parents(out, closed).distinct()
+
+
+def all_parents(out: Tables, closed: bool = False) -> DataFrame:
     keep = F.col("closed_at").isNotNull() if closed else F.lit(True)
-    both = out.alert.filter(keep).select("entity_id", F.col("alert_id").alias("ref_id")).unionByName(out.soc_case.filter(keep).select("entity_id", F.col("case_id").alias("ref_id")))
-    return both.distinct()
+    return out.alert.filter(keep).select("entity_id", F.col("alert_id").alias("ref_id")).unionByName(out.soc_case.filter(keep).select("entity_id", F.col("case_id").alias("ref_id")))
+
+
+def handled(t: Tables, out: Tables, windows: tuple[Span, ...]) -> DataFrame:
+    """rules.handled of the selected tables, with records met once, not once a window: an alert that is selected and closed in a window has its
+    closures there, and the workflow events before its end or without a time."""
+    known = [F.col("ts").isNull() | (F.col("ts") < time(w.end)) for w in windows]
+    rows = t.once(f"{out.tag}handled", lambda: rules.with_steps(t, known, "severity_final", "created_at", "closed_at"))
+    each = F.array(*[F.struct(F.lit(w.name).alias("name"), time(w.start).alias("start"), time(w.end).alias("end"), F.col("steps")[k].alias("n_events"), (F.col("looks")[k] > 0).alias("looked")) for k, w in enumerate(windows)])
+    inside = F.filter(each, lambda w: (F.col("created_at") < w["end"]) & (F.col("closed_at") < w["end"]) & (w["start"].isNull() | (F.col("created_at") >= w["start"])))
+    seen = rows.withColumn("w", F.explode(inside)).withColumns({"high": F.col("severity_final").isin(*rules.HIGH), "n_events": F.col("w.n_events"), "looked": F.col("w.looked")})
+    return scoped(seen).drop("steps", "looks", "severity_final", "created_at", "closed_at")
 
 
 def picked(t: Tables, out: Tables, name: str, windows: tuple[Span, ...]) -> DataFrame:
-    rows = getattr(t, name)
     start, end = F.col("w.start"), F.col("w.end")
+    if name == "handled":
+        return handled(t, out, windows)
+    rows = getattr(t, name)
     all_of = scoped(rows.withColumn("w", F.explode(spans(windows))))
     if name in ("alert", "log_source_daily"):
         at = F.col(PLACED[name])
@@ -110,13 +126,21 @@ def picked(t: Tables, out: Tables, name: str, windows: tuple[Span, ...]) -> Data
         linked = all_of.join(found, ["entity_id", "case_id"], "left").join(out.alert.select("entity_id", "alert_id").distinct().withColumn("of_alert", F.lit(True)), ["entity_id", "alert_id"], "left")
         return linked.filter("of_case or of_alert").select(*rows.columns)
     if name == "closure":
-        return all_of.join(parents(out, closed=True), ["entity_id", "ref_id"], "left_semi").select(*rows.columns)
+        # Of each record the windows in which it is selected and closed, so that closures are met once, not once a window.
+        names = [w.name for w in windows]
+        base = all_parents(out, closed=True).select(F.substring_index("entity_id", "@", 1).alias("entity_id"), "ref_id", F.substring_index("entity_id", "@", -1).alias("in"))
+        known = base.groupBy("entity_id", "ref_id").agg(*[F.bool_or(F.col("in") == n).alias(f"in{k}") for k, n in enumerate(names)])
+        inside = F.array_compact(F.array(*[F.when(F.col(f"in{k}"), F.lit(n)) for k, n in enumerate(names)]))
+        return rows.join(known, ["entity_id", "ref_id"]).withColumn("in", F.explode(inside)).withColumn("entity_id", F.concat_ws("@", "entity_id", "in")).select(*rows.columns)
     if name in ("workflow_event", "escalation"):
         at = F.col(PLACED[name])
-        before = rows_by_window(rows, windows, at.isNull() | (at < end)).withColumn("inside", at.isNotNull() & (start.isNull() | (at >= start)))
-        near = scoped(masked(before, name))
-        about = near.join(parents(out).withColumn("about", F.lit(True)), ["entity_id", "ref_id"], "left")
-        return about.filter("inside or about").select(*rows.columns)
+        endless = all(w.start is None for w in windows)  # then every dated row before the end is inside
+        inside = at.isNotNull() if endless else at.isNotNull() & (start.isNull() | (at >= start))
+        part = lambda keep: scoped(masked(rows_by_window(rows, windows, keep), name))
+        if endless and rows.filter(at.isNull()).isEmpty():  # nothing that has to be looked up
+            return part(inside & (at < end)).select(*rows.columns)
+        about = part((at.isNull() | (at < end)) & ~inside).join(parents(out), ["entity_id", "ref_id"], "left_semi")
+        return part(inside & (at < end)).unionByName(about).select(*rows.columns)
     if name == "declared_kpi":
         first, last = period_bounds(F.col("period"))
         meets = first.isNull() | ((first < end) & (start.isNull() | (last > start)))
