@@ -129,3 +129,23 @@ def test_history_writes_no_events_and_closures(spark, sf_dir):
     selection.history_findings(Tables(spark, sf_dir)).count()
     kept = {k[2] for k in storage._KEPT if k[1] == sf_dir}
     assert "history3-handled" in kept and not [n for n in kept if n.endswith("log_source_daily") or n.endswith("closure") or n.startswith("history") and n.endswith("workflow_event")]
+
+
+def test_rules_keep_what_they_ask_for_twice(spark, sf_dir):
+    """Closures in bulk, comments used again, months and the like are counted once a session, not once for hits and once for evidence."""
+    storage.forget(sf_dir)
+    rules.findings(Tables(spark, sf_dir)).count()
+    kept = {k[2] for k in storage._KEPT if k[1] == sf_dir}
+    assert {"templates", "alert_pairs", "bulk_closures", "busy_people", "quiet_assets", "local_counts", "own_months"} <= kept
+
+
+def test_silent_days_of_readings_that_cancel_out(spark, sf_dir):
+    """A day is silent where its readings sum to 0, negative and lacking ones included; days of assets that always report aren't summed."""
+    t = Tables(spark, sf_dir)
+    t.asset = spark.createDataFrame([("E1", a, 3, True, None, None) for a in "ABC"], "entity_id string, asset_id string, criticality int, monitored_flag boolean, in_service_from date, in_service_to date")
+    log = [("A", 1, 5), ("A", 1, -5), ("A", 2, None), ("A", 3, 0), ("A", 3, None), ("A", 4, 7), ("B", 1, 2), ("B", 2, None), ("C", 1, -1)]
+    rows = spark.createDataFrame([("E1", a, d, n) for a, d, n in log], "entity_id string, asset_id string, d int, event_count int")
+    t.log_source_daily = rows.select("entity_id", "asset_id", F.make_date(F.lit(2026), F.lit(6), "d").alias("date"), "event_count")
+    assert [(r.asset_id, r.days) for r in rules.silent_days(t).collect()] == [("A", 2)]
+    plan = rules.silent_days(t)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan
