@@ -95,36 +95,76 @@ def all_parents(out: Tables, closed: bool = False) -> DataFrame:
     return out.alert.filter(keep).select("entity_id", F.col("alert_id").alias("ref_id")).unionByName(out.soc_case.filter(keep).select("entity_id", F.col("case_id").alias("ref_id")))
 
 
+def met(t: Tables, out: Tables, windows: tuple[Span, ...]) -> tuple[DataFrame, list[Column]]:
+    """rules.with_steps over all windows, records met once, and whether an alert is selected and closed in each of them."""
+    known = [F.col("ts").isNull() | (F.col("ts") < time(w.end)) for w in windows]
+    rows = t.once(f"{out.tag}handled", lambda: rules.with_steps(t, known, "severity_final", "created_at", "closed_at"))
+    return rows, [lies("alert", rows, time(w.start), time(w.end)) & (F.col("closed_at") < time(w.end)) for w in windows]
+
+
 def handled(t: Tables, out: Tables, windows: tuple[Span, ...]) -> DataFrame:
     """rules.handled of the selected tables, with records met once, not once a window: an alert that is selected and closed in a window has its
     closures there, and the workflow events before its end or without a time."""
-    known = [F.col("ts").isNull() | (F.col("ts") < time(w.end)) for w in windows]
-    rows = t.once(f"{out.tag}handled", lambda: rules.with_steps(t, known, "severity_final", "created_at", "closed_at"))
-    each = F.array(*[F.struct(F.lit(w.name).alias("name"), time(w.start).alias("start"), time(w.end).alias("end"), F.col("steps")[k].alias("n_events"), (F.col("looks")[k] > 0).alias("looked")) for k, w in enumerate(windows)])
-    inside = F.filter(each, lambda w: (F.col("created_at") < w["end"]) & (F.col("closed_at") < w["end"]) & (w["start"].isNull() | (F.col("created_at") >= w["start"])))
-    seen = rows.withColumn("w", F.explode(inside)).withColumns({"high": F.col("severity_final").isin(*rules.HIGH), "n_events": F.col("w.n_events"), "looked": F.col("w.looked")})
+    rows, closed = met(t, out, windows)
+    each = [F.struct(F.lit(w.name).alias("name"), closed[k].alias("inside"), F.col("steps")[k].alias("n_events"), (F.col("looks")[k] > 0).alias("looked")) for k, w in enumerate(windows)]
+    seen = rows.withColumn("w", F.explode(F.array(*each))).filter("w.inside").withColumns({"high": F.col("severity_final").isin(*rules.HIGH), "n_events": F.col("w.n_events"), "looked": F.col("w.looked")})
     return scoped(seen).drop("steps", "looks", "severity_final", "created_at", "closed_at")
 
 
+def notes(t: Tables, out: Tables, windows: tuple[Span, ...]) -> DataFrame:
+    """rules.groups_of of the selected tables: comments are counted once for all windows."""
+    rows, closed = met(t, out, windows)
+    counts = rows.filter("note is not null").groupBy("entity_id", "note").agg(*[F.count_if(c).alias(f"n{k}") for k, c in enumerate(closed)])
+    each = [F.struct(F.lit(w.name).alias("name"), F.col(f"n{k}").alias("n")) for k, w in enumerate(windows)]
+    return scoped(counts.withColumn("w", F.explode(F.array(*each))).filter("w.n > 0").select("entity_id", "note", "w.n", "w"))
+
+
+def telemetry(t: Tables, out: Tables, windows: tuple[Span, ...]) -> DataFrame:
+    """rules.telemetry of the selected tables: days are read once, not once a window."""
+    known = [F.coalesce(lies("log_source_daily", t.log_source_daily, time(w.start), time(w.end)), F.lit(False)) for w in windows]
+    rows = t.once(f"{out.tag}telemetry", lambda: rules.by_asset(t, known))
+    each = [F.struct(F.lit(w.name).alias("name"), F.col(f"t{k}").alias("t")) for k, w in enumerate(windows)]
+    return scoped(rows.withColumn("w", F.explode(F.array(*each))).filter("w.t.inside").select("entity_id", "asset_id", "w.t.*", "w")).drop("inside")
+
+
+def links(t: Tables, windows: tuple[Span, ...]) -> DataFrame:
+    """The links of each window in which their case or alert is selected; cases and alerts are met once, not once a window."""
+    rows = t.case_alert_link
+
+    def known(name: str, ident: str) -> DataFrame:
+        those = getattr(t, name)
+        return those.groupBy("entity_id", ident).agg(*[F.bool_or(lies(name, those, time(w.start), time(w.end))).alias(f"{ident}{k}") for k, w in enumerate(windows)])
+
+    both = rows.join(known("soc_case", "case_id"), ["entity_id", "case_id"], "left").join(known("alert", "alert_id"), ["entity_id", "alert_id"], "left")
+    each = [F.struct(F.lit(w.name).alias("name"), (F.col(f"case_id{k}") | F.col(f"alert_id{k}")).alias("inside")) for k, w in enumerate(windows)]
+    return scoped(both.withColumn("w", F.explode(F.array(*each))).filter("w.inside")).select(*rows.columns)
+
+
+def lies(name: str, rows: DataFrame, start: Column, end: Column) -> Column:
+    """Whether a row of a table that is selected by its own times lies in a window."""
+    at = F.col(PLACED[name])
+    if name in ("alert", "log_source_daily"):
+        since, until = (start, end) if name == "alert" else (F.to_date(start), F.to_date(end))
+        return (at < until) & (start.isNull() | (at >= since))
+    over = start.isNotNull() & (F.col("closed_at") < start) if "closed_at" in rows.columns else F.lit(False)
+    return (at < end) & ~F.coalesce(over, F.lit(False))
+
+
 def picked(t: Tables, out: Tables, name: str, windows: tuple[Span, ...]) -> DataFrame:
     start, end = F.col("w.start"), F.col("w.end")
     if name == "handled":
         return handled(t, out, windows)
+    if name == "notes":
+        return notes(t, out, windows)
+    if name == "telemetry":
+        return telemetry(t, out, windows)
+    if name == "case_alert_link":
+        return links(t, windows)
     rows = getattr(t, name)
-    all_of = scoped(rows.withColumn("w", F.explode(spans(windows))))
-    if name in ("alert", "log_source_daily"):
-        at = F.col(PLACED[name])
-        since, until = (start, end) if name == "alert" else (F.to_date(start), F.to_date(end))
-        return scoped(masked(rows_by_window(rows, windows, (at < until) & (start.isNull() | (at >= since))), name))
-    if name in ("soc_case", "remediation"):
-        over = start.isNotNull() & (F.col("closed_at") < start) if "closed_at" in rows.columns else F.lit(False)
-        return scoped(masked(rows_by_window(rows, windows, (F.col(PLACED[name]) < end) & ~F.coalesce(over, F.lit(False))), name))
+    if name in ("alert", "log_source_daily", "soc_case", "remediation"):
+        return scoped(masked(rows_by_window(rows, windows, lies(name, rows, start, end)), name))
     if name == "external_report":
         return scoped(rows_by_window(rows, windows, F.col(PLACED[name]) < end))
-    if name == "case_alert_link":
-        found = out.soc_case.select("entity_id", "case_id").distinct().withColumn("of_case", F.lit(True))
-        linked = all_of.join(found, ["entity_id", "case_id"], "left").join(out.alert.select("entity_id", "alert_id").distinct().withColumn("of_alert", F.lit(True)), ["entity_id", "alert_id"], "left")
-        return linked.filter("of_case or of_alert").select(*rows.columns)
     if name == "closure":
         # Of each record the windows in which it is selected and closed, so that closures are met once, not once a window.
         names = [w.name for w in windows]

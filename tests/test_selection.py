@@ -149,3 +149,46 @@ def test_silent_days_of_readings_that_cancel_out(spark, sf_dir):
     assert [(r.asset_id, r.days) for r in rules.silent_days(t).collect()] == [("A", 2)]
     plan = rules.silent_days(t)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_windows_meet_telemetry_comments_and_links_once(spark, sf_dir):
+    """What is counted once for all windows equals what the tables of each window give, with a start too; rows aren't taken once a window."""
+    t = Tables(spark, sf_dir)
+    day = F.col("date")
+    t.log_source_daily = t.log_source_daily.withColumns({"event_count": F.when(F.day(day) % 7 != 3, F.col("event_count") - 40), "date": F.when(F.day(day) != 9, F.add_months(day, -F.day(day) % 4))})
+    t.closure = t.closure.withColumn("comment_norm_hash", F.substring("comment_norm_hash", 1, 1))
+    link = t.case_alert_link
+    t.case_alert_link = link.unionByName(link.limit(5)).unionByName(link.limit(7).withColumn("case_id", F.lit(None).cast("string"))).unionByName(link.limit(3).withColumn("alert_id", F.lit("NONE")))
+    windows = (*selection.QUARTER, selection.Span("May", None, datetime(2026, 5, 1)), selection.Span("all", None, datetime(2026, 9, 1)))
+    s, plain = selection.selected(t, windows), selection.selected(t, windows)
+    plain.__dict__["changed"] = True  # then rules meet the tables of the windows
+    told = lambda df: sorted(str([r[c] for c in sorted(df.columns)]) for r in df.collect())
+    got = told(rules.telemetry(s))
+    assert got == told(rules.telemetry(plain)) and len(got) > 100 and len({r.split("@")[1][:3] for r in got if "@" in r}) == 3
+    assert told(rules.groups_of(s, 10)) == told(rules.groups_of(plain, 10)) != []
+    at = lambda df, c: [(r.entity_id.split("@")[1], r[c]) for r in df.select("entity_id", c).collect()]
+    cases, alerts = set(at(s.soc_case, "case_id")), set(at(s.alert, "alert_id"))
+    want = sorted((w.name, str(r.case_id), r.alert_id) for r in t.case_alert_link.collect() for w in windows if (w.name, r.case_id) in cases or (w.name, r.alert_id) in alerts)
+    assert sorted((r.entity_id.split("@")[1], str(r.case_id), r.alert_id) for r in s.case_alert_link.collect()) == want != []
+
+
+def test_history_counts_before_it_takes_records_for_each_window(spark, sf_dir):
+    """Telemetry of an asset is one kept row for all windows; links and comments don't meet alerts taken once a window."""
+    storage.forget(sf_dir)
+    h = selection.history_tables(Tables(spark, sf_dir))
+    rules.findings(h).count()
+    kept = {k[2] for k in storage._KEPT if k[1] == sf_dir}
+    assert {"history3-telemetry", "history3-quiet_assets", "history3-alert_pairs"} <= kept
+    plan = selection.links(Tables(spark, sf_dir), selection.cutoffs(Tables(spark, sf_dir)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and plan.index("Generate explode") < plan.index("Join LeftOuter")
+
+
+def test_ghosts_without_a_rule(spark, sf_dir):
+    """An alert that names an asset but no rule makes it heard of; one without an asset tells nothing."""
+    t = Tables(spark, sf_dir)
+    t.alert = spark.createDataFrame([("E1", "A", None, "benign"), ("E1", None, "R1", "benign")], "entity_id string, asset_id string, rule_id string, disposition string")
+    t.asset = spark.createDataFrame([("E1", a, None, None) for a in "ABC"], "entity_id string, asset_id string, in_service_from date, in_service_to date")
+    t.log_source_daily = spark.createDataFrame([("E1", "B", 0), ("E1", "B", 2), ("E1", "C", 0), ("E1", None, 5)], "entity_id string, asset_id string, event_count int").withColumn("date", F.to_date(F.lit("2026-06-01")))
+    base, silent = rules.ghosts(t)
+    assert base.count() == 3 and [r.asset_id for r in silent.collect()] == ["C"]
+    assert rules.repeated_pairs(t).count() == 0
